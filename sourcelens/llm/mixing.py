@@ -26,7 +26,7 @@ EPOCHS = 2
 POINTS, STEP = 1 << 30, 663608941
 #: Blocks in the whole corpus, as the size of a block is chosen, and its least and most tokens.
 BLOCKS, LEAST, MOST = 65536, 16, 65536
-BUCKET_ROWS, CELLS = 4096, 1024
+BUCKET_ROWS, CELLS = 1024, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,7 +89,7 @@ def plan(docs: DataFrame, amount: float = 1.5, weights: tuple[int, ...] = WEIGHT
     wide = sources.select("i", "source_size", lo.alias("lo"), hi.alias("hi")).where("lo < hi")
     cell = POINTS // CELLS
     wide = wide.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))))
-    schedule = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / (4 * BUCKET_ROWS)).alias("run")).withColumn("point", point)
+    schedule = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / (16 * BUCKET_ROWS)).alias("run")).withColumn("point", point)
     schedule = schedule.withColumn("cell", F.floor(F.col("point") / cell)).join(wide, "cell").where("lo <= point and point < hi")
     counts = schedule.groupBy("i", "run").agg(F.count("*").alias("n"))
     counts = counts.withColumn("head", F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
