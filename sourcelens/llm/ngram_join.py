@@ -7,8 +7,8 @@ a candidate is verified only if it also passes the filters of the others, that i
 Frequencies come from a count sketch over all documents. A sketch may be wrong about a token without harm: any fixed
 order is exact, and its errors only cost candidates.
 
-Equal sets form classes before the join. In an index bucket only the links to the bucket's first member are tried at
-first, so a bucket of g near copies gives g - 1 candidates. Then, and only for buckets whose members still lie in
+Equal sets form classes before the join. In an index bucket only the links to the bucket's first member that
+the length and position bounds admit are tried at first, so a bucket of g near copies gives g - 1 candidates. Then, and only for buckets whose members still lie in
 different components, every pair across components that the length and position bounds admit is tried too. No link
 between different components is lost, and no pair inside one is needed.
 
@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 from .common import blocks, columns, components, mix, shingle_sets, written
 
 WIDTH, PERCENT = 5, 80
-#: The sketch's counters are 4 for each document, within these bounds (as powers of two); slices of it are summed apart.
-LEAST_BITS, MOST_BITS, SLICE = 14, 24, 1 << 14
+#: The sketch's counters are 16 for each document, within these bounds (as powers of two); slices of it are summed apart.
+LEAST_BITS, MOST_BITS, SLICE = 14, 24, 1 << 16
 #: Rows of an index bucket that one task may get.
 HOT = 20_000
 ORDERS = 3
+CEILING = np.uint64((1 << 28) - 1)
+#: Up to so many identifiers may be broadcast to pick documents; beyond it the tables are shuffled.
+FEW = 1 << 20
 KINDS = {"bigint": pa.int64(), "int": pa.int32()}
 _SALT = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64)
 
@@ -53,7 +56,7 @@ def order_keys(tokens: np.ndarray, sketch: np.ndarray, order: int) -> np.ndarray
     count = sketch[tokens >> np.uint64(64 - (len(sketch).bit_length() - 1))].astype(np.uint64)
     if order:
         count = np.frexp(count.astype(float))[1].astype(np.uint64)
-    return np.minimum(count, np.uint64((1 << 28) - 1)) << np.uint64(36) | mix(tokens ^ _SALT[order]) >> np.uint64(28)
+    return np.minimum(count, CEILING) << np.uint64(36) | mix(tokens ^ _SALT[order]) >> np.uint64(28)
 
 
 def prefix(tokens: np.ndarray, sketch: np.ndarray, order: int, percent: int) -> np.ndarray:
@@ -88,11 +91,23 @@ def profile(docs: DataFrame, bits: int, width: int) -> DataFrame:
         size = min(SLICE, 1 << bits)
         for k in range(0, 1 << bits, size):
             if counts[k : k + size].any():
-                yield pa.RecordBatch.from_pylist([{"slice": k // size, "salt": salt, "counts": counts[k : k + size].tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"slice": k // size, "salt": salt, "counts": squeezed(counts[k : k + size])}], schema=schema)
 
     return docs.mapInArrow(run, "id bigint, n bigint, sig bigint, sig2 bigint, slice int, salt int, counts binary")
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes, the low bytes of all first."""
+    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(counts).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def opened(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.uint64)
+
+
 def summed(slices: DataFrame) -> DataFrame:
     """Adds up the counts of each (slice, salt) or slice; a task holds one sum for each of its slices."""
 
@@ -100,9 +115,9 @@ def summed(slices: DataFrame) -> DataFrame:
         total: dict = {}
         for batch in batches:
             for row in batch.to_pylist():
-                key, more = (row["slice"], row["salt"]), np.frombuffer(row["counts"], np.uint32)
-                total[key] = more if key not in total else total[key] + more
-        yield pa.RecordBatch.from_pylist([{"slice": s, "salt": t, "counts": c.tobytes()} for (s, t), c in total.items()], schema=pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]))
+                key, more = (row["slice"], row["salt"]), opened(row["counts"])
+                total[key] = more if key not in total else np.minimum(total[key] + more, CEILING)
+        yield pa.RecordBatch.from_pylist([{"slice": s, "salt": t, "counts": squeezed(c)} for (s, t), c in total.items()], schema=pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]))
 
     return slices.mapInArrow(run, "slice int, salt int, counts binary")
 
@@ -113,7 +128,7 @@ def collected_sketch(slices: DataFrame, bits: int) -> np.ndarray:
     sketch = np.zeros(1 << bits, np.uint32)
     size = min(SLICE, 1 << bits)
     for row in summed(once.repartition("slice")).collect():
-        sketch[row["slice"] * size : (row["slice"] + 1) * size] += np.frombuffer(row["counts"], np.uint32)
+        sketch[row["slice"] * size : (row["slice"] + 1) * size] = opened(row["counts"])
     return sketch
 
 
@@ -218,7 +233,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """A row per row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     spark: SparkSession = docs.sparkSession
     own = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint"), "text")
-    bits = min(MOST_BITS, max(LEAST_BITS, ceil(np.log2(4 * own.count() + 1))))
+    bits = min(MOST_BITS, max(LEAST_BITS, ceil(np.log2(16 * own.count() + 1))))
     seen = written(profile(own, bits, width))
     docs_of = seen.where("slice is null").select("id", "n", "sig", "sig2")
     sketch = spark.sparkContext.broadcast(collected_sketch(seen.where("slice is not null").select("slice", "salt", "counts"), bits))
@@ -227,7 +242,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = written(starred(index(own.where("id is not null"), sketch, width, percent)))
     hot = entries.where("salt >= 0 and sig = first").withColumn("salt", F.lit(-1))
     second = written(starred(hot.select("token", "salt", "sig", "n", "pos")))
-    stars = entries.select("first", "sig").union(second.select("first", "sig")).where("first <> sig").distinct()
+    stars = entries.union(second).where("first <> sig").where(admitted("first_n", "first_pos", "n", "pos", percent)).select("first", "sig").distinct()
 
     def between(by_sig: DataFrame) -> DataFrame:
         """Pairs of signatures as pairs of representatives; equal signatures of different sets give all theirs."""
@@ -268,7 +283,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def sets_of(own: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(id, tokens) of the representatives in pairs; tokens: the sorted hashes as bytes."""
     reps = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    want = classes.join(reps, "rep").select(F.col("rep").alias("id"), "sig", "sig2")
+    want = written(classes.join(reps, "rep").select(F.col("rep").alias("id"), "sig", "sig2"))
+    want = F.broadcast(want) if want.count() <= FEW else want
 
     def run(batches):
         for batch in batches:
