@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, quality
+from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, quality, substring_dedup, token_count
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +38,16 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op8_pack_windows, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op7_token_counts, op9_near_passages, op8_pack_windows, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op6_mix_sources": rf"""
