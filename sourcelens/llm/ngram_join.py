@@ -8,8 +8,9 @@ Frequencies come from a count sketch over all documents. A sketch may be wrong a
 order is exact, and its errors only cost candidates.
 
 Equal sets form classes before the join. In an index bucket only the links to the bucket's first member that
-the length and position bounds admit are tried at first, so a bucket of g near copies gives g - 1 candidates. Then, and only for buckets whose members still lie in
-different components, every pair across components that the length and position bounds admit is tried too. No link
+the length and position bounds admit are tried at first, so a bucket of g near copies gives g - 1 candidates. Buckets whose members
+still lie in different components try other members against all in ROUNDS further rounds; what is apart then is mostly
+few members against one large component. At last, and only for such buckets, every pair across components that the length and position bounds admit is tried too. No link
 between different components is lost, and no pair inside one is needed.
 
 The rows of a bucket that the sketch knows to be hot are dealt to several tasks, each with a first member of its own,
@@ -38,6 +39,8 @@ LEAST_BITS, MOST_BITS, SLICE = 14, 24, 1 << 16
 #: Rows of an index bucket that one task may get.
 HOT = 20_000
 ORDERS = 3
+#: Rounds in which buckets that are still apart try one more member against all, before every pair across components.
+ROUNDS = 3
 CEILING = np.uint64((1 << 28) - 1)
 #: Up to so many identifiers may be broadcast to pick documents; beyond it the tables are shuffled.
 FEW = 1 << 20
@@ -252,37 +255,63 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     clash = classes.groupBy("sig").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
     clash = clash.select("a", F.explode("all").alias("b")).where("a <> b")
-    tried = written(between(stars).union(clash).distinct())
-    sets = written(sets_of(own, classes, tried, width))
-    links = written(verified(tried, sets, sketch, percent))
-    label = components(links)
-
-    # Buckets whose members are still apart: every pair across components that the bounds admit.
     both = entries.union(second)
     members = both.select("token", "sig", "n", "pos").union(both.select("token", "first", "first_n", "first_pos")).distinct()
-    named = members.join(classes.select("sig", "rep"), "sig")
-    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    apart = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    apart = written(named.join(apart, "token", "left_semi").select("token", "rep", "n", "pos", "c"))
-    x, y = (apart.select(*[F.col(c).alias(f"{c}{k}" if c != "token" else c) for c in apart.columns]) for k in (1, 2))
-    rest = x.join(y, "token").where("c1 < c2").where(admitted("n1", "pos1", "n2", "pos2", percent))
-    rest = rest.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = rest.select("a").union(rest.select("b")).distinct()
-        missing = more.join(sets.select(F.col("id").alias("a")), "a", "left_anti").select("a", F.col("a").alias("b"))
-        every = sets.union(sets_of(own, classes, missing, width))
-        links = links.union(verified(rest, written(every), sketch, percent))
-        label = components(links)
+    named = written(members.join(classes.select("sig", "rep"), "sig").select("token", "rep", "n", "pos", F.col("rep").alias("c")))
+    pairs, tried, sets, label = written(between(stars).union(clash).distinct()), None, None, None
+    for step in range(ROUNDS + 2):
+        if step:
+            named = apart(named)
+            if named.isEmpty():
+                break
+            found = across(named, percent) if step > ROUNDS else pivoted(named, step, percent)
+            pairs = written(found.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        missing = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        missing = missing if sets is None else missing.join(sets.select(F.col("id").alias("rep")), "rep", "left_anti")
+        fresh = written(sets_of(own, classes, missing, width))
+        sets = fresh if sets is None else sets.union(fresh)
+        links = verified(pairs, sets, sketch, percent)
+        if label is not None:
+            links = relabelled(relabelled(links, label, "a"), label, "b")
+        merged = components(links)
+        label = merged if label is None else written(relabelled(label, merged, "component").union(merged.join(label.select("node"), "node", "left_anti")))
+        named = written(relabelled(named, merged, "c"))
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "sig2", "n", F.coalesce("component", "rep").alias("component"))
     same = docs_of.join(named, ["sig", "sig2", "n"], "left")
     return same.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def sets_of(own: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the representatives in pairs; tokens: the sorted hashes as bytes."""
-    reps = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+def relabelled(rows: DataFrame, label: DataFrame, column: str) -> DataFrame:
+    """rows with the column's nodes replaced by their components."""
+    names = rows.columns
+    found = rows.join(label.select(F.col("node").alias(column), F.col("component").alias("_to")), column, "left")
+    return found.withColumn(column, F.coalesce("_to", column)).select(*names)
+
+
+def apart(named: DataFrame) -> DataFrame:
+    """The members of buckets that lie in several components."""
+    several = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    return written(named.join(several, "token", "left_semi"))
+
+
+def pivoted(named: DataFrame, step: int, percent: int) -> DataFrame:
+    """Pairs of a bucket's members with one of them that the step chooses, where components differ."""
+    chosen = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(step), "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("c").alias("pc"))).alias("s")).select("token", "s.*")
+    rows = named.join(chosen, "token").where("c <> pc").where(admitted("n", "pos", "pn", "pp", percent))
+    return rows.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+
+
+def across(named: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a bucket's members in different components."""
+    x, y = (named.select(*[F.col(c).alias(f"{c}{k}" if c != "token" else c) for c in named.columns]) for k in (1, 2))
+    rows = x.join(y, "token").where("c1 < c2").where(admitted("n1", "pos1", "n2", "pos2", percent))
+    return rows.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+
+
+def sets_of(own: DataFrame, classes: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(id, tokens) of the representatives in reps(rep); tokens: the sorted hashes as bytes."""
     want = written(classes.join(reps, "rep").select(F.col("rep").alias("id"), "sig", "sig2"))
     want = F.broadcast(want) if want.count() <= FEW else want
 
