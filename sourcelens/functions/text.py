@@ -133,7 +133,7 @@ def vtt_seconds(x: Column) -> Column:
 def split_fragments(x: Column) -> Column:
     """Caption lines without karaoke marks, trimmed, blank ones dropped."""
     bare = F.regexp_replace(F.regexp_replace(x, r"<\d{1,2}:\d{2}:\d{2}\.\d{1,3}>", ""), r"</?c[^>]*>", "")
-    return F.filter(F.transform(F.split(bare, "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(bare, "\n"), lambda v: F.trim(v)), lambda p: p != "")
 
 
 def topic_from_seed_url(x: Column) -> Column:
@@ -150,7 +150,7 @@ def strip_title(x: Column) -> Column:
 def title_part(x: Column) -> Column:
     """Of the parts at the first separator that occurs, the longest; those with three commas come last."""
     def best(sep: str) -> Column:
-        parts = F.filter(F.transform(F.split(x, sep.replace("|", r"\|")), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(x, sep.replace("|", r"\|")), lambda v: F.trim(v)), lambda p: p != "")
         scored = F.transform(parts, lambda p, i: F.struct(F.when(F.length(p) - F.length(F.replace(p, F.lit(","), F.lit(""))) >= 3, -1).otherwise(0).alias("a"), F.length(p).alias("b"), (-i).alias("c"), p.alias("p")))
         return F.coalesce(F.array_max(scored)["p"], x)
 
@@ -183,4 +183,4 @@ def markdown_section(x: Column, name: str) -> Column:
 
 
 def bullets(x: Column) -> Column:
-    return F.transform(F.regexp_extract_all(x, F.lit(r"(?m)^\s*(?:[-*]|\d+\.)\s+(.+)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(x, F.lit(r"(?m)^\s*(?:[-*]|\d+\.)\s+(.+)$"), F.lit(1)), lambda v: F.trim(v))
