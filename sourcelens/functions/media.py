@@ -29,7 +29,9 @@ def bbox(changed: Column, width: int) -> Column:
 
 
 def bbox_ratio(b: Column, width: Column, height: Column) -> Column:
-    return F.round((b["right"] - b["left"]) * (b["bottom"] - b["top"]) / F.greatest(width * height, F.lit(1)), 4)
+    """To four places."""
+    share = ((b["right"] - b["left"]) * (b["bottom"] - b["top"])).cast("double") / F.greatest(width * height, F.lit(1))
+    return F.floor(share * 10000 + F.lit(0.5)) / 10000
 
 
 def zones(b: Column, width: Column, height: Column) -> Column:

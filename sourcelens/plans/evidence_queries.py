@@ -1 +1,408 @@
-"""Queries."""
+"""Queries of evidence, validators, certification, keywords, rendering and export."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sourcelens import rules
+from sourcelens.catalog import query
+from sourcelens.functions import text as T
+from sourcelens.operators import evidence as E
+from sourcelens.operators import keywords as K
+from sourcelens.operators import render as R
+from sourcelens.operators import steps as S
+from sourcelens.plans.policy_queries import KINDS
+from sourcelens.plans.steps_queries import MARKED_SQL, SECTIONS_SQL
+from sourcelens.plans.text_queries import KEYWORDS, pick, sql_first, sql_list, sql_map, sql_words
+from sourcelens.sources.tables import steps, table
+
+
+def graph_inputs(spark, sf_dir):
+    """Sections of events, and their steps with a canonical string, a path for each second step and an action for each third."""
+    s = steps(spark, sf_dir)
+    sections = S.sections(s, merge=False).withColumn("anchor_path", F.concat(F.lit("keyframes/"), F.get("step_ordinals", F.lit(0)).cast("string"), F.lit(".jpg")))
+    o = F.col("ordinal")
+    return sections, s.select("playbook_id", "ordinal", F.concat_ws("|", "playbook_id", "ordinal", "trigger", "caption_text").alias("canonical"), F.when(o % 2 == 0, F.concat(F.lit("keyframes/"), o.cast("string"), F.lit(".jpg"))).alias("keyframe_path"), F.when(o % 3 == 0, F.col("trigger")).alias("action"))
+
+
+NODES_SQL = SECTIONS_SQL + f""", bound AS (
+  SELECT playbook_id, section, list(sha256(concat_ws('|', playbook_id, ordinal, trigger, caption_text)) ORDER BY ordinal) AS hashes, list('keyframes/' || ordinal || '.jpg' ORDER BY ordinal) FILTER (ordinal % 2 = 0) AS own, count(*) FILTER (ordinal % 3 = 0) AS actions FROM marked GROUP BY ALL),
+nodes AS (
+  SELECT s.playbook_id, s.ordinal AS section, 'evidence:' || s.playbook_id || ':' || s.ordinal AS evidence_id, CAST(len({sql_words('text')}) AS INT) AS word_count, sha256(text) AS text_hash, hashes, CAST(actions AS INT) AS actions, text,
+         CASE WHEN list_contains(coalesce(own, []), 'keyframes/' || step_ordinals[1] || '.jpg') THEN own ELSE ['keyframes/' || step_ordinals[1] || '.jpg'] || coalesce(own, []) END AS paths
+  FROM sections s JOIN bound b ON b.playbook_id = s.playbook_id AND b.section = s.ordinal)
+"""
+
+
+@query(NODES_SQL + "SELECT evidence_id, word_count, text_hash, array_to_string(hashes, ',') AS step_hashes, CAST(len(paths) AS INT) AS keyframes, array_to_string(paths[1:5], ',') AS paths, actions FROM nodes")
+def op_evidence_graph(spark, sf_dir):
+    n = E.evidence_nodes(*graph_inputs(spark, sf_dir))
+    return n.select("evidence_id", "word_count", "text_hash", F.array_join("step_hashes", ",").alias("step_hashes"), "keyframes", F.array_join("keyframe_paths", ",").alias("paths"), "actions")
+
+
+@query(NODES_SQL + "SELECT evidence_id AS src, 'capability:' || CAST(playbook_id AS VARCHAR) AS dst, 'supports' AS relationship FROM nodes")
+def evidence_edges(spark, sf_dir):
+    return E.evidence_edges(E.evidence_nodes(*graph_inputs(spark, sf_dir)))
+
+
+@query(NODES_SQL + f"SELECT playbook_id, section AS ordinal, evidence_id, word_count, {sql_first('text', 32)} AS summary FROM nodes")
+def proj_section_binding(spark, sf_dir):
+    return E.section_bindings(E.evidence_nodes(*graph_inputs(spark, sf_dir)))
+
+
+@query(NODES_SQL + "SELECT playbook_id, section, evidence_id FROM nodes")
+def join_section_evidence_zip(spark, sf_dir):
+    """Sections and nodes by position: both are numbered alike, so the join has an equality on playbook and ordinal."""
+    sections, s = graph_inputs(spark, sf_dir)
+    n = E.evidence_nodes(sections, s).select("playbook_id", "section", "evidence_id")
+    return sections.select("playbook_id", F.col("ordinal").alias("section")).join(n, ["playbook_id", "section"])
+
+
+@query(MARKED_SQL + "SELECT playbook_id, section, ordinal, sequence FROM marked")
+def join_step_by_ordinal(spark, sf_dir):
+    sections, _ = graph_inputs(spark, sf_dir)
+    refs = sections.select("playbook_id", F.col("ordinal").alias("section"), F.posexplode("step_ordinals").alias("k", "ordinal"))
+    return refs.join(steps(spark, sf_dir).select("playbook_id", "ordinal", "sequence"), ["playbook_id", "ordinal"]).select("playbook_id", "section", "ordinal", "sequence")
+
+
+@query(NODES_SQL + "SELECT playbook_id, path, 'evidence_artifacts/' || path AS retained, min(section) AS first_section FROM (SELECT playbook_id, section, unnest(paths[1:5]) AS path FROM nodes) GROUP BY ALL")
+def sink_retain_artifacts(spark, sf_dir):
+    return E.retained_artifacts(E.evidence_nodes(*graph_inputs(spark, sf_dir))).select("playbook_id", "path", "retained", "first_section")
+
+
+@query(NODES_SQL + "SELECT evidence_id, array_to_string(list_sort(list_distinct(list_transform(paths[1:5], lambda p: 'evidence_artifacts/' || p))), ',') AS retained FROM nodes")
+def join_retained_path(spark, sf_dir):
+    n = E.evidence_nodes(*graph_inputs(spark, sf_dir))
+    r = E.retained_artifacts(n).select("playbook_id", "path", "retained")
+    back = n.select("evidence_id", "playbook_id", F.explode("keyframe_paths").alias("path")).join(r, ["playbook_id", "path"]).groupBy("evidence_id").agg(F.array_join(F.array_sort(F.collect_set("retained")), ",").alias("retained"))
+    return n.select("evidence_id").join(back, "evidence_id", "left")
+
+
+@query(NODES_SQL + "SELECT playbook_id, sum(len(paths)) AS keyframes, sum(actions) AS actions FROM nodes GROUP BY ALL")
+def agg_visual_evidence(spark, sf_dir):
+    return E.evidence_nodes(*graph_inputs(spark, sf_dir)).groupBy("playbook_id").agg(F.sum("keyframes").alias("keyframes"), F.sum("actions").alias("actions"))
+
+
+@query(NODES_SQL + "SELECT playbook_id, ordinal, trigger FROM sections WHERE len(step_ordinals) % 3 = 0")
+def proj_visual_action(spark, sf_dir):
+    sections, _ = graph_inputs(spark, sf_dir)
+    return sections.where(F.size("step_ordinals") % 3 == 0).select("playbook_id", "ordinal", "trigger")
+
+
+def contexts(spark, sf_dir) -> DataFrame:
+    """A validation context per document, from labels where there are some."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("passed"), F.max("toxic").cast("int").alias("failed"))
+    words = T.word_count(F.col("text"))
+    return d.join(labels, "doc_id", "left").select(
+        i.alias("playbook_id"), pick(KINDS).alias("source_kind"), words.alias("words"), (i % 6).cast("int").alias("sections"), (i % 7).cast("int").alias("nodes"), (i % 3).cast("int").alias("nodes_with_actions"), (i % 2).cast("int").alias("nodes_with_keyframes"),
+        (i % 6).cast("int").alias("bound_sections"), F.when(words > 100, i % 6).otherwise(0).cast("int").alias("textful_sections"), (i % 10 != 0).alias("codified"), (i % 11 != 0).alias("exported"), (i % 12 != 0).alias("captured"),
+        ((F.col("failed") == 0) & (F.col("passed") > 0)).alias("validated"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("failed", F.lit(0)).alias("failed"), (i % 13 != 0).alias("inputs"), (i % 14 != 0).alias("outputs"),
+        F.when(i % 9 == 0, "unknown").otherwise("owned").alias("basis"), F.when(i % 8 == 0, "private_only").otherwise("allowed").alias("export_allowed"), F.lit(True).alias("scanned"), (i % 15 == 0).alias("blocked"), F.when(i % 4 == 0, "medium").otherwise("low").alias("risk_level"),
+        F.concat(F.element_at(F.array(*[F.lit(w) for w in ("nothing", "python code", "a page", "csv rows", "json token")]), (i % 5 + 1).cast("int"))).alias("blob"),
+    )
+
+
+def _row(name, severity, category, passed, score=None, skipped="false"):
+    return f"SELECT playbook_id, '{name}' AS id, '{severity}' AS severity, '{category}' AS category, {passed} AS passed, {skipped} AS skipped, CAST(least(greatest({score or f'CAST({passed} AS INT)'}, 0), 1) AS DOUBLE) AS score FROM ctx"
+
+
+CONTEXT_SQL = f"""WITH lab AS (SELECT doc_id, max(quality) AS p, max(toxic) AS f FROM labels GROUP BY doc_id),
+ctx AS (
+  SELECT d.doc_id AS playbook_id, {sql_list(KINDS)}[CAST(d.doc_id % 5 + 1 AS INT)] AS kind, len({sql_words('text')}) AS words, d.doc_id % 6 AS sections, d.doc_id % 7 AS nodes, d.doc_id % 3 AS acts, d.doc_id % 2 AS keys,
+         CASE WHEN len({sql_words('text')}) > 100 THEN d.doc_id % 6 ELSE 0 END AS textful, d.doc_id % 10 <> 0 AS codified, d.doc_id % 11 <> 0 AS exported, d.doc_id % 12 <> 0 AS captured, (f = 0 AND p > 0) AS validated, coalesce(p, 0) AS passed, coalesce(f, 0) AS failed,
+         d.doc_id % 13 <> 0 AND d.doc_id % 14 <> 0 AS contract, d.doc_id % 9 <> 0 AS known, CASE WHEN d.doc_id % 8 = 0 THEN 'private_only' ELSE 'allowed' END AS ea, d.doc_id % 15 = 0 AS blocked, CASE WHEN d.doc_id % 4 = 0 THEN 'medium' ELSE 'low' END AS level,
+         ['nothing', 'python code', 'a page', 'csv rows', 'json token'][CAST(d.doc_id % 5 + 1 AS INT)] AS blob FROM documents d LEFT JOIN lab USING (doc_id)),
+v AS ({' UNION ALL '.join([
+    _row('source_text_present', 'critical', 'source_fidelity', 'words > 0'), _row('evidence_bindings_present', 'critical', 'source_fidelity', 'sections > 0 AND nodes >= sections', 'coalesce(CAST(nodes AS DOUBLE) / nullif(sections, 0), 0)'),
+    _row('codified_asset_present', 'critical', 'codification', 'codified'), _row('execution_validation_passed', 'critical', 'execution_validation', 'coalesce(validated, false)', 'coalesce(CASE WHEN passed + failed > 0 THEN CAST(passed AS DOUBLE) / (passed + failed) ELSE CAST(validated AS INT) END, 0)', 'validated IS NULL'),
+    _row('export_recorded', 'high', 'governance', 'exported'), _row('capture_distill_recorded', 'high', 'governance', 'captured'), _row('capability_contract_present', 'high', 'capability_ir', 'contract'),
+    _row('visual_actions_present', 'high', 'visual_grounding', "kind NOT IN ('youtube_video', 'local_video') OR acts > 0", "CASE WHEN kind IN ('youtube_video', 'local_video') THEN coalesce(CAST(acts AS DOUBLE) / nullif(nodes, 0), 0) ELSE 1 END", "kind NOT IN ('youtube_video', 'local_video')"),
+    _row('rights_assessment_present', 'critical', 'governance_rights', 'known', "CASE WHEN known AND ea = 'allowed' THEN 1.0 WHEN known THEN 0.4 ELSE 0.0 END"),
+    _row('source_prompt_injection_guard_passed', 'critical', 'governance_security', 'NOT blocked', "CASE WHEN NOT blocked THEN CASE WHEN level = 'low' THEN 1.0 ELSE 0.75 END ELSE 0.0 END"),
+    *[_row(f'{k}_domain_contract', 'medium', f'domain_{k}', f"NOT regexp_matches(blob, '\\b(?:{'|'.join(w)})\\b') OR contract", None, f"NOT regexp_matches(blob, '\\b(?:{'|'.join(w)})\\b')") for k, w in rules.DOMAINS.items()]])})
+"""
+
+
+@query(CONTEXT_SQL + "SELECT playbook_id, id, severity, category, passed, skipped, round(score, 6) AS score FROM v")
+def op_run_validators(spark, sf_dir):
+    return E.validator_rows(contexts(spark, sf_dir)).select("playbook_id", "id", "severity", "category", "passed", "skipped", F.round("score", 6).alias("score"))
+
+
+for _v in ["source_text_present", "evidence_bindings_present", "codified_asset_present", "execution_validation_passed", "export_recorded", "capture_distill_recorded", "capability_contract_present", "visual_actions_present", "rights_assessment_present", "source_prompt_injection_guard_passed", *[f"{k}_domain_contract" for k in rules.DOMAINS]]:
+    _key = "val_" + (f"domain_{_v.split('_')[0]}" if _v.endswith("_domain_contract") else _v)
+
+    def _one(spark, sf_dir, v=_v):
+        return E.validator_rows(contexts(spark, sf_dir)).where(F.col("id") == v).select("playbook_id", "passed", "skipped", F.round("score", 6).alias("score"))
+
+    query(CONTEXT_SQL + f"SELECT playbook_id, passed, skipped, round(score, 6) AS score FROM v WHERE id = '{_v}'", name=_key)(_one)
+
+
+@query(CONTEXT_SQL + "SELECT severity, category, count(*) AS n, count(*) FILTER (passed) AS passed, count(*) FILTER (skipped) AS skipped FROM v GROUP BY ALL")
+def rules_validators(spark, sf_dir):
+    return E.validator_rows(contexts(spark, sf_dir)).groupBy("severity", "category").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if("skipped").alias("skipped"))
+
+
+@query(CONTEXT_SQL + "SELECT category, count(*) FILTER (skipped) AS skipped, count(*) AS n FROM v WHERE starts_with(category, 'domain_') GROUP BY ALL")
+def rules_domain_validators(spark, sf_dir):
+    v = E.validator_rows(contexts(spark, sf_dir)).where(F.startswith("category", F.lit("domain_")))
+    return v.groupBy("category").agg(F.count_if("skipped").alias("skipped"), F.count("*").alias("n"))
+
+
+@query(CONTEXT_SQL + "SELECT playbook_id, CASE WHEN starts_with(category, 'domain_') THEN 'domain' ELSE 'builtin' END AS family, count(*) AS n FROM v GROUP BY ALL")
+def set_validators_union(spark, sf_dir):
+    family = F.when(F.startswith("category", F.lit("domain_")), "domain").otherwise("builtin")
+    return E.validator_rows(contexts(spark, sf_dir)).groupBy("playbook_id", family.alias("family")).agg(F.count("*").alias("n"))
+
+
+@query(CONTEXT_SQL + "SELECT playbook_id, coalesce(round(avg(CAST(passed AS INT)) FILTER (NOT skipped), 3), 0) AS coverage FROM v GROUP BY playbook_id")
+def agg_validator_coverage(spark, sf_dir):
+    return E.validator_rows(contexts(spark, sf_dir)).groupBy("playbook_id").agg(E.coverage().alias("coverage"))
+
+
+def _category(prefix: str) -> str:
+    m = f"starts_with(category, '{prefix}')"
+    return f"coalesce(round(avg(score) FILTER ({m} AND NOT skipped), 3), CASE WHEN count(*) FILTER ({m} AND skipped) > 0 THEN 1.0 ELSE 0.0 END)"
+
+
+@query(CONTEXT_SQL + f"SELECT playbook_id, {_category('domain_')} AS domains, {_category('governance_rights')} AS rights FROM v GROUP BY playbook_id")
+def agg_category_score(spark, sf_dir):
+    return E.validator_rows(contexts(spark, sf_dir)).groupBy("playbook_id").agg(E.category_score("domain_").alias("domains"), E.category_score("governance_rights").alias("rights"))
+
+
+OWN_SQL = """own AS (SELECT playbook_id, coalesce(round(CAST(sections AS DOUBLE) / nullif(sections, 0) * 0.5 + CAST(textful AS DOUBLE) / nullif(sections, 0) * 0.5, 3), 0) AS fidelity, CAST(codified AS INT) AS codification,
+  CASE WHEN passed + failed > 0 THEN CAST(passed AS DOUBLE) / (passed + failed) ELSE coalesce(CAST(validated AS INT), 0) END AS execution, CASE WHEN nodes > 0 THEN 1.0 ELSE 0.5 END AS governance,
+  CASE WHEN kind NOT IN ('youtube_video', 'local_video') THEN 1.0 ELSE coalesce(round(CAST(keys AS DOUBLE) / nullif(nodes, 0) * 0.45 + CAST(acts AS DOUBLE) / nullif(nodes, 0) * 0.55, 3), 0) END AS visual FROM ctx)"""
+CERT_SQL = CONTEXT_SQL + f""", {OWN_SQL}, sc AS (SELECT playbook_id, coalesce(round(avg(CAST(passed AS INT)) FILTER (NOT skipped), 3), 0) AS coverage, {_category('domain_')} AS domains, {_category('capability_ir')} AS ir, {_category('governance_rights')} AS rights, {_category('governance_security')} AS security,
+  count(*) FILTER (severity = 'critical' AND NOT passed) AS critical FROM v GROUP BY playbook_id),
+cert AS (SELECT *, fidelity * 0.18 + codification * 0.10 + execution * 0.18 + governance * 0.08 + visual * 0.08 + coverage * 0.08 + domains * 0.06 + ir * 0.06 + rights * 0.08 + security * 0.10 AS c FROM own JOIN sc USING (playbook_id))
+"""
+
+
+@query(CERT_SQL + "SELECT playbook_id, CASE WHEN round(c, 3) >= 0.75 AND critical = 0 THEN 'certified' ELSE 'draft' END AS status, round(c, 2) AS confidence, critical FROM cert")
+def agg_certification(spark, sf_dir):
+    c = contexts(spark, sf_dir)
+    out = E.certification(c, E.validator_rows(c))
+    exact = sum((F.col("dimensions")[k] * F.lit(w) for k, w in rules.WEIGHTS.items()), F.lit(0.0))
+    return out.select("playbook_id", "status", F.round(exact, 2).alias("confidence"), F.size("critical_failures").cast("bigint").alias("critical"))
+
+
+@query(CERT_SQL + "SELECT playbook_id, fidelity FROM cert")
+def agg_source_fidelity(spark, sf_dir):
+    c = contexts(spark, sf_dir)
+    return E.certification(c, E.validator_rows(c)).select("playbook_id", F.col("dimensions")["sourceFidelity"].alias("fidelity"))
+
+
+@query(CERT_SQL + "SELECT playbook_id, visual FROM cert")
+def agg_visual_grounding(spark, sf_dir):
+    c = contexts(spark, sf_dir)
+    return E.certification(c, E.validator_rows(c)).select("playbook_id", F.col("dimensions")["visualGrounding"].alias("visual"))
+
+
+@query(CERT_SQL + "SELECT playbook_id, round(execution, 6) AS rate FROM cert")
+def agg_exec_pass_rate(spark, sf_dir):
+    c = contexts(spark, sf_dir)
+    return E.certification(c, E.validator_rows(c)).select("playbook_id", F.round(F.col("dimensions")["executionValidation"], 6).alias("rate"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({w} AS DOUBLE))" for k, w in rules.WEIGHTS.items()) + ") t(dimension, weight)")
+def rules_weights(spark, sf_dir):
+    return spark.createDataFrame(list(rules.WEIGHTS.items()), "dimension string, weight double")
+
+
+@query()
+def op_hashes_signature(spark, sf_dir):
+    c = contexts(spark, sf_dir)
+    return E.signature(E.certification(c, E.validator_rows(c))).select("playbook_id", "status", "signature")
+
+
+@query()
+def op_build_package(spark, sf_dir):
+    """Certified packages with their place in a chain per source kind."""
+    c = contexts(spark, sf_dir)
+    done = E.signature(E.certification(c, E.validator_rows(c))).join(c.select("playbook_id", "source_kind"), "playbook_id")
+    events = done.select(F.concat_ws("-", "source_kind", (F.col("playbook_id") % 64)).alias("chain"), F.col("playbook_id").alias("seq"), F.concat_ws("|", "status", "signature").alias("payload"))
+    return E.ledger(events)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type || ':' || event_id AS payload FROM events),
+l AS (SELECT chain, seq, sha256('|' || seq || '|' || payload) AS event_hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.chain, e.seq, sha256(l.event_hash || '|' || e.seq || '|' || e.payload) FROM l JOIN e ON e.chain = l.chain AND e.seq = l.seq + 1) SELECT * FROM l""")
+def sink_audit_append(spark, sf_dir):
+    return E.ledger(events_chain(spark, sf_dir)).select("chain", "seq", "event_hash")
+
+
+def events_chain(spark, sf_dir) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.row_number().over(w).cast("bigint").alias("seq"), F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).alias("payload"))
+    return e
+
+
+@query("SELECT user_id AS chain, count(*) AS n, true AS valid FROM events GROUP BY user_id")
+def win_ledger_chain(spark, sf_dir):
+    v = E.verify_ledger(E.ledger(events_chain(spark, sf_dir)))
+    return v.groupBy("chain").agg(F.count("*").alias("n"), F.bool_and("valid").alias("valid"))
+
+
+@query("SELECT event_type AS slug, arg_max(event_id, struct_pack(t := epoch_us(ts), s := event_id)) AS seq FROM events GROUP BY event_type")
+def sink_registry_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("slug"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"), F.col("event_id").alias("seq"))
+    return E.registry(e).select("slug", "seq")
+
+
+TOKENS_SQL = f"t AS (SELECT source AS playbook_id, doc_id, unnest(k) AS token, unnest(range(len(k))) AS pos FROM (SELECT source, doc_id, {KEYWORDS} AS k FROM documents))"
+COUNTED_SQL = f"""WITH {TOKENS_SQL}, n AS (SELECT *, lead(token) OVER (PARTITION BY playbook_id ORDER BY doc_id, pos) AS next FROM t),
+counted AS (SELECT playbook_id, phrase, words, count(*) AS n, min(struct_pack(a := doc_id, b := pos)) AS first FROM (
+  SELECT playbook_id, token AS phrase, 1 AS words, doc_id, pos FROM n UNION ALL SELECT playbook_id, token || ' ' || next, 2, doc_id, pos FROM n WHERE next IS NOT NULL) GROUP BY ALL)"""
+
+
+def token_counts(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("playbook_id"), F.col("doc_id").alias("ordinal"), "text")
+    return K.counts(K.token_stream(d))
+
+
+@query(COUNTED_SQL + " SELECT playbook_id, words, count(*) AS phrases, CAST(sum(n) AS BIGINT) AS total FROM counted GROUP BY ALL")
+def agg_keyword_counts(spark, sf_dir):
+    return token_counts(spark, sf_dir).groupBy("playbook_id", F.col("words").cast("int").alias("words")).agg(F.count("*").alias("phrases"), F.sum("n").alias("total"))
+
+
+@query(COUNTED_SQL + " SELECT playbook_id, phrase, n FROM counted WHERE words = 1 OR n >= 2 QUALIFY row_number() OVER (PARTITION BY playbook_id, words ORDER BY n DESC, first) <= 20")
+def topk_keywords(spark, sf_dir):
+    return K.candidates(token_counts(spark, sf_dir)).select("playbook_id", "phrase", "n")
+
+
+@query()
+def op_keywords(spark, sf_dir):
+    """The accepted phrases; the greedy choice is tested against a plain restatement."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("playbook_id"), F.col("doc_id").alias("ordinal"), "text")
+    return K.keywords(d).select("playbook_id", F.array_join("keywords", ", ").alias("keywords"))
+
+
+TARGETS = ["claude", "Codex", "cursor", "windsurf", "md", "nowhere"]
+
+
+def assets(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    shape = pick(["skill", "agent", "workflow"])
+    name = F.concat_ws("-", "source", F.col("doc_id").cast("string"))
+    about = R.description(shape, F.col("source"), pick(KINDS), F.slice(T.words(F.col("text")), 1, 3))
+    text = R.asset(shape, name, about, F.split("text", "\n"))
+    return d.select("doc_id", shape.alias("shape"), name.alias("name"), T.slugify(name).alias("slug"), about.alias("about"), text.alias("text"), R.resolve_target(pick(TARGETS)).alias("target"), pick(KINDS).alias("kind"))
+
+
+@query()
+def fn_asset_render(spark, sf_dir):
+    return assets(spark, sf_dir).select("doc_id", "shape", F.md5("text").alias("h"), F.length("text").alias("n"))
+
+
+@query()
+def fn_trigger_description(spark, sf_dir):
+    return assets(spark, sf_dir).select("doc_id", "shape", "about")
+
+
+@query()
+def op_compose(spark, sf_dir):
+    return assets(spark, sf_dir).select("doc_id", "shape", "slug", R.export_path(F.lit("claude_code"), F.col("slug"), F.col("shape")).alias("path"), F.md5("text").alias("h"))
+
+
+@query()
+def op_codify(spark, sf_dir):
+    """Assets with text and without leftover stubs."""
+    return assets(spark, sf_dir).where(~T.unfilled_stub(F.col("text"))).select("doc_id", F.md5("text").alias("h"))
+
+
+@query()
+def sink_export_target(spark, sf_dir):
+    a = assets(spark, sf_dir)
+    path = R.export_path(F.col("target"), F.col("slug"), F.col("shape"))
+    body = R.export_text(*map(F.col, ("target", "name", "slug", "about", "text", "shape")))
+    return a.select("doc_id", "target", path.alias("path"), F.md5(body).alias("h"))
+
+
+@query(f"SELECT doc_id, coalesce(CASE lower(trim(t)) {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in rules.TARGET_ALIASES.items())} END, 'error') AS target FROM (SELECT doc_id, {sql_list(TARGETS)}[CAST(doc_id % 6 + 1 AS INT)] AS t FROM documents)")
+def fn_export_alias(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.resolve_target(pick(TARGETS)).alias("target"))
+
+
+@query("SELECT doc_id, md5('{\"source\":\"' || source || '\",\"lang\":\"' || lang || '\",\"n_chars\":' || CAST(n_chars AS VARCHAR) || '}') AS h FROM documents")
+def sink_link_manifest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.to_json(F.struct("source", "lang", "n_chars"))).alias("h"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN contains(text, '## Artifacts') THEN text ELSE regexp_replace(text, '\\s+\\z', '') || chr(10) || chr(10) || '## Artifacts' || chr(10) || chr(10) || source || chr(10) END) AS h FROM documents")
+def sink_artifacts_section(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(R.append_once(F.col("text"), "## Artifacts", F.col("source"))).alias("h"))
+
+
+@query("SELECT doc_id, source || '-renamed' AS name, md5('# ' || source || '-renamed' || chr(10) || text) AS h FROM documents WHERE doc_id % 10 <> 0")
+def sink_rename(spark, sf_dir):
+    """Deleted rows go; names, slugs and first headings follow the new name."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 10 <> 0")
+    name = F.concat("source", F.lit("-renamed"))
+    headed = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text"))
+    return d.select("doc_id", name.alias("name"), F.md5(F.concat(F.lit("# "), name, F.substring_index(headed, "\n", 1).substr(F.lit(0), F.lit(0)), headed.substr(F.instr(headed, "\n"), F.length(headed)))).alias("h"))
+
+
+TYPES = ["pathlib.Path, required", "Literal['fast', 'slow']", "bool", "int count", "float", "list[str]", "dict", "str"]
+
+
+@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '\"<SANDBOX>/' || source || '\"' WHEN 1 THEN '\"fast\"' WHEN 2 THEN 'true' WHEN 3 THEN '1' WHEN 4 THEN '1.0' WHEN 5 THEN '[]' WHEN 6 THEN '{}' ELSE '\"<sample-' || source || '>\"' END AS v FROM documents")
+def fn_default_for(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.default_for(F.col("source"), pick(TYPES)).alias("v"))
+
+
+@query("SELECT doc_id, lang AS name, CAST(len(string_split(text, chr(10))) AS INT) AS lines FROM documents")
+def fn_frontmatter(spark, sf_dir):
+    x = F.concat(F.lit("---\nname: '"), "lang", F.lit("'\nabout: x\n---\n"), "text")
+    split = T.split_frontmatter(x)
+    return table(spark, sf_dir, "documents").select("doc_id", split["meta"]["name"].alias("name"), F.size(F.split("text", "\n")).alias("lines"))
+
+
+@query("SELECT doc_id, source || ',' || lang AS inputs, lang AS criteria FROM documents")
+def fn_inputs_section(spark, sf_dir):
+    x = F.concat(F.lit("# A\n\n## Inputs\n- "), "source", F.lit("\n- "), "lang", F.lit("\n\n## Success criteria\n1. "), "lang", F.lit("\n\n## End\n- no"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.bullets(T.markdown_section(x, "Inputs")), ",").alias("inputs"), F.array_join(T.bullets(T.markdown_section(x, "Success criteria")), ",").alias("criteria"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS a, doc_id % 2 = 0 AS b, 'not reported by executor' AS c FROM documents")
+def join_report_criteria(spark, sf_dir):
+    """Reports as JSON or as lines; the third criterion is never reported."""
+    a, b = (F.when(F.col("doc_id") % k == 0, "true").otherwise("false") for k in (3, 2))
+    as_json = F.concat(F.lit('```json\n{"criteria": [{"name": "a", "passed": '), a, F.lit('}, {"name": "b", "passed": '), b, F.lit("}]}\n```"))
+    as_lines = F.concat(F.lit("1. "), F.when(a == "true", "PASS").otherwise("fail"), F.lit(" - x\n2. "), F.when(b == "true", "Pass").otherwise("FAIL"), F.lit(": y"))
+    r = R.criteria_report(F.array(F.lit("first"), F.lit("second"), F.lit("third")), F.when(F.col("doc_id") % 5 < 3, as_json).otherwise(as_lines))
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(r, F.lit(0))["passed"].alias("a"), F.get(r, F.lit(1))["passed"].alias("b"), F.get(r, F.lit(2))["evidence"].alias("c"))
+
+
+@query("SELECT doc_id, CAST((doc_id % 3 = 0) AS INT) + CAST((doc_id % 2 = 0) AS INT) AS passed FROM documents")
+def op_validate_asset(spark, sf_dir):
+    r = join_report_criteria(spark, sf_dir)
+    return r.select("doc_id", (F.col("a").cast("int") + F.col("b").cast("int")).alias("passed"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1) THEN '§' || CAST(doc_id AS VARCHAR) || ' (0:' || printf('%02d', doc_id % 60) || '–1:00)' ELSE '§' || CAST(doc_id AS VARCHAR) || ' ' || source END AS label, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, ''), 'Section ' || CAST(doc_id AS VARCHAR)) AS ref FROM documents")
+def fn_section_label(spark, sf_dir):
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", R.section_label(pick(KINDS), i, i % 60, F.lit(60), F.col("source")).alias("label"), R.section_reference(i, F.when(i % 2 == 0, "").otherwise(F.col("lang"))).alias("ref"))
+
+
+@query(f"SELECT doc_id, array_to_string(w[1:2], '; ') || CASE WHEN len(w) > 2 THEN '; +' || CAST(len(w) - 2 AS VARCHAR) || ' more' ELSE '' END AS summary FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)")
+def fn_visual_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.visual_summary(T.words(F.col("text")), 2).alias("summary"))
+
+
+@query("SELECT doc_id, trim(regexp_extract(x, '(?is)```(?:markdown|md)[ \\t]*\\n(.*?)\\n```', 1)) AS block FROM (SELECT doc_id, 'x' || chr(10) || '```markdown' || chr(10) || source || chr(10) || '```' AS x FROM documents)")
+def fn_extract_md_block(spark, sf_dir):
+    x = F.concat(F.lit("x\n```markdown\n"), "source", F.lit("\n```"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_extract(x, r"(?is)```(?:markdown|md)[ \t]*\n(.*?)\n```", 1)).alias("block"))
+
+
+@query()
+def op_capability_ir(spark, sf_dir):
+    """A document per playbook: bindings, contract, execution and risk, as JSON."""
+    n = E.section_bindings(E.evidence_nodes(*graph_inputs(spark, sf_dir)))
+    g = n.groupBy("playbook_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "evidence_id", "word_count", "summary"))).alias("sectionBindings"))
+    ir = F.struct(F.struct("sectionBindings").alias("sourceBinding"), F.struct(F.array(F.lit("source")).alias("inputs"), F.array(F.lit("result")).alias("outputs")).alias("contract"), F.struct(F.lit("deterministic").alias("mode")).alias("execution"), F.struct(F.lit("low").alias("level")).alias("risk"))
+    return g.select("playbook_id", F.to_json(ir).alias("ir"))
