@@ -126,17 +126,45 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = 5):
             yield np.zeros(0, np.uint64)
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Up to so many distinct edges are joined up in one task; more go through the distributed steps.
+LOCAL_EDGES = 1 << 18
+
+
+def joined_up(batches):
+    """(node, component) of all edges (a, b) of a task."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for lo in range(0, len(nodes), 1 << 16):
+        part = nodes[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node reachable.
 
-    Alternates large-star and small-star steps; each step is two aggregations and two joins on written tables, so a
-    hub with very many links is pre-aggregated and its join side is split by the adaptive planner.
+    A number of edges with a checked bound is joined up in one task. More edges go through steps that alternate
+    large stars and small stars; each is an aggregation and a join on written tables, so a hub with very many links is
+    pre-aggregated and its join side is split by the adaptive planner.
     """
     def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = written(df.distinct())
         return df, tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     cur, mark = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if mark[0] <= local:
+        return written(cur.coalesce(1).mapInArrow(joined_up, "node bigint, component bigint"))
     while mark[0]:
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
