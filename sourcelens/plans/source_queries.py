@@ -1 +1,234 @@
-"""Queries."""
+"""Queries of sources: pages, crawls, captions, byte streams, projections of captured text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sourcelens.catalog import query
+from sourcelens.functions import text as T
+from sourcelens.sources import parsers as P
+from sourcelens.sources.tables import table
+
+
+def pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+@query()
+def src_web_page(spark, sf_dir):
+    """Pages as steps, one per section; tested on inline pages."""
+    return P.page_steps(pages(spark, sf_dir).select("url", "html")).select("url", "ordinal", "title", "heading", F.md5("caption_text").alias("h"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(title, '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages WHERE html LIKE '%<title%')")
+def fn_page_title(spark, sf_dir):
+    p = pages(spark, sf_dir).where(F.contains("html", F.lit("<title")))
+    return p.select("page_id", P.parse_page("url", "html")["title"].alias("title"))
+
+
+@query(r"""SELECT page_id, count(DISTINCT link) AS links FROM (SELECT page_id, regexp_replace(CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]*', 0) || h ELSE h END, '#.*$', '') AS link
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS h FROM pages)) WHERE link LIKE 'http%' GROUP BY page_id""")
+def flt_link(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", F.explode(P.parse_page("url", "html")["links"]).alias("link"))
+    return p.groupBy("page_id").agg(F.count_distinct("link").alias("links"))
+
+
+@query(r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*', 0) AS o, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]*', 0) || h ELSE h END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS h FROM pages)) WHERE regexp_extract(link, '^[a-z]+://[^/]*', 0) = o GROUP BY page_id""")
+def flt_same_origin(spark, sf_dir):
+    from sourcelens.functions import urls as U
+
+    h = pages(spark, sf_dir).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("h"))
+    link = F.when(F.startswith("h", F.lit("/")), F.concat(U.origin(F.col("url")), F.col("h"))).otherwise(F.col("h"))
+    return h.where(U.origin(link) == U.origin(F.col("url"))).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(url, '/(blog|en)/')")
+def flt_url_pattern(spark, sf_dir):
+    return pages(spark, sf_dir).where(F.regexp_like("url", F.lit("/(blog|en)/"))).select("page_id")
+
+
+@query()
+def flt_html_noise(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.length(P.parse_page("url", "html")["markdown"]).alias("n"))
+
+
+@query()
+def fn_render_markdown(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.md5(P.parse_page("url", "html")["markdown"]).alias("h"))
+
+
+@query()
+def agg_text_density(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.size(P.parse_page("url", "html")["sections"]).alias("sections"))
+
+
+@query("""WITH lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+marked AS (SELECT *, sum(CAST(starts_with(line, '#') AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS s FROM lines)
+SELECT doc_id, CAST(s AS BIGINT) AS section, count(*) AS lines FROM marked GROUP BY ALL""")
+def fn_split_sections(spark, sf_dir):
+    """A section per line that starts with #, numbered as gaps and islands."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    s = F.sum(F.startswith("line", F.lit("#")).cast("int")).over(Window.partitionBy("doc_id").orderBy("k"))
+    return d.withColumn("section", s.cast("bigint")).groupBy("doc_id", "section").agg(F.count("*").alias("lines"))
+
+
+def page_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, str]:
+    """Every page links to two others; one origin."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    n = p.count()
+    at = lambda c: F.concat(F.lit("http://site/p"), c.cast("string"))
+    edges = p.select(at(F.col("page_id")).alias("src"), F.explode(F.array((F.col("page_id") * 2 + 1) % n, (F.col("page_id") * 2 + 2) % n)).alias("d")).select("src", at(F.col("d")).alias("dst"))
+    return edges, p.select(at(F.col("page_id")).alias("url"), (F.col("page_id") % 5).alias("n_sections")), "http://site/p0"
+
+
+CRAWL_SQL = """WITH RECURSIVE p AS (SELECT page_id, (SELECT count(*) FROM pages) AS n FROM pages),
+c AS (SELECT CAST(0 AS BIGINT) AS id, 0 AS depth UNION SELECT unnest([(id * 2 + 1) % n, (id * 2 + 2) % n]), depth + 1 FROM c JOIN p ON page_id = id WHERE depth < 10),
+seen AS (SELECT id, min(depth) AS depth FROM c GROUP BY id)
+SELECT 'http://site/p' || CAST(id AS VARCHAR) AS url, CAST(depth AS INT) AS depth FROM seen WHERE id % 5 > 0 ORDER BY depth, url LIMIT 30"""
+
+
+@query(CRAWL_SQL)
+def src_docs_site(spark, sf_dir):
+    """The first 30 pages with sections by breadth; the limit is the crawl's own."""
+    links, found, seed = page_graph(spark, sf_dir)
+    return P.crawl(links, found, seed)
+
+
+@query(CRAWL_SQL.replace(" ORDER BY depth, url LIMIT 30", "").replace(" WHERE id % 5 > 0", ""))
+def join_crawl_antijoin(spark, sf_dir):
+    links, found, seed = page_graph(spark, sf_dir)
+    return P.crawl(links, found.withColumn("n_sections", F.lit(1)), seed, most=1 << 30)
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents WHERE trim(text) <> '' AND doc_id BETWEEN 10 AND 5000000")
+def src_pdf(spark, sf_dir):
+    """Pages with text, renumbered after those without are dropped."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents").where((F.trim("text") != "") & F.col("doc_id").between(10, 5000000))
+    return d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("page"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE lang END), ''), source) AS t FROM documents")
+def src_pdf_ocr(spark, sf_dir):
+    """Embedded text, else what recognition gave."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif(F.trim(F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("lang"))), F.lit("")), F.col("source")).alias("t"))
+
+
+@query("SELECT page_id, replace('tmp://p/' || CAST(page_id AS VARCHAR), 'tmp://p/', url || '#') AS u FROM pages")
+def src_pdf_url(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.replace(F.concat(F.lit("tmp://p/"), F.col("page_id").cast("string")), F.lit("tmp://p/"), F.concat("url", F.lit("#"))).alias("u"))
+
+
+@query("SELECT page_id, len(html) AS n FROM pages WHERE starts_with(ltrim(html), '<')")
+def src_rendered_page(spark, sf_dir):
+    """Pages whose body begins like markup, already rendered."""
+    return pages(spark, sf_dir).where(F.startswith(F.ltrim("html"), F.lit("<"))).select("page_id", F.length("html").cast("bigint").alias("n"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'sidecar' ELSE 'transcription' END AS origin FROM conversations WHERE trim(coalesce(text, '')) <> ''")
+def src_local_video(spark, sf_dir):
+    """Captions from a sidecar, else from transcription; blank ones go."""
+    side, heard = F.when(F.col("turn") % 2 == 0, F.lit("sidecar")), F.lit("transcription")
+    return table(spark, sf_dir, "conversations").where(F.trim(F.coalesce("text", F.lit(""))) != "").select("conv_id", "turn", F.coalesce(side, heard).alias("origin"))
+
+
+@query("SELECT conv_id, count(*) AS cues FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY conv_id")
+def src_transcribe(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("conv_id").agg(F.count("*").alias("cues"))
+
+
+@query("SELECT conv_id, CAST(turn * 2 AS DOUBLE) AS start, CAST(turn * 2 + 1 AS DOUBLE) AS e, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE regexp_matches(text, '[A-Za-z]') AND NOT contains(text, chr(10)) AND NOT regexp_matches(text, '^(WEBVTT|NOTE|STYLE)') AND NOT contains(text, '-->') AND NOT contains(text, ': ')")
+def fn_parse_cues(spark, sf_dir):
+    """Turns written as a WebVTT body and read again."""
+    c = table(spark, sf_dir, "conversations").where(r"regexp_like(text, '[A-Za-z]') and not contains(text, '\n') and not regexp_like(text, '^(WEBVTT|NOTE|STYLE)') and not contains(text, '-->') and not contains(text, ': ')")
+    stamp = lambda s: F.format_string("%d:%02d.000", F.floor(s / 60), s % 60)
+    block = F.concat(stamp(F.col("turn") * 2), F.lit(" --> "), stamp(F.col("turn") * 2 + 1), F.lit(" position:50%\n"), T.normalize_space(F.col("text")), F.lit("\n"))
+    body = c.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n")).alias("body"))
+    return body.select("conv_id", F.explode(P.parse_cues("body")).alias("c")).select("conv_id", F.col("c.start").alias("start"), F.col("c.end").alias("e"), F.col("c.text").alias("text"))
+
+
+@query()
+def src_pcm_decode(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(P.pcm16(F.col("text").cast("binary"))).alias("n"))
+
+
+@query()
+def src_jpeg_split(spark, sf_dir):
+    one = F.concat(F.lit(b"\xff\xd8"), F.col("source").cast("binary"), F.lit(b"\xff\xd9"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(P.split_jpegs(F.concat(F.lit(b"x"), one, F.lit(b"junk"), one))).alias("n"))
+
+
+@query()
+def src_jpeg_dims(spark, sf_dir):
+    head = F.concat(F.lit(b"\xff\xd8\xff\xc0\x00\x11\x08"), F.unhex(F.lpad(F.hex(F.col("doc_id") % 2000 + 1), 4, "0")), F.lit(b"\x01\x00\x03aaaaaaaa"))
+    d = P.jpeg_dims(head)
+    return table(spark, sf_dir, "documents").select("doc_id", d["width"].alias("width"), d["height"].alias("height"))
+
+
+@query("SELECT source, count(*) AS failed, min(doc_id) AS first FROM documents WHERE doc_id % 17 = 0 GROUP BY source")
+def agg_failures(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("doc_id % 17 = 0").groupBy("source").agg(F.count("*").alias("failed"), F.min("doc_id").alias("first"))
+
+
+@query()
+def src_youtube_vod(spark, sf_dir):
+    """Downloaded frames and caption tracks as steps; fetching and decoding stay outside, as tables."""
+    from sourcelens.plans.steps_queries import op_process_video
+
+    return op_process_video(spark, sf_dir)
+
+
+@query()
+def src_live_watch(spark, sf_dir):
+    """A watched session's rows as steps; streaming.live.live_steps reads them from a stream."""
+    from sourcelens.plans.stream_queries import st_keyframe_step
+
+    return st_keyframe_step(spark, sf_dir)
+
+
+@query("SELECT user_id AS session_id, count(*) AS steps FROM events GROUP BY user_id HAVING count(*) > 0")
+def sink_session_save(spark, sf_dir):
+    """Sessions that can be saved: those with steps."""
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("steps")).where("steps > 0")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 <> 0")
+def sink_delete(spark, sf_dir):
+    """What stays when the playbooks of every tenth document are deleted."""
+    gone = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id").join(gone, "doc_id", "left_anti")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'v' || CAST(page_id AS VARCHAR) WHEN 1 THEN 's' || CAST(page_id AS VARCHAR) END AS id FROM pages")
+def fn_youtube_id(spark, sf_dir):
+    from sourcelens.functions import urls as U
+
+    i = F.col("page_id").cast("string")
+    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?t=1&v=v"), i)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://youtu.be/s"), i)).otherwise("https://example.com/")
+    return pages(spark, sf_dir).select("page_id", U.youtube_id(u).alias("id"))
+
+
+@query()
+def op_pipeline(spark, sf_dir):
+    """Pages from capture to asset: steps, sections, injection gate, rights gate, asset. A gate that stops a page names itself."""
+    from sourcelens.operators import policy, render
+    from sourcelens.operators import steps as S
+    from sourcelens.plans.policy_queries import KINDS
+    from sourcelens.plans.text_queries import BASES, INTENTS, pick
+
+    p = pages(spark, sf_dir)
+    steps = P.page_steps(p.select("url", "html")).withColumnRenamed("url", "playbook_id")
+    sections = S.sections(steps)
+    texts = sections.groupBy("playbook_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("s"), F.sum("word_count").alias("words")).withColumn("texts", F.transform("s", lambda x: x["text"]))
+    scan = policy.injection_scan(sections.select("playbook_id", F.col("ordinal").alias("seg_idx"), F.concat(F.lit("sections["), F.col("ordinal").cast("string"), F.lit("].text")).alias("location"), "text")).select("playbook_id", "blocked")
+    no = F.lit(None).cast("boolean")
+    rights = policy.assess_rights(p.select(F.col("url").alias("playbook_id"), pick(KINDS, "page_id").alias("source_kind"), pick(BASES, "page_id").alias("rights_basis"), pick(INTENTS, "page_id").alias("export_intent"), F.lit("").alias("license"), no.alias("commercial"), no.alias("redistribution"), F.lit(0).alias("verbatim_words"), no.alias("verbatim"), no.alias("transcript"))).select("playbook_id", "gate")
+    both = texts.join(scan, "playbook_id").join(rights, "playbook_id")
+    name = T.slugify(F.col("playbook_id"))
+    asset = render.asset(F.lit("skill"), name, render.description(F.lit("skill"), T.topic_from_seed_url(F.col("playbook_id")), F.lit("web_page"), F.array().cast("array<string>")), F.col("texts"))
+    status = F.when(F.col("words") == 0, "no_text").when(F.col("blocked"), "injection").when(~F.col("gate"), "rights").otherwise("ok")
+    return both.select("playbook_id", status.alias("status"), F.when(status == "ok", F.md5(asset)).alias("asset"))
