@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from sourcelens import rules
 
-C = F.col
-
 
 def filled(*cols: Column) -> Column:
     """The first that is neither null nor empty."""

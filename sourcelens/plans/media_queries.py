@@ -36,28 +36,27 @@ zoned AS (SELECT *, floor(CAST((r - x) * (b - y) AS DOUBLE) / 230400 * 10000 + 0
   CASE WHEN y <= 360 * 0.18 THEN 'top_bar' END, CASE WHEN b >= 360 * 0.82 THEN 'bottom_bar' END, CASE WHEN x <= 640 * 0.18 THEN 'left_rail' END, CASE WHEN r >= 640 * 0.82 THEN 'right_rail' END], lambda z: z IS NOT NULL))) AS zones FROM boxes)"""
 ACTION_SQL = """CASE WHEN ratio >= 0.45 THEN 'screen_transition' WHEN list_contains(zones, 'top_bar') OR list_contains(zones, 'left_rail') THEN 'navigation_or_tool_change' WHEN text_changed AND ratio <= 0.12 THEN 'text_entry_or_selection'
   WHEN text_changed THEN 'content_update' WHEN ratio <= 0.03 THEN 'pointer_or_selection_change' WHEN diff >= 60 THEN 'visual_cut' ELSE 'layout_change' END"""
-W, H = F.lit(640), F.lit(360)
 
 
 @query(f"WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, ratio FROM zoned")
 def fn_bbox_ratio(spark, sf_dir):
-    return boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", M.bbox_ratio(F.col("box"), W, H).alias("ratio"))
+    return boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", M.bbox_ratio(F.col("box"), F.lit(640), F.lit(360)).alias("ratio"))
 
 
 @query(f"WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, array_to_string(zones, ',') AS zones FROM zoned")
 def fn_zones(spark, sf_dir):
-    return boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(M.zones(F.col("box"), W, H), ",").alias("zones"))
+    return boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(M.zones(F.col("box"), F.lit(640), F.lit(360)), ",").alias("zones"))
 
 
 @query(f"WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, CAST(len(zones) AS INT) AS n FROM zoned")
 def agg_distinct_tags(spark, sf_dir):
-    return boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.size(M.zones(F.col("box"), W, H)).alias("n"))
+    return boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", F.size(M.zones(F.col("box"), F.lit(640), F.lit(360))).alias("n"))
 
 
 @query(f"WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, {ACTION_SQL} AS action FROM zoned")
 def fn_classify_action(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    a = M.classify_action(M.bbox_ratio(F.col("box"), W, H), M.zones(F.col("box"), W, H), F.col("text_changed"), F.col("diff"))
+    a = M.classify_action(M.bbox_ratio(F.col("box"), F.lit(640), F.lit(360)), M.zones(F.col("box"), F.lit(640), F.lit(360)), F.col("text_changed"), F.col("diff"))
     return b.select("l_orderkey", "l_linenumber", a["action"].alias("action"))
 
 
@@ -101,7 +100,10 @@ def formats(spark, sf_dir) -> DataFrame:
     )
 
 
-PREF = F.when(F.contains("protocol", F.lit("m3u8")), 2).when(F.startswith("protocol", F.lit("http")), 1).otherwise(0)
+def preference():
+    return F.when(F.contains("protocol", F.lit("m3u8")), 2).when(F.startswith("protocol", F.lit("http")), 1).otherwise(0)
+
+
 PREF_SQL = "CASE WHEN contains(protocol, 'm3u8') THEN 2 WHEN starts_with(protocol, 'http') THEN 1 ELSE 0 END"
 
 
@@ -109,7 +111,7 @@ PREF_SQL = "CASE WHEN contains(protocol, 'm3u8') THEN 2 WHEN starts_with(protoco
 def topk_video_format(spark, sf_dir):
     """The best by protocol, height and bit rate, the first of equals: one aggregation, no sort of a video's formats."""
     f = formats(spark, sf_dir).where("not audio_only")
-    return f.groupBy("video").agg(F.max_by("idx", F.struct(PREF, "height", "tbr", -F.col("idx"))).alias("idx"))
+    return f.groupBy("video").agg(F.max_by("idx", F.struct(preference(), "height", "tbr", -F.col("idx"))).alias("idx"))
 
 
 @query(f"WITH {FORMAT_SQL} SELECT video, idx FROM formats WHERE audio_only QUALIFY row_number() OVER (PARTITION BY video ORDER BY tbr DESC, idx) = 1")

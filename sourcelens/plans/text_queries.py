@@ -30,37 +30,34 @@ def docs(spark: SparkSession, sf_dir: str, **cols) -> DataFrame:
     return table(spark, sf_dir, D).select("doc_id", *[c.alias(k) for k, c in cols.items()])
 
 
-X = F.col("text")
-
-
 @query(r"SELECT doc_id, substr(coalesce(nullif(trim(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'tutorial'), 1, 80) AS slug FROM documents")
 def fn_slugify(spark, sf_dir):
-    return docs(spark, sf_dir, slug=T.slugify(X))
+    return docs(spark, sf_dir, slug=T.slugify(F.col("text")))
 
 
 @query(f"SELECT doc_id, {sql_first('text', 60)} AS head FROM documents")
 def fn_truncate_words(spark, sf_dir):
-    return docs(spark, sf_dir, head=T.truncate_words(X, 60))
+    return docs(spark, sf_dir, head=T.truncate_words(F.col("text"), 60))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 199) || '…' END AS a, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 197) || '...' END AS b FROM documents")
 def fn_truncate_chars(spark, sf_dir):
-    return docs(spark, sf_dir, a=T.truncate_chars(X, 200), b=T.truncate_chars(X, 200, "..."))
+    return docs(spark, sf_dir, a=T.truncate_chars(F.col("text"), 200), b=T.truncate_chars(F.col("text"), 200, "..."))
 
 
 @query(f"SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE substr(s, 1, 79) || '…' END AS short FROM (SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS s FROM documents)")
 def fn_short_name(spark, sf_dir):
-    return docs(spark, sf_dir, short=T.short_name(X))
+    return docs(spark, sf_dir, short=T.short_name(F.col("text")))
 
 
 @query(f"SELECT doc_id, md5(array_to_string({sql_words('text')}, ' ')) AS h, CAST(len({sql_words('text')}) AS INT) AS n FROM documents")
 def fn_normalize_space(spark, sf_dir):
-    return docs(spark, sf_dir, h=F.md5(T.normalize_space(X)), n=T.word_count(X))
+    return docs(spark, sf_dir, h=F.md5(T.normalize_space(F.col("text"))), n=T.word_count(F.col("text")))
 
 
 @query(rf"SELECT doc_id, CAST(len(t) AS INT) AS n, md5(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, regexp_extract_all(lower(text), '{rules.TOKEN_PATTERN}') AS t FROM documents)")
 def fn_tokens(spark, sf_dir):
-    t = T.tokens(X)
+    t = T.tokens(F.col("text"))
     return docs(spark, sf_dir, n=F.size(t), h=F.md5(F.array_join(t, " ")))
 
 
@@ -69,7 +66,7 @@ KEYWORDS = rf"list_filter(regexp_extract_all(regexp_replace(lower(text), '{rules
 
 @query(f"SELECT doc_id, CAST(len(t) AS INT) AS n, md5(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, {KEYWORDS} AS t FROM documents)")
 def fn_kw_tokens(spark, sf_dir):
-    return docs(spark, sf_dir, t=T.keyword_tokens(X)).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
+    return docs(spark, sf_dir, t=T.keyword_tokens(F.col("text"))).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
 
 
 @query(rf"SELECT page_id, md5(regexp_replace(url || ' ' || html, '{rules.URL_PATTERN}', ' ', 'g')) AS h FROM pages")
@@ -79,7 +76,7 @@ def fn_strip_urls(spark, sf_dir):
 
 @query(f"SELECT doc_id, array_to_string({sql_words('''string_split(text, '.')[1]''')}[1:25], ' ') AS s FROM documents")
 def fn_first_sentence(spark, sf_dir):
-    return docs(spark, sf_dir, s=T.first_sentence(X))
+    return docs(spark, sf_dir, s=T.first_sentence(F.col("text")))
 
 
 HEADED = "source || ' — ' || lang || ' / ' || text"
@@ -87,12 +84,12 @@ HEADED = "source || ' — ' || lang || ' / ' || text"
 
 @query(f"SELECT doc_id, CASE WHEN f LIKE '% — %' THEN trim(substr(f, instr(f, ' — ') + 3)) ELSE f END AS heading FROM (SELECT doc_id, trim(string_split({HEADED}, ' / ')[1]) AS f FROM documents)")
 def fn_doc_heading(spark, sf_dir):
-    return docs(spark, sf_dir, heading=T.doc_heading(F.concat(F.col("source"), F.lit(" — "), F.col("lang"), F.lit(" / "), X)))
+    return docs(spark, sf_dir, heading=T.doc_heading(F.concat(F.col("source"), F.lit(" — "), F.col("lang"), F.lit(" / "), F.col("text"))))
 
 
 @query(r"SELECT doc_id, coalesce(nullif(regexp_extract(t, '^Page\s+(\d+)\b', 1), ''), CAST(doc_id AS VARCHAR)) AS page FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Page ' || CAST(doc_id % 40 AS VARCHAR) || ' / ' || text END AS t FROM documents)")
 def fn_pdf_page_no(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 3 == 0, X).otherwise(F.concat(F.lit("Page "), (F.col("doc_id") % 40).cast("string"), F.lit(" / "), X))
+    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Page "), (F.col("doc_id") % 40).cast("string"), F.lit(" / "), F.col("text")))
     return docs(spark, sf_dir, page=T.pdf_page_no(t, F.col("doc_id")))
 
 
@@ -102,7 +99,7 @@ def sql_join(x: str, last: str) -> str:
 
 @query(f"SELECT doc_id, {sql_join('i', 'and')} AS plain, {sql_join('q', 'or')} AS quoted FROM (SELECT doc_id, i, list_transform(i, lambda v: '''' || v || '''') AS q FROM (SELECT doc_id, {sql_words('text')}[1:CAST(doc_id % 5 AS INT)] AS i FROM documents))")
 def fn_natural_join(spark, sf_dir):
-    i = F.slice(T.words(X), F.lit(1), (F.col("doc_id") % 5).cast("int"))
+    i = F.slice(T.words(F.col("text")), F.lit(1), (F.col("doc_id") % 5).cast("int"))
     return docs(spark, sf_dir, plain=T.natural_join(i), quoted=T.natural_join_quoted(i))
 
 
@@ -111,7 +108,7 @@ PHRASES = f"list_transform(range(CAST(least(len({sql_words('text')}) // 12, 4) A
 
 @query(f"SELECT doc_id, array_to_string({PHRASES}, '|') AS phrases FROM documents")
 def fn_long_phrases(spark, sf_dir):
-    return docs(spark, sf_dir, phrases=F.array_join(T.long_phrases(X), "|"))
+    return docs(spark, sf_dir, phrases=F.array_join(T.long_phrases(F.col("text")), "|"))
 
 
 def sql_map(aliases: dict[str, str], x: str, default: str) -> str:
@@ -145,7 +142,7 @@ def join_alias_map(spark, sf_dir):
 FROM (SELECT *, greatest(s - 96, 0) AS a, least(s + 20 + 96, length(text)) AS b FROM (SELECT doc_id, text, doc_id % 500 AS s FROM documents))""")
 def fn_snippet(spark, sf_dir):
     s = (F.col("doc_id") % 500).cast("int")
-    return docs(spark, sf_dir, snippet=T.snippet(X, s, s + 20))
+    return docs(spark, sf_dir, snippet=T.snippet(F.col("text"), s, s + 20))
 
 
 CLOCK = "CASE WHEN s // 3600 > 0 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END"
@@ -178,7 +175,7 @@ TITLED = f"(SELECT doc_id, {TITLE_SQL} AS title FROM (SELECT doc_id, array_to_st
 
 
 def titles(spark, sf_dir) -> DataFrame:
-    w, k = F.array_join(F.slice(T.words(X), 1, 4), " "), F.col("doc_id") % 6
+    w, k = F.array_join(F.slice(T.words(F.col("text")), 1, 4), " "), F.col("doc_id") % 6
     t = (
         F.when(k == 0, F.concat(F.lit("2024 "), w, F.lit(" Bootcamp for FREE"))).when(k == 1, F.concat(w, F.lit(" in 100 Seconds"))).when(k == 2, F.concat(w, F.lit(" | FULL COURSE for Beginners")))
         .when(k == 3, F.concat(F.lit("Learn "), w, F.lit(" - Complete Guide [2023]"))).when(k == 4, F.concat(w, F.lit(" Roadmap"))).otherwise(F.concat(w, F.lit(" — MDN")))
@@ -215,7 +212,7 @@ def fn_topic_from_seed_url(spark, sf_dir):
 
 @query(rf"SELECT t.doc_id, CASE WHEN regexp_matches(title, '(?i){rules.ROLE_TITLE}') AND n >= 10 THEN 'agent' ELSE 'skill' END AS shape FROM {TITLED} t JOIN (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) d USING (doc_id)")
 def prd_detect_shape(spark, sf_dir):
-    n = docs(spark, sf_dir, n=F.size(F.split(X, "\n")))
+    n = docs(spark, sf_dir, n=F.size(F.split(F.col("text"), "\n")))
     role = F.regexp_like("title", F.lit(f"(?iu){rules.ROLE_TITLE}"))
     return titles(spark, sf_dir).join(n, "doc_id").select("doc_id", F.when(role & (F.col("n") >= 10), "agent").otherwise("skill").alias("shape"))
 
@@ -223,7 +220,7 @@ def prd_detect_shape(spark, sf_dir):
 @query(r"SELECT doc_id, regexp_matches(t, '(?i)_\(Stub\.') OR regexp_matches(t, '(?m)^\s*(inputs|outputs|dependencies|owned_skills|rollback_strategy):\s*null\b') AS stub FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' _(stub. fill)_' WHEN 1 THEN chr(10) || '  inputs: null' ELSE '' END AS t FROM documents)")
 def prd_unfilled_stub(spark, sf_dir):
     k = F.col("doc_id") % 5
-    return docs(spark, sf_dir, stub=T.unfilled_stub(F.concat(X, F.when(k == 0, " _(stub. fill)_").when(k == 1, "\n  inputs: null").otherwise(""))))
+    return docs(spark, sf_dir, stub=T.unfilled_stub(F.concat(F.col("text"), F.when(k == 0, " _(stub. fill)_").when(k == 1, "\n  inputs: null").otherwise(""))))
 
 
 PARTS = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
@@ -277,18 +274,18 @@ def fn_infer_name(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS h FROM documents")
 def fn_sha256_text(spark, sf_dir):
-    return docs(spark, sf_dir, h=F.sha2(X, 256))
+    return docs(spark, sf_dir, h=F.sha2(F.col("text"), 256))
 
 
 @query("SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), lang, source, CAST(n_chars AS VARCHAR), sha256(text))) AS h FROM documents")
 def fn_json_canonical_hash(spark, sf_dir):
     """A hash of a canonical string: fields in a fixed order between bars."""
-    return docs(spark, sf_dir, h=F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"), F.sha2(X, 256)), 256))
+    return docs(spark, sf_dir, h=F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"), F.sha2(F.col("text"), 256)), 256))
 
 
 @query("SELECT doc_id, md5(replace(text, 'the', 'tmp://x')) AS h FROM documents")
 def fn_replace_strings(spark, sf_dir):
-    return docs(spark, sf_dir, h=F.md5(F.replace(X, F.lit("the"), F.lit("tmp://x"))))
+    return docs(spark, sf_dir, h=F.md5(F.replace(F.col("text"), F.lit("the"), F.lit("tmp://x"))))
 
 
 @query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), nullif(lang, ''), 'x') AS v FROM documents")
