@@ -9,8 +9,8 @@ order is exact, and its errors only cost candidates.
 
 Equal sets form classes before the join. In an index bucket only the links to the bucket's first member that
 the length and position bounds admit are tried at first, so a bucket of g near copies gives g - 1 candidates. Buckets whose members
-still lie in different components try other members against all in ROUNDS further rounds; what is apart then is mostly
-few members against one large component. At last, and only for such buckets, every pair across components that the length and position bounds admit is tried too. No link
+still lie in different components try those outside the largest against one inside, another for each token, in ROUNDS
+further rounds; what is apart then is mostly without a link. At last, or as soon as they are few, every pair of such buckets across components that the length and position bounds admit is tried too. No link
 between different components is lost, and no pair inside one is needed.
 
 The rows of a bucket that the sketch knows to be hot are dealt to several tasks, each with a first member of its own,
@@ -40,7 +40,9 @@ LEAST_BITS, MOST_BITS, SLICE = 14, 24, 1 << 16
 HOT = 20_000
 ORDERS = 3
 #: Rounds in which buckets that are still apart try one more member against all, before every pair across components.
-ROUNDS = 3
+ROUNDS = 4
+#: Pairs across components for each member up to which they are tried at once.
+FEW_PAIRS = 4
 CEILING = np.uint64((1 << 28) - 1)
 #: Up to so many identifiers may be broadcast to pick documents; beyond it the tables are shuffled.
 FEW = 1 << 20
@@ -260,11 +262,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = written(members.join(classes.select("sig", "rep"), "sig").select("token", "rep", "n", "pos", F.col("rep").alias("c")))
     pairs, tried, sets, label = written(between(stars).union(clash).distinct()), None, None, None
     for step in range(ROUNDS + 2):
+        last = step > ROUNDS
         if step:
             named = apart(named)
-            if named.isEmpty():
+            members, most = named.count(), cross_pairs(named)
+            if not members:
                 break
-            found = across(named, percent) if step > ROUNDS else pivoted(named, step, percent)
+            last = last or most <= FEW_PAIRS * members
+            found = across(named, percent) if last else pivoted(named, step, percent)
             pairs = written(found.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         missing = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
@@ -276,6 +281,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links = relabelled(relabelled(links, label, "a"), label, "b")
         merged = components(links)
         label = merged if label is None else written(relabelled(label, merged, "component").union(merged.join(label.select("node"), "node", "left_anti")))
+        if last:
+            break
         named = written(relabelled(named, merged, "c"))
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "sig2", "n", F.coalesce("component", "rep").alias("component"))
@@ -296,9 +303,18 @@ def apart(named: DataFrame) -> DataFrame:
     return written(named.join(several, "token", "left_semi"))
 
 
+def cross_pairs(named: DataFrame) -> int:
+    """How many pairs of a bucket's members lie in different components, over all buckets."""
+    each = named.groupBy("token", "c").agg(F.count("*").alias("n"))
+    total = each.groupBy("token").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return total.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+
+
 def pivoted(named: DataFrame, step: int, percent: int) -> DataFrame:
-    """Pairs of a bucket's members with one of them that the step chooses, where components differ."""
-    chosen = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(step), "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("c").alias("pc"))).alias("s")).select("token", "s.*")
+    """Pairs of a bucket's members outside its largest component with one inside, which step and token choose."""
+    inside = F.struct(F.xxhash64(F.lit(step), "token", "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
+    each = named.groupBy("token", "c").agg(F.count("*").alias("size"), F.min(inside).alias("s"))
+    chosen = each.groupBy("token").agg(F.max_by(F.struct(F.col("c").alias("pc"), "s"), F.struct("size", "c")).alias("b")).select("token", "b.pc", "b.s.*")
     rows = named.join(chosen, "token").where("c <> pc").where(admitted("n", "pos", "pn", "pp", percent))
     return rows.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
