@@ -7,7 +7,7 @@ looking at the other pairs. Vectors are joined on filters, and every pair of a f
 cosine in double precision. A pair that meets in several filters counts in the smallest of them, so counts need no pairs
 outside a task.
 
-The height and the code books' size follow from the number of vectors: a filter holds about BUCKET vectors if these are
+The height and the code books' size follow from the number of vectors and their length: a filter holds about BUCKET vectors if these are
 spread out, and a pair at the least cosine shares MEET filters on average. A filter with more than SPLIT vectors, as
 groups of near copies make, is dealt as pairs of chunks to several tasks, so no pair in it is left out.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import columns, components, written
 
 COSINE, BUCKET, MEET, SPLIT, CHUNK = 0.9, 16, 6.0, 4096, 2048
-SEED = 11
+SEED, LOW = 11, 8
 
 
 def tail(t: float) -> float:
@@ -44,40 +44,55 @@ def both_tail(t: float, rho: float) -> float:
     return float((w * beyond).sum() / w.sum())
 
 
-def height(n: int, cosine: float, bucket: int, meet: float) -> tuple[float, int]:
-    """The caps' height in standard deviations of a score, and the number of code words of each half."""
-    lo, hi = 0.5, 8.0
-    for _ in range(40):  # filters = lists / P(beyond) = n lists / bucket, so P(beyond) = bucket / n
-        t = (lo + hi) / 2
-        lo, hi = (t, hi) if tail(t) > min(0.25, bucket / max(n, 1)) else (lo, t)
-    lists = meet / both_tail(t, cosine)
-    return t, max(4, int(np.ceil(np.sqrt(lists / tail(t)))))
+def height(n: int, dim: int, cosine: float, bucket: int, meet: float) -> tuple[float, int]:
+    """The caps' height as a cosine, and the number of code words of each half.
+
+    Scores count as normal ones in more than LOW dimensions; in fewer the sphere itself is sampled, and caps are wide
+    enough to hold two vectors at the least cosine.
+    """
+    share = min(0.25, bucket / max(n, 1))
+    if dim > LOW:
+        lo, hi = 0.5, 8.0
+        for _ in range(40):  # filters = lists / P(beyond) = n lists / bucket, so P(beyond) = bucket / n
+            t = (lo + hi) / 2
+            lo, hi = (t, hi) if tail(t) > share else (lo, t)
+        beyond, both, least = tail(t), both_tail(t, cosine), t / sqrt(dim)
+    else:
+        u = np.random.default_rng([SEED, dim, 1]).standard_normal((1 << 16, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        other = cosine * u[:, 0] + sqrt(1 - cosine**2) * u[:, 1] if dim > 1 else u[:, 0]
+        least = float(min(np.quantile(u[:, 0], 1 - share), 0.9 * sqrt((1 + cosine) / 2)))
+        beyond = max(float((u[:, 0] >= least).mean()), 1e-4)
+        both = max(float(((u[:, 0] >= least) & (other >= least)).mean()) / beyond, 0.05)
+    return least, max(4, int(np.ceil(np.sqrt(meet / both / beyond))))
 
 
 class Code:
-    """The product code for vectors of one length."""
+    """The product code for vectors of one length; plan: number of vectors, least cosine, vectors a filter, filters a pair."""
 
-    def __init__(self, dim: int, words: int, t: float):
+    def __init__(self, dim: int, plan: tuple[int, float, int, float]):
         rng = np.random.default_rng([SEED, dim])
-        self.dim, self.words, self.half = dim, words, (dim + 1) // 2
+        least, words = height(plan[0], dim, *plan[1:])
+        halves = (dim - dim // 2, dim // 2) if dim > LOW else (dim, 0)  # short vectors have one book of all directions
+        self.dim, self.half, self.second = dim, halves[0], words if halves[1] else 1
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.books = [rng.standard_normal((words, max(1, k))) for k in (self.half, dim - self.half)]
+        self.books = [rng.standard_normal((words if halves[1] else words * words, halves[0])), rng.standard_normal((self.second, halves[1]))]
         for book in self.books:
-            book /= np.linalg.norm(book, axis=1, keepdims=True)
-        self.least = t * sqrt(2 / dim)  # of the sum of both halves' scores
+            book /= np.maximum(np.linalg.norm(book, axis=1, keepdims=True), 1e-12)
+        self.least = least * sqrt(2 if halves[1] else 1)  # of the sum of the halves' scores
 
     def filters(self, x: np.ndarray) -> list[np.ndarray]:
         """The sorted filters of each unit vector."""
         x = x @ self.rotation
         a = x[:, : self.half] @ self.books[0].T
-        b = x[:, self.half :] @ self.books[1].T if self.dim > 1 else np.zeros_like(a)
+        b = x[:, self.half :] @ self.books[1].T
         order = np.argsort(-b, axis=1)
         found = []
         for row, scores, at in zip(a, np.take_along_axis(b, order, 1), order):
             first = np.flatnonzero(row >= self.least - scores[0])
             many = np.searchsorted(-scores, -(self.least - row[first]), "right")
             second = np.concatenate([at[:k] for k in many]) if len(many) else np.zeros(0, np.int64)
-            found.append(np.sort(np.repeat(first, many) * self.words + second))
+            found.append(np.sort(np.repeat(first, many) * self.second + second))
         return found
 
 
@@ -91,7 +106,7 @@ def rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-def entries(classes: DataFrame, words: int, t: float, with_vector: bool) -> DataFrame:
+def entries(classes: DataFrame, plan: tuple, with_vector: bool) -> DataFrame:
     """classes(rep, size, v) -> (dim, filter[, rep, size, v])."""
     names = ["dim", "filter", *["rep", "size", "v"] * with_vector]
 
@@ -106,7 +121,7 @@ def entries(classes: DataFrame, words: int, t: float, with_vector: bool) -> Data
                 ends = np.cumsum(dims)
                 for dim in np.unique(dims).tolist():
                     at = np.flatnonzero(dims == dim)
-                    code = codes.get(dim) or codes.setdefault(dim, Code(dim, words, t))
+                    code = codes.get(dim) or codes.setdefault(dim, Code(dim, plan))
                     lists = code.filters(unit(np.stack([flat[ends[k] - dim : ends[k]] for k in at])))
                     take = pa.array(np.repeat(at, [len(x) for x in lists]))
                     out = [pa.array(np.full(len(take), dim), pa.int32()), pa.array(np.concatenate(lists), pa.int64())]
@@ -145,7 +160,7 @@ def links_in(code: Code, f: int, rep: np.ndarray, size: np.ndarray, x: np.ndarra
         label = new
 
 
-def joined(found: DataFrame, words: int, t: float, cosine: float) -> DataFrame:
+def joined(found: DataFrame, plan: tuple, cosine: float) -> DataFrame:
     """found(dim, filter, c1, c2, chunk, rep, size, v), a group per (dim, filter, c1, c2) -> (rep, n, label)."""
     names = ["rep", "n", "label"]
 
@@ -159,7 +174,7 @@ def joined(found: DataFrame, words: int, t: float, cosine: float) -> DataFrame:
             if group.num_rows < 2:
                 return None
             dim, f, c1, c2 = (group.column(k)[0].as_py() for k in range(4))
-            code = codes.get(dim) or codes.setdefault(dim, Code(dim, words, t))
+            code = codes.get(dim) or codes.setdefault(dim, Code(dim, plan))
             x = unit(rows_of(group.column(7))[1].reshape(-1, dim))
             side = group.column(4).to_numpy() if c1 != c2 else None
             rep, size = group.column(5).to_numpy(), group.column(6).to_numpy()
@@ -202,15 +217,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sound = F.coalesce(F.col("id").isNotNull() & ~broken & F.exists("v", lambda x: x != 0), F.lit(False))
     marked = own.withColumn("h", F.when(sound, F.xxhash64("v")))
     classes = written(marked.where("h is not null").groupBy("h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
-    t, words = height(classes.count(), cosine, bucket, meet)
+    plan = (classes.count(), cosine, bucket, meet)
 
-    hot = entries(classes, words, t, False).groupBy("dim", "filter").count().where(F.col("count") > split)
+    hot = entries(classes, plan, False).groupBy("dim", "filter").count().where(F.col("count") > split)
     hot = written(hot.select("dim", "filter", F.ceil(F.col("count") / (split // 2)).cast("int").alias("k")))
-    found = entries(classes, words, t, True).join(hot, ["dim", "filter"], "left")
+    found = entries(classes, plan, True).join(hot, ["dim", "filter"], "left")
     found = found.withColumn("chunk", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("k"))).cast("int"))
     others = F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)
     found = found.withColumn("other", F.explode(others)).select("*", F.least("chunk", "other").cast("int").alias("c1"), F.greatest("chunk", "other").cast("int").alias("c2"))
-    met = written(joined(found, words, t, cosine))
+    met = written(joined(found, plan, cosine))
 
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     label = components(met.select(F.col("rep").alias("a"), F.col("label").alias("b")).distinct())
