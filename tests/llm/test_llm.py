@@ -159,7 +159,7 @@ def test_components(spark, local):
 
 
 def test_katz(spark, odd):
-    rows = [(i, text(i, 40, 60), "en", "s") for i in range(40)]
+    rows = [(1000 + i, text(i, 40, 60), "en", "s") for i in range(40)]
     d = docs(spark, rows).unionByName(odd)
     got = {}
     for r in katz.katz_scores(d, part_tokens=500).collect():
