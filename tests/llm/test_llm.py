@@ -373,6 +373,15 @@ def test_near_passages(odd, spark):
     assert set(got.doc_id) == set(range(0, 60, 5)) and set(got.component_id) == {0}
 
 
+def test_near_passages_whose_first_member_shares_too_little(spark):
+    passage = text(60, 60, 10**6).split()
+    around = lambda k, ws: (k, f"{text(300 + k, 60, 10**6)} {' '.join(ws)} {text(600 + k, 60, 10**6)}", "en", "s")
+    rows = [around(k, passage[:42] if k % 2 else passage[18:]) for k in range(40)]  # shorter runs, and the smallest identifiers
+    rows += [around(100 + k, [*passage[: 30 + k // 12], *(["edited"] if k % 4 == 1 else passage[30 + k // 12 : 31 + k // 12]), *passage[31 + k // 12 :]]) for k in range(24)]
+    got = substring_dedup.near_passages(docs(spark, rows)).toPandas()
+    assert set(got.doc_id) == {100 + k for k in range(24)} and set(got.component_id) == {100}
+
+
 def test_words_and_shingles():
     t = pa.array(["a  B\tc", None, "", "\n\n", "x" * 50 + " y", "é É"])
     out = []
