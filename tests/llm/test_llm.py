@@ -260,6 +260,14 @@ def test_mixing(odd):
     assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix(odd).collect()) == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_mixing_of_small_sources_beside_a_large_one(spark):
+    rows = [(k, "w " * 10000, "en", "large") for k in range(300)] + [(1000 + k, "w " * 70, "en", "small") for k in range(10)] + [(2000, "w " * 9, "en", "tiny")]
+    got = mixing.mix(docs(spark, rows), blocks=512).join(docs(spark, rows).select("doc_id", "source"), "doc_id").collect()
+    for s in ("large", "small", "tiny"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(4, 0.03 * own[0]["target"])
+
+
 def test_token_counts(odd):
     pieces = {"▁": -9.0, "▁the": -3.0, "the": -4.0, "t": -6.0, "h": -6.0, "e": -5.0, "he": -5.5, "▁t": -4.0, "▁▁": -7.0, "a": -2.0, "aa": -4.0, "aaa": -6.0}
     c = token_count.Counter(pieces, True)
