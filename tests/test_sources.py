@@ -38,6 +38,12 @@ def test_crawl(spark):
     assert P.crawl(links, pages, "http://a/1", most=2).count() == 2
 
 
+def test_crawl_follows_a_long_chain(spark):
+    links = spark.createDataFrame([(f"http://a/{k}", f"http://a/{k + 1}") for k in range(13)], "src string, dst string")
+    pages = spark.createDataFrame([(f"http://a/{k}", 1) for k in range(14)], "url string, n_sections int")
+    assert [tuple(r) for r in P.crawl(links, pages, "http://a/0").collect()] == [(f"http://a/{k}", k) for k in range(14)]
+
+
 def test_stream_equals_replay(spark, tmp_path):
     from sourcelens.streaming import live as L
 
