@@ -207,7 +207,7 @@ def proj_doc_step(spark, sf_dir):
 
 @query(f"WITH {STEPS_SQL}, last AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY playbook_id ORDER BY ordinal DESC) <= 20) SELECT playbook_id, sequence, CAST(row_number() OVER (PARTITION BY playbook_id ORDER BY ordinal) AS INT) AS ordinal FROM last")
 def sink_playbook(spark, sf_dir):
-    """What a playbook keeps: its last steps, renumbered. operators.playbooks writes and reads them."""
+    """What a playbook keeps: its last steps, renumbered. Writing and reading them is not rebuilt."""
     w = Window.partitionBy("playbook_id")
     s = steps(spark, sf_dir).withColumn("r", F.row_number().over(w.orderBy(F.desc("ordinal")))).where("r <= 20")
     return s.select("playbook_id", "sequence", F.row_number().over(w.orderBy("ordinal")).alias("ordinal"))
