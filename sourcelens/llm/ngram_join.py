@@ -2,19 +2,21 @@
 
 A document's set is its distinct word shingles. Two sets with Jaccard similarity of at least t share a token among the
 first n - ceil(t n) + 1 tokens of each, whatever global order the tokens are in. Three orders are used: by document
-frequency, by its magnitude with another tie-break, and by hash. Candidates come from the inverted index of the first;
-a candidate is verified only if it also passes the filters of the others, that is, if it lies in the intersection.
-Frequencies come from a count sketch over all documents. A sketch may be wrong about a token without harm: any fixed
-order is exact, and its errors only cost candidates.
-
-Equal sets form classes before the join. In an index bucket only the links to the bucket's first member that
-the length and position bounds admit are tried at first, so a bucket of g near copies gives g - 1 candidates. Buckets whose members
-still lie in different components try those outside the largest against one inside, another for each token, in ROUNDS
-further rounds; what is apart then is mostly without a link. At last, or as soon as they are few, every pair of such buckets across components that the length and position bounds admit is tried too. No link
-between different components is lost, and no pair inside one is needed.
-
-The rows of a bucket that the sketch knows to be hot are dealt to several tasks, each with a first member of its own,
-and these first members meet in a second round.
+frequency, by its magnitude with another tie-break, and by hash. The inverted index of the first finds who meets; the
+prefixes under the others are kept beside each set as compact arrays, and a pair of which any two do not intersect is
+dropped before a set is fetched. So is one whose bitmaps, of the parity of hashed tokens, differ in more places than
+the threshold lets sets differ. Frequencies come from a count sketch over all documents. A sketch may be wrong about a
+token without harm: any fixed order is exact, and its errors only cost candidates.
+
+Equal sets form classes before the join, and only components are asked for, so candidates come in rounds. In each of
+ROUNDS rounds an index bucket that lies in several components offers one pivot from its largest, the member that meets
+others most, and each class outside tries the best of its buckets' pivots: at most one candidate a class and round.
+A noisy copy has a prefix of tokens that nobody shares, so the pivot of a group of copies is its cleanest member, to
+which most link at once. At last, or as soon as they are few, every pair of a bucket's members across components is
+compared by position bound and bitmap inside the bucket, in chunks dealt to several tasks; only pairs that pass leave
+it. No link between different components is lost, and no pair inside one is needed.
+
+The rows of a bucket that the sketch knows to be hot are dealt to several tasks.
 
 Null and empty texts have an empty set and link with nothing. Fewer words than a shingle make one shingle. Rows that
 repeat an identifier, whatever their texts, are documents of their own that share its component. Further columns are
@@ -39,8 +41,10 @@ LEAST_BITS, MOST_BITS, SLICE = 14, 24, 1 << 16
 #: Rows of an index bucket that one task may get.
 HOT = 20_000
 ORDERS = 3
-#: Rounds in which buckets that are still apart try one more member against all, before every pair across components.
-ROUNDS = 4
+#: Rounds of pivots before every pair across components, and members of a bucket that one chunk may hold then.
+ROUNDS, DEAL = 3, 1 << 10
+#: Pairs that a task compares at a time.
+SLICE_PAIRS = 1 << 19
 #: Pairs across components for each member up to which they are tried at once.
 FEW_PAIRS = 4
 CEILING = np.uint64((1 << 28) - 1)
@@ -173,29 +177,42 @@ def index(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)).selectExpr("token", "cast(salt as int) salt", "sig", "cast(n as int) n", "cast(pos as int) pos")
 
 
-def starred(entries: DataFrame) -> DataFrame:
-    """Each entry whose set is not its bucket's smallest, with that first one; of salted buckets the first ones too."""
-    fields = "token bigint, salt int, sig bigint, n int, pos int, first bigint, first_n int, first_pos int"
+def met(entries: DataFrame) -> DataFrame:
+    """The entries, one for each set, of buckets with at least two sets; all those of salted buckets."""
+    names = ["token", "salt", "sig", "n", "pos"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
-        last = None
+        held = None  # the rows of the last bucket as long as it has one set
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, salt, sig, n, pos = (batch.column(k).to_numpy() for k in range(5))
+            cols = [batch.column(k).to_numpy() for k in range(5)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held[0], cols)]
+            token, salt, sig = cols[:3]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-            goes_on = last is not None and last[:2] == (token[0], salt[0])
-            new[0] = not goes_on
-            group, at = np.cumsum(new), np.flatnonzero(new)  # group 0 is the one that goes on
-            first, first_n, first_pos = (np.append(last[k] if goes_on else 0, x[at])[group] for k, x in ((2, sig), (3, n), (4, pos)))
-            keep = (sig != first) | (new & (salt >= 0))
+            fresh = new.copy()
+            fresh[1:] |= sig[1:] != sig[:-1]
+            if held is not None:
+                fresh[0] &= not held[1]
+            group = np.cumsum(new) - 1
+            sets = np.bincount(group, weights=fresh)
+            if held is not None:
+                sets[0] += held[1]
+            shared = (sets[group] > 1) | (salt >= 0)
+            keep = fresh & shared
+            last = np.flatnonzero(group == group[-1])[-1:]
+            gone_out = bool(shared[-1])
+            if not gone_out:
+                keep[-1] = False
             if keep.any():
-                out = (token, salt, sig, n, pos, first, first_n, first_pos)
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(out, map(KINDS.get, fields.replace(",", "").split()[1::2]))], names=fields.replace(",", "").split()[::2])
-            last = (token[-1], salt[-1], first[-1], first_n[-1], first_pos[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(cols, kinds)], names=names)
+            held = [x[last] for x in cols], gone_out
 
-    return entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "sig").mapInArrow(run, fields)
+    rows = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "sig")
+    return rows.mapInArrow(run, "token bigint, salt int, sig bigint, n int, pos int").select("token", "sig", "n", "pos")
 
 
 def admitted(a_n: str, a_pos: str, b_n: str, b_pos: str, percent: int) -> str:
@@ -204,30 +221,75 @@ def admitted(a_n: str, a_pos: str, b_n: str, b_pos: str, percent: int) -> str:
     return f"100 * {most} >= {percent} * ({a_n} + {b_n} - {most})"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sketch, percent: int) -> DataFrame:
-    """pairs(a, b) of ids in sets(id, tokens) -> the pairs that are similar, by way of all orders' filters."""
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens that fall on each of 64 to 4 n bits; the lower half of a bitmap folds onto the upper."""
+    bits = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    at = (mix(tokens ^ _SALT[6]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def may_link(n: np.ndarray, bits: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Of the pairs (a, b) of positions those whose bitmaps differ in no more places than similar sets can."""
+    ok = np.zeros(len(a), bool)
+    wide = np.array([len(x) for x in bits])
+    a, b = np.where(wide[a] <= wide[b], a, b), np.where(wide[a] <= wide[b], b, a)
+    shape = np.stack([wide[a], wide[b]])
+    for s, t in np.unique(shape, axis=1).T.tolist():
+        here = np.flatnonzero((shape[0] == s) & (shape[1] == t))
+        x, y = (np.unique(v[here], return_inverse=True) for v in (a, b))
+        left, right = np.stack([bits[k] for k in x[0]]), np.stack([bits[k] for k in y[0]])
+        while right.shape[1] > s:
+            right = right[:, : right.shape[1] // 2] ^ right[:, right.shape[1] // 2 :]
+        for lo in range(0, len(here), step := max(1, (1 << 22) // s)):
+            part = slice(lo, lo + step)
+            differ = np.bitwise_count(left[x[1][part]] ^ right[y[1][part]]).sum(axis=1, dtype=np.int64)
+            total = n[a[here[part]]] + n[b[here[part]]]
+            ok[here[part]] = (200 + 2 * percent) * ((total - differ) // 2) >= 2 * percent * total
+    return ok
+
+
+def intersected(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose prefixes intersect under all further orders and whose bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(k) for k in range(2, 8)]
+            n = np.concatenate([cols[0].to_numpy(), cols[1].to_numpy()]).astype(np.int64)
+            bits = [np.frombuffer(v.as_buffer(), np.uint64) for c in cols[2:4] for v in c]
+            half = np.arange(batch.num_rows)
+            ok = may_link(n, bits, half, half + batch.num_rows, percent) if batch.num_rows else half.astype(bool)
+            for k in np.flatnonzero(ok):
+                x, y = (np.frombuffer(c[int(k)].as_buffer(), np.uint32) for c in cols[4:])
+                x, y = np.split(x, ORDERS - 1), np.split(y, ORDERS - 1)
+                ok[k] = all(np.isin(p, q, kind="sort").any() for p, q in zip(x, y))
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    both = pairs
+    for s in ("a", "b"):
+        both = both.join(sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"), F.col("prefixes").alias(f"prefixes{s}")), s)
+    return both.select("a", "b", "na", "nb", "bitsa", "bitsb", "prefixesa", "prefixesb").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of ids in sets(id, tokens) that are similar."""
 
     def run(batches):
-        counts = sketch.value
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                keep.append(similar(x, y, counts, percent))
+                keep.append(similar(x, y, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar(x: np.ndarray, y: np.ndarray, sketch: np.ndarray, percent: int) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
     if 100 * len(x) < percent * len(y):
         return False
-    for order in range(1, ORDERS):
-        if not np.isin(prefix(x, sketch, order, percent), prefix(y, sketch, order, percent), kind="sort").any():
-            return False
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     same = int((y[at] == x).sum())
@@ -244,39 +306,26 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(collected_sketch(seen.where("slice is not null").select("slice", "salt", "counts"), bits))
     classes = written(docs_of.where("n > 0 and id is not null").groupBy("sig", "sig2", "n").agg(F.min("id").alias("rep")))
 
-    entries = written(starred(index(own.where("id is not null"), sketch, width, percent)))
-    hot = entries.where("salt >= 0 and sig = first").withColumn("salt", F.lit(-1))
-    second = written(starred(hot.select("token", "salt", "sig", "n", "pos")))
-    stars = entries.union(second).where("first <> sig").where(admitted("first_n", "first_pos", "n", "pos", percent)).select("first", "sig").distinct()
-
-    def between(by_sig: DataFrame) -> DataFrame:
-        """Pairs of signatures as pairs of representatives; equal signatures of different sets give all theirs."""
-        x, y = (classes.select(F.col("sig").alias(s), F.col("rep").alias(r)) for s, r in (("first", "ra"), ("sig", "rb")))
-        found = by_sig.join(x, "first").join(y, "sig")
-        return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b")
-
+    members = written(met(index(own.where("id is not null"), sketch, width, percent)))
     clash = classes.groupBy("sig").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
-    clash = clash.select("a", F.explode("all").alias("b")).where("a <> b")
-    both = entries.union(second)
-    members = both.select("token", "sig", "n", "pos").union(both.select("token", "first", "first_n", "first_pos")).distinct()
-    named = written(members.join(classes.select("sig", "rep"), "sig").select("token", "rep", "n", "pos", F.col("rep").alias("c")))
-    pairs, tried, sets, label = written(between(stars).union(clash).distinct()), None, None, None
-    for step in range(ROUNDS + 2):
-        last = step > ROUNDS
-        if step:
-            named = apart(named)
-            members, most = named.count(), cross_pairs(named)
-            if not members:
-                break
-            last = last or most <= FEW_PAIRS * members
-            found = across(named, percent) if last else pivoted(named, step, percent)
-            pairs = written(found.join(tried, ["a", "b"], "left_anti"))
+    clash = written(clash.select("a", F.explode("all").alias("b")).where("a <> b"))
+    named = members.join(classes.select("sig", "rep"), "sig")
+    share = named.groupBy("rep").agg((F.count("*") / F.max("n")).alias("w"))
+    named = written(named.join(share, "rep").select("token", "rep", "n", "pos", "w", F.col("rep").alias("c")))
+    wanted = named.select("rep").union(clash.select("a")).union(clash.select("b")).distinct()
+    sets = written(sets_of(own, classes, wanted, sketch, width, percent))
+
+    tried, label = None, None
+    for step in range(ROUNDS + 1):
+        named = apart(named)
+        count, most = named.count(), cross_pairs(named)
+        last = step == ROUNDS or most <= FEW_PAIRS * count
+        pairs = across(named, sets, percent) if last else pivoted(named, step, percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs.union(clash) if label is None else pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        missing = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-        missing = missing if sets is None else missing.join(sets.select(F.col("id").alias("rep")), "rep", "left_anti")
-        fresh = written(sets_of(own, classes, missing, width))
-        sets = fresh if sets is None else sets.union(fresh)
-        links = verified(pairs, sets, sketch, percent)
+        links = verified(written(intersected(pairs, sets, percent)), sets, percent)
         if label is not None:
             links = relabelled(relabelled(links, label, "a"), label, "b")
         merged = components(links)
@@ -311,33 +360,91 @@ def cross_pairs(named: DataFrame) -> int:
 
 
 def pivoted(named: DataFrame, step: int, percent: int) -> DataFrame:
-    """Pairs of a bucket's members outside its largest component with one inside, which step and token choose."""
-    inside = F.struct(F.xxhash64(F.lit(step), "token", "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
-    each = named.groupBy("token", "c").agg(F.count("*").alias("size"), F.min(inside).alias("s"))
-    chosen = each.groupBy("token").agg(F.max_by(F.struct(F.col("c").alias("pc"), "s"), F.struct("size", "c")).alias("b")).select("token", "b.pc", "b.s.*")
+    """For each member outside its buckets' largest components the best of the pivots inside; later steps draw others."""
+    drawn = F.lit(True) if not step else F.pmod(F.xxhash64(F.lit(step), "rep"), F.lit(4)) == 0
+    inside = F.struct(drawn.alias("drawn"), F.col("w").alias("pw"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"))
+    each = named.groupBy("token", "c").agg(F.count("*").alias("size"), F.max(inside).alias("s"))
+    chosen = each.groupBy("token").agg(F.max_by(F.struct(F.col("c").alias("pc"), "s"), F.struct("size", "s")).alias("b")).select("token", "b.pc", "b.s.*")
     rows = named.join(chosen, "token").where("c <> pc").where(admitted("n", "pos", "pn", "pp", percent))
-    return rows.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    best = rows.groupBy("rep").agg(F.max(F.struct("drawn", "pw", "p")).alias("s")).select("rep", "s.p")
+    return best.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+
+
+def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket's members in different components that position bound and bitmaps admit.
+
+    Large buckets are dealt as pairs of chunks, so that a task holds two chunks at most.
+    """
+    size = named.groupBy("token").agg(F.ceil(F.count("*") / DEAL).alias("chunks"))
+    dealt = named.join(size, "token").withColumn("own", F.pmod(F.xxhash64("rep"), "chunks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("id"), F.col("n").cast("bigint"), F.col("pos").cast("bigint"), "c", "own")
+    rows = dealt.join(sets.select("id", "bits"), "id").select("token", "i", "j", "id", "n", "pos", "c", "own", "bits")
+
+    def settle(cols: list[np.ndarray], bits: list[np.ndarray]):
+        token, i, j, ident, n, pos, c, own = cols
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        ends = np.append(np.flatnonzero(new), len(new))[1:]
+        rest = np.repeat(ends, np.diff(np.append(np.flatnonzero(new), len(new)))) - np.arange(len(new)) - 1
+        total = np.concatenate([[0], np.cumsum(rest)])
+        lo = 0
+        while lo < len(new):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SLICE_PAIRS, "right")) - 1)
+            a = np.repeat(np.arange(lo, hi), rest[lo:hi])
+            b = a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], rest[lo:hi])
+            most = np.minimum(n[a] - pos[a], n[b] - pos[b])
+            keep = (c[a] != c[b]) & ((i[a] == j[a]) | (own[a] != own[b])) & (100 * most >= percent * (n[a] + n[b] - most))
+            a, b = a[keep], b[keep]
+            if len(a):
+                keep = may_link(n, bits, a, b, percent)
+                x, y = ident[a[keep]], ident[b[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            lo = hi
 
-
-def across(named: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a bucket's members in different components."""
-    x, y = (named.select(*[F.col(c).alias(f"{c}{k}" if c != "token" else c) for c in named.columns]) for k in (1, 2))
-    rows = x.join(y, "token").where("c1 < c2").where(admitted("n1", "pos1", "n2", "pos2", percent))
-    return rows.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-
-
-def sets_of(own: DataFrame, classes: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the representatives in reps(rep); tokens: the sorted hashes as bytes."""
+    def run(batches):
+        held: list[np.ndarray] = []
+        bits: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(8)]
+            held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+            bits += [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(8)]
+            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+            at = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+            if at:
+                yield from settle([x[:at] for x in held], bits[:at])
+                held, bits = [x[at:] for x in held], bits[at:]
+        if held:
+            yield from settle(held, bits)
+
+    ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def sets_of(own: DataFrame, classes: DataFrame, reps: DataFrame, sketch, width: int, percent: int) -> DataFrame:
+    """(id, n, bits, prefixes, tokens) of the representatives in reps(rep).
+
+    tokens: the sorted hashes; bits: their bitmap; prefixes: 32 bits of the first tokens under each further order.
+    """
     want = written(classes.join(reps, "rep").select(F.col("rep").alias("id"), "sig", "sig2"))
     want = F.broadcast(want) if want.count() <= FEW else want
 
     def run(batches):
+        counts = sketch.value
         for batch in batches:
             idents, sigs, sigs2 = (batch.column(k).to_pylist() for k in (0, 2, 3))
             for lo, _, data, offs in blocks(batch.column(1)):
-                rows = [(idents[lo + k], s.tobytes()) for k, s in enumerate(shingle_sets(data, offs, width)) if signature(s) == (sigs[lo + k], sigs2[lo + k])]
+                rows = []
+                for k, s in enumerate(shingle_sets(data, offs, width)):
+                    if signature(s) == (sigs[lo + k], sigs2[lo + k]):
+                        first = [(prefix(s, counts, o, percent) >> np.uint64(32)).astype(np.uint32) for o in range(1, ORDERS)]
+                        rows.append((idents[lo + k], len(s), bitmap(s).tobytes(), np.concatenate(first).tobytes(), s.tobytes()))
                 if rows:
-                    a, b = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], names=["id", "tokens"])
+                    a, b, *rest = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), *(pa.array(c, pa.binary()) for c in rest)], names=["id", "n", "bits", "prefixes", "tokens"])
 
-    return own.join(want, "id").select("id", "text", "sig", "sig2").mapInArrow(run, "id bigint, tokens binary").dropDuplicates(["id"])
+    found = own.join(want, "id").select("id", "text", "sig", "sig2").mapInArrow(run, "id bigint, n int, bits binary, prefixes binary, tokens binary")
+    repeated = not own.groupBy("id").count().where("count > 1 and id is not null").isEmpty()
+    return found.dropDuplicates(["id"]) if repeated else found

@@ -125,6 +125,23 @@ def test_ngram_join_of_a_loose_group_with_hot_tokens(spark, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(d).collect()} == set(group.items())
 
 
+def test_ngram_join_of_noisy_copies(spark, monkeypatch):
+    """Copies with edits of their own, most similar to few others, in buckets that are dealt in chunks."""
+    monkeypatch.setattr(ngram_join, "DEAL", 16)
+    rng, base, rows = np.random.default_rng(4), text(19, 150, 10**6).split(), []
+    for k in range(90):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            own[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(own), "en", "s"))
+    d = docs(spark, rows)
+    group = groups_of(sets_of(d.collect()))
+    assert len(set(group.values())) > 3
+    for rounds in (0, 3):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        assert {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(d).collect()} == set(group.items())
+
+
 def test_signature_and_prefix_filters():
     rng = np.random.default_rng(1)
     sketch = rng.integers(1, 50, 1 << 14).astype(np.uint64)
@@ -134,8 +151,9 @@ def test_signature_and_prefix_filters():
         y = np.unique(np.concatenate([x[: int(len(x) * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 8)), dtype=np.uint64)]))
         same = len(np.intersect1d(x, y))
         want = 100 * same >= 80 * (len(x) + len(y) - same)
-        assert ngram_join.similar(x, y, sketch, 80) == want
-        if want:  # no order's filter loses a similar pair
+        assert ngram_join.similar(x, y, 80) == want
+        if want:  # no order's filter loses a similar pair, nor do bitmaps
+            assert ngram_join.may_link(np.array([len(x), len(y)]), [ngram_join.bitmap(x), ngram_join.bitmap(y)], np.array([0]), np.array([1]), 80).all()
             for order in range(ngram_join.ORDERS):
                 assert np.intersect1d(ngram_join.prefix(x, sketch, order, 80), ngram_join.prefix(y, sketch, order, 80)).size
 
