@@ -176,11 +176,25 @@ def test_components(spark, local):
     assert {(r["node"], r["component"]) for r in got} == {(x, top(x)) for e in edges if e[0] != e[1] for x in e}
 
 
-def test_katz(spark, odd):
+def good_turing(n):
+    """Katz's discounts of counts 1 to 5 from counts of counts, or absolute ones, restated; nothing off larger counts."""
+    d = {}
+    if all(n.get(r) for r in range(1, 7)) and 6 * n[6] < n[1]:
+        common = 6 * n[6] / n[1]
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, 6)}
+    if not d or not all(0 < x < 1 for x in d.values()):
+        less = n[1] / (n[1] + 2 * n[2]) if n.get(1) and n.get(2) else 0.5
+        d = {r: 1 - less / r for r in range(1, 6)}
+    return lambda r: d.get(r, 1.0)
+
+
+@pytest.mark.parametrize("head", [katz.HEAD, 40, 12])
+def test_katz(spark, odd, head):
+    """Against a restatement, whatever the number of words that are broadcast."""
     rows = [(1000 + i, text(i, 40, 60), "en", "s") for i in range(40)]
     d = docs(spark, rows).unionByName(odd)
     got = {}
-    for r in katz.katz_scores(d, part_tokens=500).collect():
+    for r in katz.katz_scores(d, part_tokens=500, head=head).collect():
         got[r["doc_id"]] = r
     texts = collections.defaultdict(list)
     for r in d.select("doc_id", "text").collect():
@@ -195,8 +209,8 @@ def test_katz(spark, odd):
     total, types = sum(one.values()), len(one)
     model = katz.Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), dict(collections.Counter(one.values())))
     p1 = lambda w: float(model.prob(np.array([one[w]]))[0])
-    disc = katz.discounts(collections.Counter(two.values()))
-    p2 = {k: disc[min(n, 6)] * n / before[k[0]] for k, n in two.items() if n >= 2}
+    disc = good_turing(collections.Counter(two.values()))
+    p2 = {k: disc(n) * n / before[k[0]] for k, n in two.items() if n >= 2}
     left = collections.defaultdict(lambda: [0.0, 0.0])
     for (v, w), p in p2.items():
         left[v][0] += p
