@@ -248,41 +248,54 @@ def may_link(n: np.ndarray, bits: list[np.ndarray], a: np.ndarray, b: np.ndarray
     return ok
 
 
-def intersected(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose prefixes intersect under all further orders and whose bitmaps allow a link."""
+def compared(pairs: DataFrame, sets: DataFrame, payload: list[str], test) -> DataFrame:
+    """The pairs(p, q) that pass test(what sets hold of p, and of q).
+
+    What is held of each q goes to its p, whose own goes there once; the pairs of a p with many go to several tasks.
+    """
+    many = pairs.groupBy("p").agg(F.ceil(F.count("*") / DEAL).alias("parts"))
+    dealt = written(pairs.join(many, "p").select("p", "q", F.pmod(F.xxhash64("q"), "parts").alias("part")))
+    few = dealt.count() <= FEW
+    leads = dealt.select("p", "part").distinct().select("p", F.lit(None).cast("bigint").alias("q"), "part", F.col("p").alias("id"))
+    both = [F.broadcast(x) if few else x for x in (leads, dealt.withColumn("id", F.col("q")))]
+    held = [sets.select("id", *payload).join(x, "id").select("p", "part", "q", *payload) for x in both]
 
     def run(batches):
+        lead, of = None, None
         for batch in batches:
-            cols = [batch.column(k) for k in range(2, 8)]
-            n = np.concatenate([cols[0].to_numpy(), cols[1].to_numpy()]).astype(np.int64)
-            bits = [np.frombuffer(v.as_buffer(), np.uint64) for c in cols[2:4] for v in c]
-            half = np.arange(batch.num_rows)
-            ok = may_link(n, bits, half, half + batch.num_rows, percent) if batch.num_rows else half.astype(bool)
-            for k in np.flatnonzero(ok):
-                x, y = (np.frombuffer(c[int(k)].as_buffer(), np.uint32) for c in cols[4:])
-                x, y = np.split(x, ORDERS - 1), np.split(y, ORDERS - 1)
-                ok[k] = all(np.isin(p, q, kind="sort").any() for p, q in zip(x, y))
-            yield batch.select([0, 1]).filter(pa.array(ok))
-
-    both = pairs
-    for s in ("a", "b"):
-        both = both.join(sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"), F.col("prefixes").alias(f"prefixes{s}")), s)
-    return both.select("a", "b", "na", "nb", "bitsa", "bitsb", "prefixesa", "prefixesb").mapInArrow(run, "a bigint, b bigint")
+            ps, parts, qs, *cols = (batch.column(k) for k in range(batch.num_columns))
+            keep = []
+            for k, (p, q) in enumerate(zip(ps.to_pylist(), qs.to_pylist())):
+                own = [c[k].as_buffer() for c in cols]
+                if q is None:
+                    lead, of = own, p
+                elif p == of and test(lead, own):
+                    keep.append((p, q))
+            if keep:
+                p, q = zip(*keep)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["p", "q"])
 
+    ordered = held[0].union(held[1]).repartition("p", "part").sortWithinPartitions("p", "part", F.col("q").asc_nulls_first())
+    return ordered.mapInArrow(run, "p bigint, q bigint")
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of ids in sets(id, tokens) that are similar."""
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                keep.append(similar(x, y, percent))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def intersected(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(p, q) whose prefixes intersect under all further orders and whose bitmaps allow a link."""
+
+    def test(x, y):
+        n = [np.frombuffer(v[0], np.int64)[0] for v in (x, y)]
+        bits = [np.frombuffer(v[1], np.uint64) for v in (x, y)]
+        if not may_link(np.array(n), bits, np.array([0]), np.array([1]), percent)[0]:
+            return False
+        firsts = zip(*(np.split(np.frombuffer(v[2], np.uint32), ORDERS - 1) for v in (x, y)))
+        return all(np.isin(p, q, kind="sort").any() for p, q in firsts)
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return compared(pairs, sets, ["size", "bits", "prefixes"], test)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(p, q) of ids in sets(id, tokens) that are similar."""
+    return compared(pairs, sets, ["tokens"], lambda x, y: similar(np.frombuffer(x[0], np.uint64), np.frombuffer(y[0], np.uint64), percent))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -307,25 +320,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(docs_of.where("n > 0 and id is not null").groupBy("sig", "sig2", "n").agg(F.min("id").alias("rep")))
 
     members = written(met(index(own.where("id is not null"), sketch, width, percent)))
-    clash = classes.groupBy("sig").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
-    clash = written(clash.select("a", F.explode("all").alias("b")).where("a <> b"))
-    named = members.join(classes.select("sig", "rep"), "sig")
-    share = named.groupBy("rep").agg((F.count("*") / F.max("n")).alias("w"))
-    named = written(named.join(share, "rep").select("token", "rep", "n", "pos", "w", F.col("rep").alias("c")))
-    wanted = named.select("rep").union(clash.select("a")).union(clash.select("b")).distinct()
+    clash = classes.groupBy("sig").agg(F.min("rep").alias("p"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
+    clash = written(clash.select("p", F.explode("all").alias("q")).where("p <> q"))
+    share = written(members.groupBy("sig").agg((F.count("*") / F.max("n")).alias("w")).join(classes.select("sig", "rep"), "sig"))
+    wanted = share.select("rep").union(clash.select("p")).union(clash.select("q")).distinct()
+    share = F.broadcast(share) if share.count() <= FEW else share
+    named = written(members.join(share, "sig").select("token", "rep", "n", "pos", "w", F.col("rep").alias("c")))
     sets = written(sets_of(own, classes, wanted, sketch, width, percent))
 
     tried, label = None, None
     for step in range(ROUNDS + 1):
-        named = apart(named)
+        named = apart(named) if step else named
         count, most = named.count(), cross_pairs(named)
         last = step == ROUNDS or most <= FEW_PAIRS * count
         pairs = across(named, sets, percent) if last else pivoted(named, step, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs.union(clash) if label is None else pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = verified(written(intersected(pairs, sets, percent)), sets, percent)
+        pairs = pairs.union(clash) if label is None else pairs
+        pairs = pairs.withColumns({"a": F.least("p", "q"), "b": F.greatest("p", "q")})
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        links = verified(intersected(pairs.select("p", "q"), sets, percent), sets, percent).select(F.col("p").alias("a"), F.col("q").alias("b"))
         if label is not None:
             links = relabelled(relabelled(links, label, "a"), label, "b")
         merged = components(links)
@@ -366,8 +379,7 @@ def pivoted(named: DataFrame, step: int, percent: int) -> DataFrame:
     each = named.groupBy("token", "c").agg(F.count("*").alias("size"), F.max(inside).alias("s"))
     chosen = each.groupBy("token").agg(F.max_by(F.struct(F.col("c").alias("pc"), "s"), F.struct("size", "s")).alias("b")).select("token", "b.pc", "b.s.*")
     rows = named.join(chosen, "token").where("c <> pc").where(admitted("n", "pos", "pn", "pp", percent))
-    best = rows.groupBy("rep").agg(F.max(F.struct("drawn", "pw", "p")).alias("s")).select("rep", "s.p")
-    return best.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    return rows.groupBy("rep").agg(F.max(F.struct("drawn", "pw", "p")).alias("s")).select("s.p", F.col("rep").alias("q"))
 
 
 def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -399,7 +411,7 @@ def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if len(a):
                 keep = may_link(n, bits, a, b, percent)
                 x, y = ident[a[keep]], ident[b[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["p", "q"])
             lo = hi
 
     def run(batches):
@@ -420,13 +432,14 @@ def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield from settle(held, bits)
 
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(run, "p bigint, q bigint").distinct()
 
 
 def sets_of(own: DataFrame, classes: DataFrame, reps: DataFrame, sketch, width: int, percent: int) -> DataFrame:
-    """(id, n, bits, prefixes, tokens) of the representatives in reps(rep).
+    """(id, size, bits, prefixes, tokens) of the representatives in reps(rep), all but id as bytes.
 
-    tokens: the sorted hashes; bits: their bitmap; prefixes: 32 bits of the first tokens under each further order.
+    size: the number of tokens; tokens: the sorted hashes; bits: their bitmap; prefixes: 32 bits of the first tokens
+    under each further order.
     """
     want = written(classes.join(reps, "rep").select(F.col("rep").alias("id"), "sig", "sig2"))
     want = F.broadcast(want) if want.count() <= FEW else want
@@ -440,11 +453,11 @@ def sets_of(own: DataFrame, classes: DataFrame, reps: DataFrame, sketch, width:
                 for k, s in enumerate(shingle_sets(data, offs, width)):
                     if signature(s) == (sigs[lo + k], sigs2[lo + k]):
                         first = [(prefix(s, counts, o, percent) >> np.uint64(32)).astype(np.uint32) for o in range(1, ORDERS)]
-                        rows.append((idents[lo + k], len(s), bitmap(s).tobytes(), np.concatenate(first).tobytes(), s.tobytes()))
+                        rows.append((idents[lo + k], len(s).to_bytes(8, "little"), bitmap(s).tobytes(), np.concatenate(first).tobytes(), s.tobytes()))
                 if rows:
-                    a, b, *rest = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), *(pa.array(c, pa.binary()) for c in rest)], names=["id", "n", "bits", "prefixes", "tokens"])
+                    a, *rest = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *(pa.array(c, pa.binary()) for c in rest)], names=["id", "size", "bits", "prefixes", "tokens"])
 
-    found = own.join(want, "id").select("id", "text", "sig", "sig2").mapInArrow(run, "id bigint, n int, bits binary, prefixes binary, tokens binary")
+    found = own.join(want, "id").select("id", "text", "sig", "sig2").mapInArrow(run, "id bigint, size binary, bits binary, prefixes binary, tokens binary")
     repeated = not own.groupBy("id").count().where("count > 1 and id is not null").isEmpty()
     return found.dropDuplicates(["id"]) if repeated else found
