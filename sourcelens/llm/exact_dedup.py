@@ -4,7 +4,8 @@ Rows are dealt by length and content hash. Each partition inserts whole byte str
 equality is decided on the bytes and never on the hash alone; terminals hold the owner, the smallest or largest
 identifier. Copies meet once per input partition before the shuffle, so a group that holds a third of all rows sends
 one row for each input partition. Documents then find their owner by an ordinary join, of which the adaptive planner
-splits a hot key's side. A trie that outgrows its memory moves its largest subtrees to a task's own spill file.
+splits a hot key's side, on length and SHA-256. A trie that outgrows its memory moves its largest subtrees to a task's
+own spill files, and these are finished within the same limit.
 
 Null text counts as empty; empty texts are equal to each other. A null identifier never owns a text that another row
 has too. Rows that repeat an identifier and a text all count in group_size, and all are kept if theirs is the owner.
@@ -32,12 +33,16 @@ _NODE_BYTES = 400
 
 
 class Node:
-    """An edge's bytes, the nodes below by first byte, and at a terminal what is known of the text that ends here."""
+    """An edge's bytes, the nodes below by first byte, and at a terminal what is known of the text that ends here.
 
-    __slots__ = ("below", "edge", "held", "ident", "rows")
+    A node with a run stands for a spilled subtree: the run holds what follows its edge in every string below.
+    """
 
-    def __init__(self, edge: bytes, ident=None, rows: int = 0):
-        self.edge, self.below, self.ident, self.rows, self.held = edge, {}, ident, rows, len(edge) + _NODE_BYTES
+    __slots__ = ("below", "edge", "held", "ident", "rows", "run")
+
+    def __init__(self, edge: bytes, ident=None, rows: int = 0, run=None):
+        self.edge, self.below, self.ident, self.rows, self.run = edge, {}, ident, rows, run
+        self.held = len(edge) + _NODE_BYTES
 
 
 def common_prefix(key: bytes, at: int, edge: bytes) -> int:
@@ -55,16 +60,16 @@ def common_prefix(key: bytes, at: int, edge: bytes) -> int:
 
 
 class PatriciaTrie:
-    """Owners of byte strings. better(a, b) says which of two identifiers owns; spilled subtrees are finished one by one."""
+    """Owners of byte strings. better(a, b) says which of two identifiers owns.
+
+    Beyond limit bytes the heaviest subtrees go to files of the task, and strings below them follow. Each is finished
+    by a trie of its own with the same limit, which spills in turn, so memory is bounded but for the longest string.
+    """
 
     def __init__(self, better, limit: int = TRIE_BYTES):
-        self.better, self.limit, self.root, self.held = better, limit, Node(b""), 0
-        self.spilled: dict[bytes, object] = {}
+        self.better, self.limit, self.root, self.held, self.spilled = better, limit, Node(b""), 0, 0
 
     def insert(self, key: bytes, ident, rows: int = 1) -> None:
-        if self.spilled and (run := self._run_of(key)):
-            pickle.dump((key, ident, rows), run)
-            return
         node, at, size, path = self.root, 0, len(key), []
         while at < size:
             path.append(node)
@@ -83,6 +88,9 @@ class PatriciaTrie:
                 top.held = child.held + same + _NODE_BYTES
                 self._grow(path, _NODE_BYTES)
                 child = top
+            elif child.run is not None:
+                pickle.dump((key[at + same :], ident, rows), child.run)
+                return
             node, at = child, at + same
         node.ident = ident if not node.rows else self.better(node.ident, ident)
         node.rows += rows
@@ -94,57 +102,67 @@ class PatriciaTrie:
         for node in path:
             node.held += size
 
-    def _run_of(self, key: bytes):
-        return next((run for prefix, run in self.spilled.items() if key.startswith(prefix)), None)
-
     def _spill(self) -> None:
-        """Moves the heaviest subtree that is at most half of the trie, or a lone leaf, to a file; later strings below it follow."""
-        node, prefix = self.root, b""
-        while node.below:
-            parent, node = node, max(node.below.values(), key=lambda x: x.held)
-            prefix += node.edge
-            if 2 * node.held <= self.held or not node.below:
+        """Moves the heaviest subtree that is at most half of the trie, or a leaf beside others, to a file."""
+        node, path = self.root, []
+        while below := [x for x in node.below.values() if x.run is None]:
+            path.append(node)
+            node = max(below, key=lambda x: x.held)
+            if 2 * node.held <= self.held:
                 break
-        else:
-            return
-        if len(prefix) > 0 and node is not self.root:
-            run = tempfile.TemporaryFile(dir=next(iter(filter(os.path.isdir, os.environ.get("SPARK_LOCAL_DIRS", "").split(","))), None))
-            for key, ident, rows in walk(node, prefix[: len(prefix) - len(node.edge)]):
-                pickle.dump((key, ident, rows), run)
-            del parent.below[node.edge[0]]
-            lost, at = node.held, self.root
-            self.held -= lost
-            rest = prefix
-            while at is not parent:
-                at.held -= lost
-                at = at.below[rest[0]]
-                rest = rest[len(at.edge) :]
-            parent.held -= lost
-            self.spilled[prefix] = run
+        if not path or all(len(x.below) == 1 and not x.rows for x in path):
+            return  # nothing, or one string alone
+        run = tempfile.TemporaryFile(dir=next(iter(filter(os.path.isdir, os.environ.get("SPARK_LOCAL_DIRS", "").split(","))), None))
+        for rest, below in walk(node, b""):
+            rest = rest[len(node.edge) :]
+            if below.rows:
+                pickle.dump((rest, below.ident, below.rows), run)
+            for more, ident, rows in records(below.run):
+                pickle.dump((rest + more, ident, rows), run)
+        self.spilled += 1
+        stub = Node(node.edge, run=run)
+        path[-1].below[node.edge[0]] = stub
+        lost = node.held - stub.held
+        self.held -= lost
+        for x in path:
+            x.held -= lost
 
     def items(self) -> Iterator[tuple[bytes, object, int]]:
         """(string, owner, rows) of every string; spilled subtrees after the rest, one in memory at a time."""
-        yield from walk(self.root, b"")
+        spilled = []
+        for key, node in walk(self.root, b""):
+            if node.rows:
+                yield key, node.ident, node.rows
+            if node.run is not None:
+                spilled.append((key, node.run))
         self.root, self.held = Node(b""), 0
-        for prefix, run in self.spilled.items():
-            run.seek(0)
-            part = PatriciaTrie(self.better, max(self.limit, 1 << 62))
-            while True:
-                try:
-                    part.insert(*pickle.load(run))
-                except EOFError:
-                    break
-            run.close()
-            yield from part.items()
-
-
-def walk(node: Node, before: bytes) -> Iterator[tuple[bytes, object, int]]:
+        for prefix, run in spilled:
+            part = type(self)(self.better, self.limit)
+            for rest, ident, rows in records(run):
+                part.insert(rest, ident, rows)
+            for rest, ident, rows in part.items():
+                yield prefix + rest, ident, rows
+
+
+def records(run) -> Iterator[tuple]:
+    """What a run holds; it is closed then."""
+    if run is not None:
+        run.seek(0)
+        while True:
+            try:
+                yield pickle.load(run)
+            except EOFError:
+                break
+        run.close()
+
+
+def walk(node: Node, before: bytes) -> Iterator[tuple[bytes, Node]]:
+    """Every node with the string that ends there."""
     stack = [(node, before)]
     while stack:
         node, before = stack.pop()
         key = before + node.edge
-        if node.rows:
-            yield key, node.ident, node.rows
+        yield key, node
         stack.extend((x, key) for x in node.below.values())
 
 
@@ -187,8 +205,8 @@ def owners(docs: DataFrame, keep: str = "largest", limit: int = TRIE_BYTES) -> D
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], names=["length", "bucket", "text", "id", "n"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 16):
+                part = batch.slice(i, 16)
                 for ident, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                     trie.insert((text or b"").translate(LOWER_BYTES), ident)
                 if trie.held > limit:  # meeting before the shuffle is only to save work
@@ -199,16 +217,13 @@ def owners(docs: DataFrame, keep: str = "largest", limit: int = TRIE_BYTES) -> D
     def decide(batches):
         trie = PatriciaTrie(better, limit)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 16):
+                part = batch.slice(i, 16)
                 for text, ident, n in zip(*(part.column(c).to_pylist() for c in ("text", "id", "n"))):
                     trie.insert(text, ident, n)
-        seen: dict[str, bytes] = {}
         for key, ident, n in trie.items():
             if n > 1:
                 sha = hashlib.sha256(key).hexdigest()
-                if seen.setdefault(sha, key) != key:
-                    raise ArithmeticError("two texts share a SHA-256 digest")
                 yield pa.RecordBatch.from_pydict({"sha256": [sha], "length": pa.array([len(key)], pa.int64()), "keep_id": pa.array([ident], pa.int64()), "group_size": pa.array([n], pa.int64())})
 
     return docs.mapInArrow(met, once).repartition("length", "bucket").mapInArrow(_batched(decide), twice)

@@ -81,6 +81,26 @@ def test_trie_spills_and_finds_owners(limit):
     assert limit > 1 << 30 or trie.spilled
 
 
+def test_trie_holds_no_more_than_its_limit():
+    """8 MB of strings with a long common prefix, of which a subtree is larger than the limit too."""
+    most = []
+
+    class Watched(exact_dedup.PatriciaTrie):
+        def insert(self, key, ident, rows=1):
+            super().insert(key, ident, rows)
+            most.append(self.held)
+
+    rng = np.random.default_rng(8)
+    prefix = bytes(rng.integers(97, 123, 2000).astype(np.uint8))
+    keys = [prefix + b"%d" % (k % 3) + bytes(rng.integers(97, 123, 2000).astype(np.uint8)) for k in range(2000)]
+    trie = Watched(max, 1 << 19)
+    for k, key in enumerate(keys * 2):
+        trie.insert(key, k)
+    got = {key: (i, n) for key, i, n in trie.items()}
+    assert got == {key: (k + len(keys), 2) for k, key in enumerate(keys)}
+    assert max(most) < (1 << 19) + 10_000
+
+
 def sets_of(rows):
     out = {}
     for r in rows:
