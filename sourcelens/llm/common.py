@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to forget what nothing refers to, so that executors delete the shuffles of finished rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the given names; further columns, clashing or not, stay out."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])

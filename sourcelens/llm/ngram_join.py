@@ -8,8 +8,9 @@ dropped before a set is fetched. So is one whose bitmaps, of the parity of hashe
 the threshold lets sets differ. Frequencies come from a count sketch over all documents. A sketch may be wrong about a
 token without harm: any fixed order is exact, and its errors only cost candidates.
 
-Equal sets form classes before the join, and only components are asked for, so candidates come in rounds. In each of
-ROUNDS rounds an index bucket that lies in several components offers one pivot from its largest, the member that meets
+Equal sets form classes before the join. In an index bucket of up to SMALL sets every pair that the position bound
+admits is a candidate. Only components are asked for, so those of larger buckets come in rounds. In each of ROUNDS
+rounds such a bucket that lies in several components offers one pivot from its largest, the member that meets
 others most, and each class outside tries the best of its buckets' pivots: at most one candidate a class and round.
 A noisy copy has a prefix of tokens that nobody shares, so the pivot of a group of copies is its cleanest member, to
 which most link at once. At last, or as soon as they are few, every pair of a bucket's members across components is
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, columns, components, mix, shingle_sets, written
+from .common import blocks, columns, components, mix, release, shingle_sets, written
 
 WIDTH, PERCENT = 5, 80
 #: The sketch's counters are 16 for each document, within these bounds (as powers of two); slices of it are summed apart.
@@ -41,6 +42,8 @@ LEAST_BITS, MOST_BITS, SLICE = 14, 24, 1 << 16
 #: Rows of an index bucket that one task may get.
 HOT = 20_000
 ORDERS = 3
+#: Sets of an index bucket of which all pairs are tried at once.
+SMALL = 8
 #: Rounds of pivots before every pair across components, and members of a bucket that one chunk may hold then.
 ROUNDS, DEAL = 3, 1 << 10
 #: Pairs that a task compares at a time.
@@ -177,42 +180,56 @@ def index(docs: DataFrame, sketch, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)).selectExpr("token", "cast(salt as int) salt", "sig", "cast(n as int) n", "cast(pos as int) pos")
 
 
-def met(entries: DataFrame) -> DataFrame:
-    """The entries, one for each set, of buckets with at least two sets; all those of salted buckets."""
-    names = ["token", "salt", "sig", "n", "pos"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+def met(entries: DataFrame, percent: int) -> DataFrame:
+    """(token, sig, n, pos, other): the entries of large buckets, once for each set, and of others the pairs (sig, other)."""
+    fields = [("token", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("other", pa.int64())]
+
+    def batch_of(token, sig, n, pos, other):
+        cols = [pa.nulls(len(sig), t) if x is None else pa.array(x, t) for x, (_, t) in zip((token, sig, n, pos, other), fields)]
+        return pa.RecordBatch.from_arrays(cols, names=[f for f, _ in fields])
+
+    def settle(cols: list[np.ndarray], new: np.ndarray):
+        token, salt, sig, n, pos = cols
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(new)))
+        big = np.repeat(size > SMALL, size) | (salt >= 0)
+        rest = np.where(big, 0, np.repeat(at + size, size) - np.arange(len(new)) - 1)
+        for gap in range(1, SMALL):
+            a = np.flatnonzero(rest >= gap)
+            b = a + gap
+            most = np.minimum(n[a] - pos[a], n[b] - pos[b]).astype(np.int64)
+            ok = 100 * most >= percent * (n[a].astype(np.int64) + n[b] - most)
+            if ok.any():
+                yield batch_of(None, sig[a[ok]], None, None, sig[b[ok]])
+        if big.any():
+            yield batch_of(token[big], sig[big], n[big], pos[big], None)
 
     def run(batches):
-        held = None  # the rows of the last bucket as long as it has one set
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(k).to_numpy() for k in range(5)]
             if held is not None:
-                cols = [np.concatenate(x) for x in zip(held[0], cols)]
-            token, salt, sig = cols[:3]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-            fresh = new.copy()
-            fresh[1:] |= sig[1:] != sig[:-1]
-            if held is not None:
-                fresh[0] &= not held[1]
-            group = np.cumsum(new) - 1
-            sets = np.bincount(group, weights=fresh)
-            if held is not None:
-                sets[0] += held[1]
-            shared = (sets[group] > 1) | (salt >= 0)
-            keep = fresh & shared
-            last = np.flatnonzero(group == group[-1])[-1:]
-            gone_out = bool(shared[-1])
-            if not gone_out:
-                keep[-1] = False
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(cols, kinds)], names=names)
-            held = [x[last] for x in cols], gone_out
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            fresh = new.copy()  # equal sets of several tasks count once
+            fresh[1:] |= cols[2][1:] != cols[2][:-1]
+            cols, new = [x[fresh] for x in cols], new[fresh]
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from settle([x[:last] for x in cols], new[:last])
+            held = [x[last:] for x in cols]
+            if len(held[0]) > 1 << 16:  # surely a large bucket: all but some rows, the last for its copies, can go
+                token, _, sig, n, pos = (x[SMALL:-1] for x in held)
+                yield batch_of(token, sig, n, pos, None)
+                held = [np.concatenate([x[:SMALL], x[-1:]]) for x in held]
+        if held is not None:
+            yield from settle(held, np.arange(len(held[0])) == 0)
 
     rows = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "sig")
-    return rows.mapInArrow(run, "token bigint, salt int, sig bigint, n int, pos int").select("token", "sig", "n", "pos")
+    return rows.mapInArrow(run, "token bigint, sig bigint, n int, pos int, other bigint")
 
 
 def admitted(a_n: str, a_pos: str, b_n: str, b_pos: str, percent: int) -> str:
@@ -222,8 +239,8 @@ def admitted(a_n: str, a_pos: str, b_n: str, b_pos: str, percent: int) -> str:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """The parity of the tokens that fall on each of 64 to 4 n bits; the lower half of a bitmap folds onto the upper."""
-    bits = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    """The parity of the tokens that fall on each of 64 or n to 2 n bits; the lower half of a bitmap folds onto the upper."""
+    bits = 1 << max(6, (len(tokens) - 1).bit_length())
     at = (mix(tokens ^ _SALT[6]) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
@@ -287,7 +304,7 @@ def intersected(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         bits = [np.frombuffer(v[1], np.uint64) for v in (x, y)]
         if not may_link(np.array(n), bits, np.array([0]), np.array([1]), percent)[0]:
             return False
-        firsts = zip(*(np.split(np.frombuffer(v[2], np.uint32), ORDERS - 1) for v in (x, y)))
+        firsts = zip(*(np.split(np.frombuffer(v[2], np.uint16), ORDERS - 1) for v in (x, y)))
         return all(np.isin(p, q, kind="sort").any() for p, q in firsts)
 
     return compared(pairs, sets, ["size", "bits", "prefixes"], test)
@@ -319,22 +336,30 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(collected_sketch(seen.where("slice is not null").select("slice", "salt", "counts"), bits))
     classes = written(docs_of.where("n > 0 and id is not null").groupBy("sig", "sig2", "n").agg(F.min("id").alias("rep")))
 
-    members = written(met(index(own.where("id is not null"), sketch, width, percent)))
+    seen_in = written(met(index(own.where("id is not null"), sketch, width, percent), percent))
+    of_sig = classes.select("sig", "rep")
+    of_sig = F.broadcast(of_sig) if of_sig.count() <= FEW else of_sig
     clash = classes.groupBy("sig").agg(F.min("rep").alias("p"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
-    clash = written(clash.select("p", F.explode("all").alias("q")).where("p <> q"))
-    share = written(members.groupBy("sig").agg((F.count("*") / F.max("n")).alias("w")).join(classes.select("sig", "rep"), "sig"))
-    wanted = share.select("rep").union(clash.select("p")).union(clash.select("q")).distinct()
-    share = F.broadcast(share) if share.count() <= FEW else share
-    named = written(members.join(share, "sig").select("token", "rep", "n", "pos", "w", F.col("rep").alias("c")))
+    clash = clash.select("p", F.explode("all").alias("q")).where("p <> q")
+    first = seen_in.where("other is not null").select("sig", "other").distinct()
+    first = first.join(of_sig.withColumnRenamed("rep", "p"), "sig").join(of_sig.select(F.col("sig").alias("other"), F.col("rep").alias("q")), "other")
+    first = written(first.select("p", "q").union(clash))
+    members = seen_in.where("other is null").select("token", "sig", "n", "pos")
+    share = members.groupBy("sig").agg((F.count("*") / F.max("n")).alias("w")).join(of_sig, "sig")
+    share = written(share)
+    few = F.broadcast(share) if share.count() <= FEW else share
+    named = written(members.join(few, "sig").select("token", "rep", "n", "pos", "w", F.col("rep").alias("c")))
+    wanted = share.select("rep").union(first.select("p")).union(first.select("q")).distinct()
     sets = written(sets_of(own, classes, wanted, sketch, width, percent))
 
     tried, label = None, None
     for step in range(ROUNDS + 1):
+        release(spark)
         named = apart(named) if step else named
         count, most = named.count(), cross_pairs(named)
         last = step == ROUNDS or most <= FEW_PAIRS * count
         pairs = across(named, sets, percent) if last else pivoted(named, step, percent)
-        pairs = pairs.union(clash) if label is None else pairs
+        pairs = pairs.union(first) if label is None else pairs
         pairs = pairs.withColumns({"a": F.least("p", "q"), "b": F.greatest("p", "q")})
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
@@ -438,7 +463,7 @@ def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def sets_of(own: DataFrame, classes: DataFrame, reps: DataFrame, sketch, width: int, percent: int) -> DataFrame:
     """(id, size, bits, prefixes, tokens) of the representatives in reps(rep), all but id as bytes.
 
-    size: the number of tokens; tokens: the sorted hashes; bits: their bitmap; prefixes: 32 bits of the first tokens
+    size: the number of tokens; tokens: the sorted hashes; bits: their bitmap; prefixes: 16 bits of the first tokens
     under each further order.
     """
     want = written(classes.join(reps, "rep").select(F.col("rep").alias("id"), "sig", "sig2"))
@@ -452,7 +477,7 @@ def sets_of(own: DataFrame, classes: DataFrame, reps: DataFrame, sketch, width:
                 rows = []
                 for k, s in enumerate(shingle_sets(data, offs, width)):
                     if signature(s) == (sigs[lo + k], sigs2[lo + k]):
-                        first = [(prefix(s, counts, o, percent) >> np.uint64(32)).astype(np.uint32) for o in range(1, ORDERS)]
+                        first = [(prefix(s, counts, o, percent) >> np.uint64(48)).astype(np.uint16) for o in range(1, ORDERS)]
                         rows.append((idents[lo + k], len(s).to_bytes(8, "little"), bitmap(s).tobytes(), np.concatenate(first).tobytes(), s.tobytes()))
                 if rows:
                     a, *rest = zip(*rows)
