@@ -15,10 +15,10 @@ def clamp(x: Column, name: str) -> Column:
 
 
 def mean_abs_diff(a: Column, b: Column) -> Column:
-    """Of vectors of equal length; null where lengths differ or one is empty or missing."""
+    """Of vectors of equal length; infinity where lengths differ or one is empty or missing, so that such a frame is a new one."""
     same = (F.size(a) == F.size(b)) & (F.size(a) > 0)
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    return F.when(same, F.try_divide(total, F.size(a)))
+    return F.when(F.coalesce(same, F.lit(False)), F.try_divide(total, F.size(a))).otherwise(float("inf"))
 
 
 def bbox(changed: Column, width: int) -> Column:

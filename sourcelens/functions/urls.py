@@ -31,14 +31,39 @@ def normalize_url(x: Column) -> Column:
     return F.concat(origin(x), F.when(bare == "", "/").otherwise(bare), part(x, 4))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without `.` and `..` parts; what leads above the root stays at it."""
+    parts = F.split(path, "/")
+    start = F.array(F.lit(""))
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.when(x == "..", up).when(x == ".", kept).otherwise(F.array_append(kept, x))
+
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), start, step)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.array_join(F.when(open_end | (F.size(kept) == 1), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
 def url_join(base: Column, href: Column) -> Column:
-    """RFC 3986 for absolute, root-relative and plain relative references without dot segments."""
+    """RFC 3986: the base's parts as far as the reference has none, dot segments resolved; an empty one is the base."""
+    path, query, mark = (F.regexp_extract(href, r"^([^?#]*)(\?[^#]*)?(#.*)?$", k) for k in (1, 2, 3))
+    beside = F.regexp_replace(part(base, 3), "[^/]*$", "")
+    beside = F.when(beside == "", "/").otherwise(beside)
+    own_path = without_dots(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(beside, path)))
+    other_host = F.concat(part(base, 1), F.lit(":"), href)
     return (
-        F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), href).when(F.startswith(href, F.lit("//")), F.concat(part(base, 1), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin(base), href)).otherwise(F.concat(origin(base), F.regexp_replace(part(base, 3), "[^/]*$", ""), href))
+        F.when(href == "", base).when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), href).when(F.startswith(href, F.lit("//")), other_host)
+        .when(path != "", F.concat(origin(base), own_path, query, mark)).when(query != "", F.concat(origin(base), part(base, 3), query, mark))
+        .otherwise(F.concat(origin(base), part(base, 3), part(base, 4), mark))
     )
 
 
+def unquoted(x: Column) -> Column:
+    """Percent-decoded; plus signs and broken escapes stay."""
+    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+
+
 def is_http_url(x: Column) -> Column:
     return F.lower(part(x, 1)).isin("http", "https") & (part(x, 2) != "")
 
@@ -71,7 +96,7 @@ def stem(path: Column) -> Column:
 
 def infer_name(x: Column, fallback: str = "source") -> Column:
     """A deterministic name for a source."""
-    last = stem(part(x, 3))
+    last = stem(unquoted(F.regexp_extract(part(x, 3), r"([^/]*)/*$", 1)))
     web = F.when(last != "", F.concat_ws("-", host_seed(x), last)).otherwise(host_seed(x))
     video = F.coalesce(F.concat(F.lit("youtube-"), youtube_id(x)), host_seed(x))
     return slugify(F.when(is_http_url(x) & is_youtube(x), video).when(is_http_url(x), web).otherwise(stem(x)), fallback)
@@ -89,5 +114,6 @@ def source_type(x: Column, kind: Column, max_pages: Column, pattern: Column) ->
 
 
 def pdf_filename(x: Column) -> Column:
-    name = F.regexp_extract(part(x, 3), r"[^/]*$", 0)
-    return F.when(F.endswith(F.lower(name), F.lit(".pdf")), name).otherwise(F.concat(F.when(name != "", name).otherwise("document"), F.lit(".pdf")))
+    """The decoded last part of the path; `source.pdf` where there is none."""
+    name = F.regexp_extract(unquoted(part(x, 3)), r"([^/]*)/*$", 1)
+    return F.when(name == "", "source.pdf").when(F.regexp_like(name, F.lit(r"(?i).\.pdf$")), name).otherwise(F.concat(name, F.lit(".pdf")))

@@ -73,11 +73,11 @@ def validator_rows(context: DataFrame) -> DataFrame:
         row("capture_distill_recorded", "high", "governance", c("captured")),
         row("capability_contract_present", "high", "capability_ir", contract),
         row("visual_actions_present", "high", "visual_grounding", ~video | (c("nodes_with_actions") > 0), F.when(video, F.coalesce(F.try_divide(c("nodes_with_actions"), c("nodes")), F.lit(0.0))).otherwise(1.0), ~video),
-        row("rights_assessment_present", "critical", "governance_rights", known, F.when(known & (c("export_allowed") == "allowed"), 1.0).when(known, 0.4).otherwise(0.0)),
+        row("rights_assessment_present", "critical", "governance_rights", known, F.when(known, 1.0).when(c("export_allowed").isin("allowed", "private_only"), 0.4).otherwise(0.0)),
         row("source_prompt_injection_guard_passed", "critical", "governance_security", c("scanned") & ~c("blocked"), F.when(c("scanned") & ~c("blocked"), F.when(c("risk_level") == "low", 1.0).otherwise(0.75)).otherwise(0.0)),
     ]
     for name, words in rules.DOMAINS.items():
-        relevant = F.regexp_like("blob", F.lit(rf"\b(?:{'|'.join(words)})\b"))
+        relevant = F.regexp_like(F.lower("blob"), F.lit(rf"\b(?:{'|'.join(words)})\b"))
         made.append(row(f"{name}_domain_contract", "medium", f"domain_{name}", ~relevant | contract, F.when(~relevant | contract, 1.0).otherwise(0.0), ~relevant))
     return context.select("playbook_id", F.posexplode(F.array(*made)).alias("n", "v")).select("playbook_id", "n", "v.*")
 
@@ -103,7 +103,7 @@ def certification(context: DataFrame, results: DataFrame, strict: bool = False)
     total = c("passed") + c("failed")
     video = c("source_kind").isin(*VIDEO)
     own = context.select(
-        "playbook_id", F.coalesce(F.round(F.try_divide(c("bound_sections"), c("sections")) * 0.5 + F.try_divide(c("textful_sections"), c("sections")) * 0.5, 3), F.lit(0.0)).alias("sourceFidelity"), c("codified").cast("double").alias("codification"),
+        "playbook_id", F.when((c("sections") > 0) & (c("nodes") > 0), F.round(c("bound_sections") / c("sections") * 0.5 + c("textful_sections") / c("sections") * 0.5, 3)).otherwise(0.0).alias("sourceFidelity"), c("codified").cast("double").alias("codification"),
         F.when(total > 0, c("passed") / total).otherwise(F.coalesce(c("validated").cast("double"), F.lit(0.0))).alias("executionValidation"), F.when(c("nodes") > 0, 1.0).otherwise(0.5).alias("governance"),
         F.when(~video, 1.0).otherwise(F.coalesce(F.round(F.try_divide(c("nodes_with_keyframes"), c("nodes")) * 0.45 + F.try_divide(c("nodes_with_actions"), c("nodes")) * 0.55, 3), F.lit(0.0))).alias("visualGrounding"),
     )

@@ -73,13 +73,13 @@ def redistribution_allowed(basis: Column, explicit: Column, licence: Column) ->
     return F.coalesce(explicit, own)
 
 
-def risk_points(kind: Column, basis: Column, intent: Column, commercial: Column, redistribution: Column, verbatim: Column, transcript: Column) -> tuple[Column, Column]:
+def risk_points(kind: Column, basis: Column, intent: Column, commercial: Column, redistribution: Column, verbatim: Column, transcript: Column, words: Column) -> tuple[Column, Column]:
     """(points, reasons in order)."""
     low = basis.isin(*rules.LOW_RISK)
     terms = [
         (4, basis == "unknown", F.lit("rights basis is unknown")), (2, basis.isin(*rules.MEDIUM_RISK), F.concat(F.lit("rights basis requires review: "), basis)),
-        (2, (kind == "youtube_video") & ~low, F.lit("public video sources require explicit rights for reuse")), (4, (intent == "commercial") & ~commercial, F.lit("commercial use is not allowed by the assessment")),
-        (3, (intent == "public") & ~redistribution, F.lit("redistribution is not allowed by the assessment")), (2, verbatim, F.lit("generated asset may contain source expression")),
+        (2, (kind == "youtube_video") & ~low, F.lit("YouTube/public video sources require explicit rights for reuse")), (4, (intent == "commercial") & ~commercial, F.lit("commercial use is not allowed by the assessment")),
+        (3, (intent == "public") & ~redistribution, F.lit("redistribution is not allowed by the assessment")), (2, verbatim, F.concat(F.lit("generated asset may contain source expression ("), words.cast("string"), F.lit(" estimated words)"))),
         (1, transcript & ~low, F.lit("full transcript retention should be minimized or licensed")),
     ]
     return sum((F.when(c, n).otherwise(0) for n, c, _ in terms), F.lit(0)), F.array_compact(F.array(*[F.when(c, r) for _, c, r in terms]))
@@ -102,7 +102,7 @@ def assess_rights(sources: DataFrame) -> DataFrame:
     basis, intent = T.normalize_alias(F.col("rights_basis"), rules.BASIS_ALIASES, "unknown"), T.normalize_alias(F.col("export_intent"), rules.INTENT_ALIASES, "private")
     s = sources.withColumns({"basis": basis, "intent": intent, "is_verbatim": F.coalesce("verbatim", F.coalesce("verbatim_words", F.lit(0)) > 0), "stored": F.coalesce("transcript", F.col("source_kind").isin("youtube_video", "local_video"))})
     s = s.withColumns({"commercial_ok": commercial_allowed(F.col("basis"), F.col("commercial"), F.col("license")), "redistribution_ok": redistribution_allowed(F.col("basis"), F.col("redistribution"), F.col("license"))})
-    points, reasons = risk_points(*map(F.col, ("source_kind", "basis", "intent", "commercial_ok", "redistribution_ok", "is_verbatim", "stored")))
+    points, reasons = risk_points(*map(F.col, ("source_kind", "basis", "intent", "commercial_ok", "redistribution_ok", "is_verbatim", "stored")), F.coalesce("verbatim_words", F.lit(0)))
     s = s.withColumns({"points": points, "reasons": reasons}).withColumn("risk", F.when(F.col("points") >= 6, "high").when(F.col("points") >= 3, "medium").otherwise("low"))
     s = s.withColumn("export_allowed", export_verdict(*map(F.col, ("intent", "risk", "basis", "commercial_ok", "redistribution_ok"))))
     review = F.col("risk").isin("medium", "high") | F.col("basis").isin("unknown", "fair_use") | F.col("intent").isin("public", "commercial")

@@ -8,20 +8,64 @@ from pyspark.sql import functions as F
 from sourcelens import rules
 from sourcelens.functions import text as T
 
-PHRASES = {"youtube_video": "the captured video", "local_video": "the captured video", "web_page": "the captured page", "pdf": "the captured document", "documentation_site": "the captured documentation"}
 
+def by_kind(kind: Column, values: dict) -> Column:
+    """The value of the kind, or that of ""."""
+    made = {k: F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v) for k, v in values.items()}
+    return F.coalesce(F.try_element_at(F.create_map(*[x for k, v in made.items() if k for x in (F.lit(k), v)]), kind), made[""])
 
-def by_kind(kind: Column, values: dict[str, str], default: str) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), kind), F.lit(default))
+
+def filled(template: Column, **values: Column) -> Column:
+    """The template with each {name} replaced by its value."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{%s}" % name), value)
+    return template
+
+
+def input_phrase(kind: Column) -> Column:
+    return by_kind(kind, rules.INPUT_PHRASES)
+
+
+def trigger_phrases(topic: Column, kind: Column) -> Column:
+    """Three ways to ask for the topic."""
+    bare = F.trim(F.coalesce(topic, F.lit("")))
+    named = F.when(bare != "", bare).otherwise(rules.NO_TOPIC)
+    return F.transform(by_kind(kind, rules.TRIGGER_PHRASES), lambda x: filled(x, t=named))
+
+
+def procedure_lead(topic: Column, kind: Column) -> Column:
+    return filled(by_kind(kind, rules.PROCEDURE_LEADS), t=F.when(F.coalesce(topic, F.lit("")) != "", topic).otherwise(rules.NO_TOPIC))
 
 
 def description(shape: Column, topic: Column, kind: Column, keywords: Column) -> Column:
     """What an asset does and when to use it."""
-    covers = F.when(F.size(keywords) > 0, F.concat(F.lit(", covering "), T.natural_join(keywords))).otherwise("")
-    source = by_kind(kind, PHRASES, "the captured source")
-    lead = F.when(shape == "agent", F.concat(F.lit("Acts on "), topic)).when(shape == "workflow", F.concat(F.lit("Runs the steps of "), topic)).otherwise(F.concat(F.lit("Applies "), topic))
-    asks = F.concat(F.lit(" Use it when asked about "), T.natural_join_quoted(F.array(topic)), F.lit("."))
-    return F.concat(lead, F.lit(" as "), source, F.lit(" shows it"), covers, F.lit("."), asks)
+    template, none = (F.create_map(*[F.lit(x) for kv in v.items() for x in kv]) for v in (rules.DESCRIPTIONS, rules.NO_KEYWORDS))
+    covers = F.when(F.size(F.filter(keywords, lambda k: k != "")) > 0, T.natural_join(keywords)).otherwise(none[shape])
+    agent = F.transform(F.array(*map(F.lit, rules.AGENT_TRIGGERS)), lambda x: filled(x, t=topic))
+    asks = T.natural_join_quoted(F.when(shape == "agent", agent).otherwise(trigger_phrases(topic, kind)))
+    return filled(template[shape], lead=procedure_lead(topic, kind), asks=asks, input=input_phrase(kind), kind=kind, t=topic, kw=covers)
+
+
+def knows(kind: Column, sections: Column) -> Column:
+    """The lead-in of what an asset knows."""
+    return F.concat(F.lit("Distilled from "), sections.cast("string"), F.lit(" sections of the source playbook. "), by_kind(kind, rules.KNOWS))
+
+
+def source_block(kind: Column, name: Column, url: Column, title: Column, seconds: Column, words: Column, pages: Column, path: Column, seed: Column) -> Column:
+    """The lines that name an asset's source: what it is and how long, by its kind."""
+    counted = lambda n, unit: F.concat(F.when(F.coalesce(n, F.lit(0)) != 0, n.cast("string")).otherwise("?"), F.lit(unit))
+    given = F.coalesce(F.when(url != "", url), F.lit("(unknown)"))
+    called = F.coalesce(F.when(title != "", title), F.when(name != "", name), F.lit("?"))
+    line = lambda label, *x: F.concat(F.lit(f"- **{label}:** "), *x)
+    length = F.coalesce(F.concat(F.floor(seconds.cast("bigint") / 60).cast("string"), F.lit(" min")), F.lit("?"))
+    file = F.coalesce(F.when(path != "", F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)), called)
+    source_url = line("Source URL", given)
+    lines = (
+        F.when(kind == "youtube_video", F.array(line("Video", called, F.lit(" ("), length, F.lit(")")), source_url)).when(kind == "web_page", F.array(line("Source page", given, F.lit(" ("), counted(words, " words"), F.lit(")"))))
+        .when(kind == "pdf", F.array(line("Source PDF", file, F.lit(" ("), counted(pages, " pages"), F.lit(")")), source_url))
+        .when(kind == "documentation_site", F.array(line("Source docs root", F.coalesce(F.when(seed != "", seed), given), F.lit(" ("), counted(pages, " pages"), F.lit(")")))).otherwise(F.array(line("Source", called), source_url))
+    )
+    return F.array_join(F.concat(F.array(F.concat(F.lit("- **Playbook:** `"), F.coalesce(F.when(name != "", name), F.lit("?")), F.lit("`"))), lines), "\n")
 
 
 def section_label(kind: Column, ordinal: Column, start: Column, end: Column, heading: Column) -> Column:

@@ -126,11 +126,16 @@ def bind_captions(steps: DataFrame, cues: DataFrame, width: float = 30.0) -> Dat
 
 
 def trailing_steps(steps: DataFrame, frames: DataFrame, cues: DataFrame) -> DataFrame:
-    """One quiet step per session that has cues after its last step: from there to the last frame's or cue's end."""
+    """One quiet step per session that has cues after its last step: from there to the end of the frames or of the cues.
+
+    frames(session_id, t), or with frame_end, the number of frames by their rate; else the last frame's time counts.
+    Captions count that start up to 0.001 after the step's end.
+    """
     last = steps.groupBy("session_id").agg(F.max("end_s").alias("start_s"), F.max("ordinal").alias("n"))
-    ends = frames.groupBy("session_id").agg(F.max("t").alias("frame_end")).join(cues.groupBy("session_id").agg(F.max("cue_end").alias("cue_end")), "session_id", "left")
-    spans = last.join(ends, "session_id").select("session_id", (F.col("n") + 1).alias("ordinal"), "start_s", (F.greatest("frame_end", F.coalesce("cue_end", F.lit(0.0))) + 0.001).alias("end_s"))
-    return bind_captions(spans, cues).where("caption_text <> ''").withColumn("trigger", F.lit("quiet_period"))
+    ends = frames.groupBy("session_id").agg(F.max("frame_end" if "frame_end" in frames.columns else "t").alias("frame_end")).join(cues.groupBy("session_id").agg(F.max("cue_end").alias("cue_end")), "session_id", "left")
+    spans = last.join(ends, "session_id").select("session_id", (F.col("n") + 1).alias("ordinal"), "start_s", F.greatest("start_s", "frame_end", F.coalesce("cue_end", F.lit(0.0))).alias("until")).where("until > start_s")
+    spans = spans.withColumn("end_s", F.col("until") + 0.001)
+    return bind_captions(spans, cues).where("caption_text <> ''").withColumns({"trigger": F.lit("quiet_period"), "end_s": F.col("until")}).drop("until")
 
 
 def process_video(frames: DataFrame, cues: DataFrame, threshold: float = KEYFRAME_DIFF, min_gap: float = 0.5) -> DataFrame:

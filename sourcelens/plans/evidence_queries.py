@@ -100,8 +100,8 @@ def contexts(spark, sf_dir) -> DataFrame:
         i.alias("playbook_id"), pick(KINDS).alias("source_kind"), words.alias("words"), (i % 6).cast("int").alias("sections"), (i % 7).cast("int").alias("nodes"), (i % 3).cast("int").alias("nodes_with_actions"), (i % 2).cast("int").alias("nodes_with_keyframes"),
         (i % 6).cast("int").alias("bound_sections"), F.when(words > 100, i % 6).otherwise(0).cast("int").alias("textful_sections"), (i % 10 != 0).alias("codified"), (i % 11 != 0).alias("exported"), (i % 12 != 0).alias("captured"),
         ((F.col("failed") == 0) & (F.col("passed") > 0)).alias("validated"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("failed", F.lit(0)).alias("failed"), (i % 13 != 0).alias("inputs"), (i % 14 != 0).alias("outputs"),
-        F.when(i % 9 == 0, "unknown").otherwise("owned").alias("basis"), F.when(i % 8 == 0, "private_only").otherwise("allowed").alias("export_allowed"), F.lit(True).alias("scanned"), (i % 15 == 0).alias("blocked"), F.when(i % 4 == 0, "medium").otherwise("low").alias("risk_level"),
-        F.concat(F.element_at(F.array(*[F.lit(w) for w in ("nothing", "python code", "a page", "csv rows", "json token")]), (i % 5 + 1).cast("int"))).alias("blob"),
+        F.when(i % 9 == 0, "unknown").otherwise("owned").alias("basis"), F.when(i % 8 == 0, "private_only").when(i % 8 == 3, "blocked").otherwise("allowed").alias("export_allowed"), F.lit(True).alias("scanned"), (i % 15 == 0).alias("blocked"), F.when(i % 4 == 0, "medium").otherwise("low").alias("risk_level"),
+        F.concat(F.element_at(F.array(*[F.lit(w) for w in ("nothing", "Python code", "a page", "CSV rows", "json token")]), (i % 5 + 1).cast("int"))).alias("blob"),
     )
 
 
@@ -113,16 +113,16 @@ CONTEXT_SQL = f"""WITH lab AS (SELECT doc_id, max(quality) AS p, max(toxic) AS f
 ctx AS (
   SELECT d.doc_id AS playbook_id, {sql_list(KINDS)}[CAST(d.doc_id % 5 + 1 AS INT)] AS kind, len({sql_words('text')}) AS words, d.doc_id % 6 AS sections, d.doc_id % 7 AS nodes, d.doc_id % 3 AS acts, d.doc_id % 2 AS keys,
          CASE WHEN len({sql_words('text')}) > 100 THEN d.doc_id % 6 ELSE 0 END AS textful, d.doc_id % 10 <> 0 AS codified, d.doc_id % 11 <> 0 AS exported, d.doc_id % 12 <> 0 AS captured, (f = 0 AND p > 0) AS validated, coalesce(p, 0) AS passed, coalesce(f, 0) AS failed,
-         d.doc_id % 13 <> 0 AND d.doc_id % 14 <> 0 AS contract, d.doc_id % 9 <> 0 AS known, CASE WHEN d.doc_id % 8 = 0 THEN 'private_only' ELSE 'allowed' END AS ea, d.doc_id % 15 = 0 AS blocked, CASE WHEN d.doc_id % 4 = 0 THEN 'medium' ELSE 'low' END AS level,
-         ['nothing', 'python code', 'a page', 'csv rows', 'json token'][CAST(d.doc_id % 5 + 1 AS INT)] AS blob FROM documents d LEFT JOIN lab USING (doc_id)),
+         d.doc_id % 13 <> 0 AND d.doc_id % 14 <> 0 AS contract, d.doc_id % 9 <> 0 AND d.doc_id % 8 <> 3 AS known, CASE d.doc_id % 8 WHEN 0 THEN 'private_only' WHEN 3 THEN 'blocked' ELSE 'allowed' END AS ea, d.doc_id % 15 = 0 AS blocked, CASE WHEN d.doc_id % 4 = 0 THEN 'medium' ELSE 'low' END AS level,
+         ['nothing', 'Python code', 'a page', 'CSV rows', 'json token'][CAST(d.doc_id % 5 + 1 AS INT)] AS blob FROM documents d LEFT JOIN lab USING (doc_id)),
 v AS ({' UNION ALL '.join([
     _row('source_text_present', 'critical', 'source_fidelity', 'words > 0'), _row('evidence_bindings_present', 'critical', 'source_fidelity', 'sections > 0 AND nodes >= sections', 'coalesce(CAST(nodes AS DOUBLE) / nullif(sections, 0), 0)'),
     _row('codified_asset_present', 'critical', 'codification', 'codified'), _row('execution_validation_passed', 'critical', 'execution_validation', 'coalesce(validated, false)', 'coalesce(CASE WHEN passed + failed > 0 THEN CAST(passed AS DOUBLE) / (passed + failed) ELSE CAST(validated AS INT) END, 0)', 'validated IS NULL'),
     _row('export_recorded', 'high', 'governance', 'exported'), _row('capture_distill_recorded', 'high', 'governance', 'captured'), _row('capability_contract_present', 'high', 'capability_ir', 'contract'),
     _row('visual_actions_present', 'high', 'visual_grounding', "kind NOT IN ('youtube_video', 'local_video') OR acts > 0", "CASE WHEN kind IN ('youtube_video', 'local_video') THEN coalesce(CAST(acts AS DOUBLE) / nullif(nodes, 0), 0) ELSE 1 END", "kind NOT IN ('youtube_video', 'local_video')"),
-    _row('rights_assessment_present', 'critical', 'governance_rights', 'known', "CASE WHEN known AND ea = 'allowed' THEN 1.0 WHEN known THEN 0.4 ELSE 0.0 END"),
+    _row('rights_assessment_present', 'critical', 'governance_rights', 'known', "CASE WHEN known THEN 1.0 WHEN ea IN ('allowed', 'private_only') THEN 0.4 ELSE 0.0 END"),
     _row('source_prompt_injection_guard_passed', 'critical', 'governance_security', 'NOT blocked', "CASE WHEN NOT blocked THEN CASE WHEN level = 'low' THEN 1.0 ELSE 0.75 END ELSE 0.0 END"),
-    *[_row(f'{k}_domain_contract', 'medium', f'domain_{k}', f"NOT regexp_matches(blob, '\\b(?:{'|'.join(w)})\\b') OR contract", None, f"NOT regexp_matches(blob, '\\b(?:{'|'.join(w)})\\b')") for k, w in rules.DOMAINS.items()]])})
+    *[_row(f'{k}_domain_contract', 'medium', f'domain_{k}', f"NOT regexp_matches(lower(blob), '\\b(?:{'|'.join(w)})\\b') OR contract", None, f"NOT regexp_matches(lower(blob), '\\b(?:{'|'.join(w)})\\b')") for k, w in rules.DOMAINS.items()]])})
 """
 
 
@@ -172,7 +172,7 @@ def agg_category_score(spark, sf_dir):
     return E.validator_rows(contexts(spark, sf_dir)).groupBy("playbook_id").agg(E.category_score("domain_").alias("domains"), E.category_score("governance_rights").alias("rights"))
 
 
-OWN_SQL = """own AS (SELECT playbook_id, coalesce(round(CAST(sections AS DOUBLE) / nullif(sections, 0) * 0.5 + CAST(textful AS DOUBLE) / nullif(sections, 0) * 0.5, 3), 0) AS fidelity, CAST(codified AS INT) AS codification,
+OWN_SQL = """own AS (SELECT playbook_id, CASE WHEN sections > 0 AND nodes > 0 THEN round(0.5 + CAST(textful AS DOUBLE) / sections * 0.5, 3) ELSE 0 END AS fidelity, CAST(codified AS INT) AS codification,
   CASE WHEN passed + failed > 0 THEN CAST(passed AS DOUBLE) / (passed + failed) ELSE coalesce(CAST(validated AS INT), 0) END AS execution, CASE WHEN nodes > 0 THEN 1.0 ELSE 0.5 END AS governance,
   CASE WHEN kind NOT IN ('youtube_video', 'local_video') THEN 1.0 ELSE coalesce(round(CAST(keys AS DOUBLE) / nullif(nodes, 0) * 0.45 + CAST(acts AS DOUBLE) / nullif(nodes, 0) * 0.55, 3), 0) END AS visual FROM ctx)"""
 CERT_SQL = CONTEXT_SQL + f""", {OWN_SQL}, sc AS (SELECT playbook_id, coalesce(round(avg(CAST(passed AS INT)) FILTER (NOT skipped), 3), 0) AS coverage, {_category('domain_')} AS domains, {_category('capability_ir')} AS ir, {_category('governance_rights')} AS rights, {_category('governance_security')} AS security,
@@ -297,9 +297,76 @@ def fn_asset_render(spark, sf_dir):
     return assets(spark, sf_dir).select("doc_id", "shape", F.md5("text").alias("h"), F.length("text").alias("n"))
 
 
-@query()
+def topics(spark, sf_dir) -> DataFrame:
+    """Topics, some blank, kinds, one of them unknown, and up to four keywords."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    topic = F.when(i % 10 == 0, "").when(i % 10 == 5, "  ").otherwise(F.col("source"))
+    words = T.words(F.col("text"))
+    return d.select("doc_id", topic.alias("topic"), pick(KINDS).alias("kind"), F.slice(words, 1, (i % 5).cast("int")).alias("keywords"), pick(["skill", "agent", "workflow"]).alias("shape"), "source", F.size(words).alias("words"))
+
+
+def sql_by_kind(values: dict, made) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN {made(v)}" for k, v in values.items() if k) + f" ELSE {made(values[''])} END"
+
+
+def sql_text(template: str, **names: str) -> str:
+    out = "'" + template.replace("'", "''") + "'"
+    for k, v in names.items():
+        out = f"replace({out}, '{{{k}}}', {v})"
+    return out
+
+
+TOPIC_SQL = f"""WITH own AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '' WHEN 5 THEN '  ' ELSE source END AS topic, {sql_list(KINDS)}[CAST(doc_id % 5 + 1 AS INT)] AS kind, list_slice({sql_words('text')}, 1, CAST(doc_id % 5 AS INT)) AS kw,
+  ['skill', 'agent', 'workflow'][CAST(doc_id % 3 + 1 AS INT)] AS shape, source, len({sql_words('text')}) AS words FROM documents),
+asked AS (SELECT *, coalesce(nullif(trim(topic), ''), 'this topic') AS t FROM own),
+told AS (SELECT *, {sql_by_kind(rules.TRIGGER_PHRASES, lambda v: '[' + ', '.join(sql_text(x, t='t') for x in v) + ']')} AS phrases, {sql_by_kind(rules.PROCEDURE_LEADS, lambda v: sql_text(v, t="coalesce(nullif(topic, ''), 'this topic')"))} AS lead,
+  {sql_by_kind(rules.INPUT_PHRASES, sql_text)} AS input, [{', '.join(sql_text(x, t='topic') for x in rules.AGENT_TRIGGERS)}] AS roles FROM asked)
+"""
+_ASKS = "(chr(39) || {0}[1] || chr(39) || ', ' || chr(39) || {0}[2] || chr(39) || ', or ' || chr(39) || {0}[3] || chr(39))"
+_COVERS = "(CASE len(kw) WHEN 0 THEN {0} WHEN 1 THEN kw[1] WHEN 2 THEN kw[1] || ' and ' || kw[2] ELSE array_to_string(kw[1:len(kw) - 1], ', ') || ', and ' || kw[len(kw)] END)"
+
+
+@query(TOPIC_SQL + "SELECT doc_id, array_to_string(phrases, '|') AS phrases FROM told")
+def fn_trigger_phrases(spark, sf_dir):
+    return topics(spark, sf_dir).select("doc_id", F.array_join(R.trigger_phrases(F.col("topic"), F.col("kind")), "|").alias("phrases"))
+
+
+@query(TOPIC_SQL + "SELECT doc_id, lead FROM told")
+def fn_procedure_lead(spark, sf_dir):
+    return topics(spark, sf_dir).select("doc_id", R.procedure_lead(F.col("topic"), F.col("kind")).alias("lead"))
+
+
+@query(TOPIC_SQL + "SELECT doc_id, input FROM told")
+def fn_input_phrase(spark, sf_dir):
+    return topics(spark, sf_dir).select("doc_id", R.input_phrase(F.col("kind")).alias("input"))
+
+
+def _about_sql(shape: str) -> str:
+    asks, covers = _ASKS.format("roles" if shape == "agent" else "phrases"), _COVERS.format(sql_text(rules.NO_KEYWORDS[shape]))
+    return sql_text(rules.DESCRIPTIONS[shape], lead="lead", asks=asks, input="input", kind="kind", t="topic", kw=covers)
+
+
+@query(TOPIC_SQL + "SELECT doc_id, CASE shape " + " ".join(f"WHEN '{k}' THEN {_about_sql(k)}" for k in rules.DESCRIPTIONS) + " END AS about FROM told")
 def fn_trigger_description(spark, sf_dir):
-    return assets(spark, sf_dir).select("doc_id", "shape", "about")
+    return topics(spark, sf_dir).select("doc_id", R.description(*map(F.col, ("shape", "topic", "kind", "keywords"))).alias("about"))
+
+
+@query(TOPIC_SQL + f"""SELECT doc_id, 'Distilled from ' || CAST(doc_id % 7 AS VARCHAR) || ' sections of the source playbook. ' || {sql_by_kind(rules.KNOWS, sql_text)} AS knows,
+  '- **Playbook:** `' || source || '-' || CAST(doc_id AS VARCHAR) || '`' || chr(10) || CASE kind
+  WHEN 'youtube_video' THEN '- **Video:** ' || source || ' (' || CASE WHEN doc_id % 4 = 0 THEN '?' ELSE CAST(words // 60 AS VARCHAR) || ' min' END || ')' || chr(10) || '- **Source URL:** https://x.org/' || source
+  WHEN 'web_page' THEN '- **Source page:** https://x.org/' || source || ' (' || CASE WHEN words = 0 THEN '?' ELSE CAST(words AS VARCHAR) END || ' words)'
+  WHEN 'pdf' THEN '- **Source PDF:** ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE source || '.pdf' END || ' (' || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE CAST(doc_id % 7 AS VARCHAR) END || ' pages)' || chr(10) || '- **Source URL:** https://x.org/' || source
+  WHEN 'documentation_site' THEN '- **Source docs root:** https://x.org/' || source || CASE WHEN doc_id % 2 = 0 THEN '/docs' ELSE '' END || ' (' || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE CAST(doc_id % 7 AS VARCHAR) END || ' pages)'
+  ELSE '- **Source:** ' || source || chr(10) || '- **Source URL:** https://x.org/' || source END AS block FROM told""")
+def fn_short_renderers(spark, sf_dir):
+    """The lead-in of what an asset knows, and the lines that name its source."""
+    t, i, none = topics(spark, sf_dir), F.col("doc_id"), F.lit("")
+    url = F.concat(F.lit("https://x.org/"), "source")
+    path = F.when(i % 2 == 0, none).otherwise(F.concat(F.lit("/data/in/"), "source", F.lit(".pdf")))
+    seed = F.when(i % 2 == 0, F.concat(url, F.lit("/docs"))).otherwise(none)
+    seconds = F.when(i % 4 != 0, F.col("words"))
+    block = R.source_block(F.col("kind"), F.concat_ws("-", "source", i.cast("string")), url, F.col("source"), seconds, F.col("words"), i % 7, path, seed)
+    return t.select("doc_id", R.knows(F.col("kind"), i % 7).alias("knows"), block.alias("block"))
 
 
 @query()

@@ -14,9 +14,11 @@ from sourcelens.sources.tables import table
 MAD_SQL = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) / len(a.embedding)"
 
 
-@query(f"SELECT a.vec_id, round({MAD_SQL}, 6) AS mad FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1")
+@query(f"WITH e AS (SELECT vec_id, CASE WHEN vec_id % 13 = 5 THEN embedding[1:8] WHEN vec_id % 13 = 9 THEN [] ELSE embedding END AS embedding FROM embeddings) SELECT a.vec_id, CASE WHEN len(a.embedding) = len(b.embedding) AND len(a.embedding) > 0 THEN round({MAD_SQL}, 6) ELSE CAST('inf' AS DOUBLE) END AS mad FROM e a JOIN e b ON b.vec_id = a.vec_id - 1")
 def agg_thumb_mad(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    """Some vectors are shortened or emptied, as frames of another size are."""
+    k, v = F.col("vec_id") % 13, F.col("embedding")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(k == 5, F.slice(v, 1, 8)).when(k == 9, F.slice(v, 1, 0)).otherwise(v).alias("embedding"))
     before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b"))
     return e.join(before, "vec_id").select("vec_id", F.round(M.mean_abs_diff(F.col("embedding"), F.col("b")), 6).alias("mad"))
 
@@ -70,7 +72,9 @@ pairs AS (SELECT a.vec_id, list_filter(range(64), lambda i: abs(a.e[CAST(i + 1 A
 SELECT vec_id, CAST(list_min(list_transform(ch, lambda i: i % 8)) AS INT) AS l, CAST(list_min(list_transform(ch, lambda i: i // 8)) AS INT) AS t, CAST(list_max(list_transform(ch, lambda i: i % 8)) + 1 AS INT) AS r, CAST(list_max(list_transform(ch, lambda i: i // 8)) + 1 AS INT) AS b FROM pairs WHERE len(ch) > 0""")
 def fn_visual_action(spark, sf_dir):
     """The box of changed cells of neighbouring vectors taken as frames of 8 by 8."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    """Some vectors are shortened or emptied, as frames of another size are."""
+    k, v = F.col("vec_id") % 13, F.col("embedding")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(k == 5, F.slice(v, 1, 8)).when(k == 9, F.slice(v, 1, 0)).otherwise(v).alias("embedding"))
     before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b"))
     changed = F.zip_with("embedding", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double")) > 0.2)
     box = e.join(before, "vec_id").select("vec_id", M.bbox(changed, 8).alias("x")).where("x is not null")
@@ -182,8 +186,13 @@ def src_video_info(spark, sf_dir):
     return c.agg(F.count("*").alias("tracks"), F.bool_or(F.col("role") == "user").alias("playable"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("languages"))
 
 
-@query("SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events WHERE event_id <= 5000 GROUP BY user_id")
+@query("""WITH asked AS (SELECT user_id, min(ts) + to_hours(CAST(user_id % 300 AS INT)) AS asked_at FROM events GROUP BY user_id)
+SELECT e.user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, least(greatest(e.user_id * 7, 64), 1920) AS width, least(greatest(e.user_id % 40, 2), 31) AS quality, least(greatest(e.user_id - 5, 1), 300) AS timeout
+FROM events e JOIN asked a ON a.user_id = e.user_id WHERE ts <= asked_at GROUP BY e.user_id""")
 def src_frame_snapshot(spark, sf_dir):
-    """The last frame up to a sequence number: an as-of lookup by one aggregation, the bound pushed to the scan."""
-    e = table(spark, sf_dir, "events").where("event_id <= 5000")
-    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """A user's last frame as of a time some hours after the first, with the request's clamped options."""
+    e, u = table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), F.col("user_id")
+    asked = e.groupBy("user_id").agg((F.min("ts") + F.make_dt_interval(hours=u % 300)).alias("at"))
+    last = e.join(asked, "user_id").where("ts <= at").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    options = {"width": ("frame_width", u * 7), "quality": ("jpeg_quality", u % 40), "timeout": ("snapshot_timeout", u - 5)}
+    return last.select("user_id", "event_id", *[M.clamp(x, limit).cast("bigint").alias(n) for n, (limit, x) in options.items()])

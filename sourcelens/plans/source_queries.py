@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelens.catalog import query
@@ -85,8 +85,8 @@ def page_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, str]:
 
 
 CRAWL_SQL = """WITH RECURSIVE p AS (SELECT page_id, (SELECT count(*) FROM pages) AS n FROM pages),
-c AS (SELECT CAST(0 AS BIGINT) AS id, 0 AS depth UNION SELECT unnest([(id * 2 + 1) % n, (id * 2 + 2) % n]), depth + 1 FROM c JOIN p ON page_id = id WHERE depth < 10),
-seen AS (SELECT id, min(depth) AS depth FROM c GROUP BY id)
+c(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT unnest([(id * 2 + 1) % n, (id * 2 + 2) % n]) FROM c JOIN p ON page_id = id),
+seen AS (SELECT id, CAST(floor(log2(id + 1)) AS INT) AS depth FROM c)
 SELECT 'http://site/p' || CAST(id AS VARCHAR) AS url, CAST(depth AS INT) AS depth FROM seen WHERE id % 5 > 0 ORDER BY depth, url LIMIT 30"""
 
 
@@ -103,13 +103,24 @@ def join_crawl_antijoin(spark, sf_dir):
     return P.crawl(links, found.withColumn("n_sections", F.lit(1)), seed, most=1 << 30)
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents WHERE trim(text) <> '' AND doc_id BETWEEN 10 AND 5000000")
+@query("""WITH numbered AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no FROM documents)
+SELECT doc_id, page_no, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal FROM numbered WHERE page_no >= 3 AND trim(text) <> ''""")
 def src_pdf(spark, sf_dir):
-    """Pages with text, renumbered after those without are dropped."""
-    from pyspark.sql import Window
+    """Pages of a source from the third on, numbered anew after those without text are dropped."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("filled"))
+    kept = numbered(d, "source", "doc_id", "page_no").where("page_no >= 3 and filled")
+    return numbered(kept, "source", "doc_id", "ordinal").select("doc_id", "page_no", "ordinal")
+
 
-    d = table(spark, sf_dir, "documents").where((F.trim("text") != "") & F.col("doc_id").between(10, 5000000))
-    return d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("page"))
+def numbered(rows: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:
+    """rows with their number within key, by an integer order: ranks in buckets of the order and sums over the buckets."""
+    rows = rows.withColumn("_bucket", F.floor(F.col(order) / width))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(key, "_bucket").agg(F.count("*").alias("_n")).withColumn("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    heads = heads.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), "_head")
+    inside = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(order)))
+    met = inside.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+    return met.withColumn(name, F.col("_head") + F.col("_rank")).drop("_bucket", "_b", "_key", "_head", "_rank")
 
 
 @query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE lang END), ''), source) AS t FROM documents")
@@ -141,12 +152,12 @@ def src_transcribe(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("conv_id").agg(F.count("*").alias("cues"))
 
 
-@query("SELECT conv_id, CAST(turn * 2 AS DOUBLE) AS start, CAST(turn * 2 + 1 AS DOUBLE) AS e, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE regexp_matches(text, '[A-Za-z]') AND NOT contains(text, chr(10)) AND NOT regexp_matches(text, '^(WEBVTT|NOTE|STYLE)') AND NOT contains(text, '-->') AND NOT contains(text, ': ')")
+@query()
 def fn_parse_cues(spark, sf_dir):
-    """Turns written as a WebVTT body and read again."""
-    c = table(spark, sf_dir, "conversations").where(r"regexp_like(text, '[A-Za-z]') and not contains(text, '\n') and not regexp_like(text, '^(WEBVTT|NOTE|STYLE)') and not contains(text, '-->') and not contains(text, ': ')")
+    """All turns, whatever they hold, written as a WebVTT body and read again; tested against a plain restatement."""
+    c = table(spark, sf_dir, "conversations")
     stamp = lambda s: F.format_string("%d:%02d.000", F.floor(s / 60), s % 60)
-    block = F.concat(stamp(F.col("turn") * 2), F.lit(" --> "), stamp(F.col("turn") * 2 + 1), F.lit(" position:50%\n"), T.normalize_space(F.col("text")), F.lit("\n"))
+    block = F.concat(stamp(F.col("turn") * 2), F.lit(" --> "), stamp(F.col("turn") * 2 + 1), F.lit(" position:50%\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     body = c.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n")).alias("body"))
     return body.select("conv_id", F.explode(P.parse_cues("body")).alias("c")).select("conv_id", F.col("c.start").alias("start"), F.col("c.end").alias("e"), F.col("c.text").alias("text"))
 

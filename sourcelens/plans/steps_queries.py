@@ -115,7 +115,7 @@ def join_cue_interval(spark, sf_dir):
     return S.bind_captions(windows(spark, sf_dir), cues(spark, sf_dir)).select("session_id", "ordinal", "caption_text")
 
 
-@query(f"WITH {CUES_SQL}, last AS (SELECT session_id, max(cue_end) / 2 AS start_s, max(cue_end) AS e FROM cues GROUP BY session_id) SELECT l.session_id, round(start_s, 6) AS start_s, round(e + 0.001, 6) AS end_s, string_agg(c.cue_text, chr(10) ORDER BY lang, cue_idx, cue_text) AS caption_text FROM last l JOIN cues c ON c.session_id = l.session_id AND cue_start >= start_s AND cue_start < e + 0.001 GROUP BY ALL HAVING string_agg(c.cue_text, chr(10) ORDER BY lang, cue_idx, cue_text) <> ''")
+@query(f"WITH {CUES_SQL}, last AS (SELECT session_id, max(cue_end) / 2 AS start_s, max(cue_end) AS e FROM cues GROUP BY session_id) SELECT l.session_id, round(start_s, 6) AS start_s, round(e, 6) AS end_s, string_agg(c.cue_text, chr(10) ORDER BY lang, cue_idx, cue_text) AS caption_text FROM last l JOIN cues c ON c.session_id = l.session_id AND cue_start >= start_s AND cue_start < e + 0.001 GROUP BY ALL HAVING string_agg(c.cue_text, chr(10) ORDER BY lang, cue_idx, cue_text) <> ''")
 def win_trailing_flush(spark, sf_dir):
     c = cues(spark, sf_dir)
     ends = c.groupBy("session_id").agg(F.max("cue_end").alias("e"))

@@ -239,9 +239,17 @@ def fn_normalize_url(spark, sf_dir):
     return table(spark, sf_dir, P).select("page_id", U.normalize_url(u).alias("url"))
 
 
-@query(rf"SELECT page_id, href, CASE WHEN starts_with(href, '/') THEN {ORIGIN} || href ELSE {ORIGIN} || regexp_replace(regexp_extract(url, {PARTS}, 3), '[^/]*$', '') || href END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"#]+)', 1)) AS href FROM pages)")
+#: References that a page gets besides its own, and what they lead to, d being the folder and u the folder above it.
+REFERENCES = {"../x": "u || 'x'", "./y/": "d || 'y/'", "?q=1": f"{ORIGIN} || regexp_extract(url, {PARTS}, 3) || '?q=1'", "//h.example/p": f"regexp_extract(url, {PARTS}, 1) || '://h.example/p'", "z/../w?a=..": "d || 'w?a=..'", ".": "d", "#f": "regexp_replace(url, '#.*$', '') || '#f'"}
+FOLDER = f"{ORIGIN} || coalesce(nullif(regexp_replace(regexp_extract(url, {PARTS}, 3), '[^/]*$', ''), ''), '/')"
+
+
+@query(rf"""WITH own AS (SELECT page_id, url, unnest(list_concat(regexp_extract_all(html, 'href="([^"#]+)', 1), {sql_list(list(REFERENCES))})) AS href, {FOLDER} AS d FROM pages),
+placed AS (SELECT *, regexp_replace(d, '([^/])/[^/]+/$', '\1/') AS up FROM own)
+SELECT page_id, href, CASE {' '.join(f"WHEN href = '{k}' THEN {v}" for k, v in REFERENCES.items())} WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN {ORIGIN} || href ELSE d || href END AS link
+FROM (SELECT * EXCLUDE up, CASE WHEN d = {ORIGIN} || '/' THEN d ELSE up END AS u FROM placed)""")
 def fn_url_join(spark, sf_dir):
-    hrefs = table(spark, sf_dir, P).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"#]+)'), F.lit(1))).alias("href"))
+    hrefs = table(spark, sf_dir, P).select("page_id", "url", F.explode(F.concat(F.regexp_extract_all("html", F.lit('href="([^"#]+)'), F.lit(1)), F.array(*[F.lit(x) for x in REFERENCES]))).alias("href"))
     return hrefs.select("page_id", "href", U.url_join(F.col("url"), F.col("href")).alias("link"))
 
 
@@ -257,9 +265,11 @@ def prd_source_type(spark, sf_dir):
     return s.union(more).select("page_id", "source", U.source_type(x, F.col("kind"), F.col("max_pages"), F.lit("")).alias("source_type"), U.infer_name(x).alias("name"), U.pdf_filename(x).alias("file"))
 
 
-@query("SELECT page_id, lower(split_part(split_part(url, '://', 2), '/', 1)) AS host, true AS web FROM pages")
+@query("SELECT page_id, x, starts_with(lower(x), 'http://') AND x <> 'http:///p' OR starts_with(lower(x), 'https://') AS web FROM (SELECT page_id, CASE page_id % 6 WHEN 1 THEN replace(url, 'https:', 'ftp:') WHEN 2 THEN upper(url) WHEN 3 THEN 'http:///p' WHEN 4 THEN replace(url, '://', '/') ELSE url END AS x FROM pages)")
 def fn_is_http_url(spark, sf_dir):
-    return table(spark, sf_dir, P).select("page_id", F.lower(U.part(F.col("url"), 2)).alias("host"), U.is_http_url(F.col("url")).alias("web"))
+    k, url = F.col("page_id") % 6, F.col("url")
+    x = F.when(k == 1, F.replace(url, F.lit("https:"), F.lit("ftp:"))).when(k == 2, F.upper(url)).when(k == 3, "http:///p").when(k == 4, F.replace(url, F.lit("://"), F.lit("/"))).otherwise(url)
+    return table(spark, sf_dir, P).select("page_id", x.alias("x"), U.is_http_url(x).alias("web"))
 
 
 @query(f"SELECT page_id, coalesce(list_filter(string_split(lower(regexp_extract(url, {PARTS}, 2)), '.'), lambda p: p <> '' AND NOT list_contains({sql_list(rules.IGNORED_HOST_PARTS)}, p))[1], '') AS seed FROM pages")
@@ -267,9 +277,20 @@ def fn_host_seed(spark, sf_dir):
     return table(spark, sf_dir, P).select("page_id", U.host_seed(F.col("url")).alias("seed"))
 
 
-@query(f"SELECT page_id, trim(regexp_replace(lower(trim(coalesce(list_filter(string_split(lower(regexp_extract(url, {PARTS}, 2)), '.'), lambda p: p <> '' AND NOT list_contains({sql_list(rules.IGNORED_HOST_PARTS)}, p))[1], '') || '-' || regexp_replace(regexp_extract(regexp_extract(url, {PARTS}, 3), '([^/]*)/*$', 1), '\\.[^.]*$', ''))), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS name FROM pages")
+@query(f"SELECT page_id, trim(regexp_replace(lower(trim(coalesce(list_filter(string_split(lower(regexp_extract(url, {PARTS}, 2)), '.'), lambda p: p <> '' AND NOT list_contains({sql_list(rules.IGNORED_HOST_PARTS)}, p))[1], '') || '-' || regexp_replace(regexp_extract(url_decode(regexp_extract(regexp_extract(url, {PARTS}, 3), '([^/]*)/*$', 1)), '[^/]*$'), '\\.[^.]*$', ''))), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS name FROM (SELECT page_id, url || CASE page_id % 4 WHEN 1 THEN '/my%20file.v2.html' WHEN 2 THEN '/b%C3%A9+c%2Fd/' ELSE '' END AS url FROM pages)")
 def fn_infer_name(spark, sf_dir):
-    return table(spark, sf_dir, P).select("page_id", U.infer_name(F.col("url")).alias("name"))
+    k = F.col("page_id") % 4
+    url = F.concat("url", F.when(k == 1, "/my%20file.v2.html").when(k == 2, "/b%C3%A9+c%2Fd/").otherwise(""))
+    return table(spark, sf_dir, P).select("page_id", U.infer_name(url).alias("name"))
+
+
+@query(f"""WITH own AS (SELECT page_id, url || CASE page_id % 4 WHEN 1 THEN '/my%20file.PDF' WHEN 2 THEN '/report' ELSE '' END AS url FROM pages),
+named AS (SELECT page_id, regexp_extract(url_decode(regexp_extract(url, {PARTS}, 3)), '([^/]*)/*$', 1) AS name FROM own)
+SELECT page_id, CASE WHEN name = '' THEN 'source.pdf' WHEN ends_with(lower(name), '.pdf') THEN name ELSE name || '.pdf' END AS file FROM named""")
+def fn_pdf_filename(spark, sf_dir):
+    k = F.col("page_id") % 4
+    url = F.concat("url", F.when(k == 1, "/my%20file.PDF").when(k == 2, "/report").otherwise(""))
+    return table(spark, sf_dir, P).select("page_id", U.pdf_filename(url).alias("file"))
 
 
 @query("SELECT doc_id, sha256(text) AS h FROM documents")

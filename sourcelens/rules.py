@@ -11,7 +11,7 @@ def injection_rules(own_names: tuple[str, ...] = ()) -> list[tuple[str, str, boo
     return [
         ("instruction_override", "critical", True, r"\b(?:ignore|disregard|override|bypass|forget)\b.{0,80}\b(?:previous|prior|above|system|developer|tool|safety|policy|instruction|rules?)\b"),
         ("forbid_system_compliance", "critical", True, r"\b(?:do not|don't|never|stop)\b.{0,80}\b(?:follow|obey|honou?r|respect|apply)\b.{0,80}\b(?:system|developer|previous|prior|above|tool|safety|policy)\b"),
-        ("actor_directed_skill_creation", "critical", True, rf"\b(?:{actors})\b\s*[:,-]\s*(?:.{{0,120}})?\b(?:create|generate|write|save|export|install|mint|publish)\b.{{0,80}}\b(?:skill|agent|workflow|capability|playbook|tool)\b"),
+        ("actor_directed_skill_creation", "critical", True, rf"\b(?:{actors})\b\s*[:,-]\s*(?:(?!\n\n).{{0,120}})?\b(?:create|generate|write|save|export|install|mint|publish)\b.{{0,80}}\b(?:skill|agent|workflow|capability|playbook|tool)\b"),
         ("generator_role_reassignment", "high", True, rf"\b(?:you are now|act as|pretend to be|from now on you are|new role:)\b.{{0,120}}\b(?:{roles})\b"),
         ("secret_exfiltration", "critical", True, r"\b(?:read|steal|leak|print|dump|exfiltrate|send|upload|copy)\b.{0,100}\b(?:secret|token|api[_ -]?key|credential|password|private[_ -]?key|env(?:ironment)? variable)\b"),
         ("tool_or_shell_control", "high", True, r"\b(?:run|execute|invoke|call|use|open)\b.{0,100}\b(?:shell|powershell|cmd|terminal|mcp|tool|browser|webhook|http request)\b"),
@@ -84,3 +84,40 @@ TITLE_STRIPS = (
     r"\s*\bBootcamp\b(?:\s+(?:for|and|with|to|in))?\s*$", r"\s*\bMasterclass\b(?:\s+(?:for|and|with|to|in))?\s*$", r"\s*\bRoadmap\b(?:\s+(?:for|and|with|to|in))?\s*$",
     r"\s*\bCurriculum\b(?:\s+(?:for|and|with|to|in))?\s*$", r"\s*\bSyllabus\b(?:\s+(?:for|and|with|to|in))?\s*$", r"\s+(?:for|and|with|to|by|in)\s*$",
 )
+
+# Texts of descriptions and lead-ins by kind of source; {t} is the topic, "" any other kind.
+INPUT_PHRASES = {
+    "youtube_video": "a tutorial video URL", "web_page": "a single docs URL", "pdf": "a PDF / vendor whitepaper", "documentation_site": "a docs site root URL",
+    "": "source material on this topic",
+}
+TRIGGER_PHRASES = {
+    "youtube_video": ("explain {t}", "how does {t} work", "walk me through {t}"),
+    "web_page": ("what is {t}", "explain {t}", "{t} reference"),
+    "pdf": ("summarize this {t} document", "what does the {t} doc say", "explain {t}"),
+    "documentation_site": ("how do I use {t}", "explain {t}", "{t} docs"),
+    "": ("explain {t}", "what is {t}", "how does {t} work"),
+}
+PROCEDURE_LEADS = {
+    "youtube_video": "Apply lessons from a tutorial about {t}", "web_page": "Apply guidance from a docs page about {t}",
+    "pdf": "Apply guidance from a PDF document about {t}", "documentation_site": "Apply guidance from documentation about {t}",
+    "": "Apply lessons about {t}",
+}
+KNOWS = {
+    "youtube_video": "Each row below is one topical chunk of the tutorial with its video timestamp, so claims can be traced back to the source.",
+    "pdf": "Each row below is one page of the source PDF, so claims can be traced back to the page.",
+    "web_page": "Each row below is one heading-delimited section of the source page, so claims can be traced back to the heading.",
+    "documentation_site": "Each row below is one heading-delimited section across the crawled docs pages, so claims can be traced back to the heading.",
+    "": "Each row below is one section of the source.",
+}
+NO_TOPIC, NO_KEYWORDS = "this topic", {"skill": "the concepts covered in the source", "agent": "the source curriculum", "workflow": "the source curriculum"}
+DESCRIPTIONS = {
+    "skill": "{lead}, covering {kw}. Make sure to use this skill whenever the user asks {asks}, or hands you {input} on this topic, even if they don't name the topic exactly. "
+    "(auto-generated from {kind} source; refine via /codify for best matching)",
+    "agent": "Orchestrating agent for end-to-end {t} work, covering {kw}. Make sure to use this agent whenever the user asks {asks}, or hands you a multi-skill {t} task, "
+    "even if they don't ask for an 'agent' by name. Delegates to the skills listed in `## Owned skills` (filled in by /codify). "
+    "(auto-generated from {kind} source; refine via /codify for best matching)",
+    "workflow": "Orchestration workflow for {t} that sequences skills with decision gates, data flow, and rollback, covering {kw}. Make sure to use this workflow whenever the user says "
+    "'run the {t} workflow', 'walk through {t} end-to-end', or hands you a multi-step {t} task that needs deterministic ordering. "
+    "(auto-generated from {kind} source; refine via /codify for best matching)",
+}
+AGENT_TRIGGERS = ("become a {t}", "learn {t} end-to-end", "build a {t} portfolio")

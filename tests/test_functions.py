@@ -25,6 +25,24 @@ def test_router(spark, source, pages, want):
     assert one(spark, lambda x: U.source_type(x, F.lit("auto"), F.lit(pages), F.lit("")), source) == want
 
 
+def test_url_join_like_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.b/c/d/e", "http://a.b/c%20d.pdf", "http://a.b", "http://a.b/x/?q=2", "https://a.b/c/d/#old"]
+    refs = ["../x", "?q=1", "./y/", "../../../z", "/p/../r", "//h/i", "mailto:x", "k/./l/..", "#f", ".", "..", "m?n=../o", "", "g;x=1/../y"]
+    rows = [(b, r, urljoin(b, r)) for b in bases for r in refs]
+    got = spark.createDataFrame(rows, "b string, r string, want string").select("b", "r", "want", U.url_join(F.col("b"), F.col("r")).alias("got")).collect()
+    assert [(x["b"], x["r"], x["got"]) for x in got if x["got"].rstrip("/") != x["want"].rstrip("/")] == []
+
+
+@pytest.mark.parametrize(("f", "value", "want"), [
+    (U.infer_name, "https://a.b/c%20d.html", "a-c-d"), (U.infer_name, "https://docs.a.b/x/y%2Fz/", "a-z"), (U.pdf_filename, "https://a.b/c%20d.pdf", "c d.pdf"), (U.pdf_filename, "https://a.b/", "source.pdf"), (U.pdf_filename, "https://a.b/r.v2", "r.v2.pdf"),
+    (U.pdf_filename, "https://a.b/100%.PDF?x", "100%.PDF"),
+])
+def test_names_are_decoded(spark, f, value, want):
+    assert one(spark, f, value) == want
+
+
 def test_clock_and_joins(spark):
     assert one(spark, T.clock, 33951, "int") == "9:25:51" and one(spark, T.clock, None, "int") == "?:??" and one(spark, T.timecode, -3, "int") == "0:00"
     lists = [([], ""), (["a"], "a"), (["a", "b"], "a and b"), (["a", "", "b", "c"], "a, b, and c")]
@@ -40,7 +58,7 @@ def test_frontmatter(spark):
 
 def test_frames(spark):
     d = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0]), ([1.0], [1.0, 2.0]), ([], [])], "a array<double>, b array<double>")
-    assert [r[0] for r in d.select(M.mean_abs_diff(F.col("a"), F.col("b"))).collect()] == [1.5, None, None]
+    assert [r[0] for r in d.select(M.mean_abs_diff(F.col("a"), F.col("b"))).collect()] == [1.5, float("inf"), float("inf")]
     box = F.struct(F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(100).alias("right"), F.lit(10).alias("bottom"))
     assert one(spark, lambda _: M.zones(box, F.lit(640), F.lit(360))) == ["left_rail", "top_bar", "top_left"]
     for ratio, text, diff, want in [(0.95, False, None, "screen_transition"), (None, False, None, "no_visible_change"), (0.1, True, None, "text_entry_or_selection"), (0.3, True, None, "content_update"), (0.02, False, None, "pointer_or_selection_change"), (0.2, False, 70.0, "visual_cut"), (0.2, False, 1.0, "layout_change")]:

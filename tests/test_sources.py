@@ -23,6 +23,29 @@ def test_cues():
     assert P.cues_of("{bad") == [{"start": None, "end": None, "text": "{bad"}] and P.cues_of("") == []
 
 
+def test_all_turns_as_cues(spark, tmp_path):
+    """Turns with blank lines, arrows, digits and header words inside, read again block by block."""
+    from sourcelens.plans.source_queries import fn_parse_cues
+
+    texts = ["plain", "two\nlines", "a: b", "one --> two", "12", "NOTE x", "first\n\nWEBVTT\nlast", None, "", "Kind: x\n7\ny", "so\n\n\nmany"]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = []
+    for k, t in enumerate(texts):
+        clock, parts = (2.0 * k, 2.0 * k + 1), (t or "").split("\n")
+        block: list = []
+        for line in [*parts, ""]:
+            if line == "":
+                if block:
+                    want.append((*clock, " ".join(block)))
+                clock, block = (None, None), []
+            elif "-->" in line:
+                clock = tuple(P.seconds(x) for x in (line.split("-->")[0], line.split("-->")[1].split()[0]))
+            elif not line.isdigit() and not line.startswith(("NOTE", "WEBVTT", "STYLE")):
+                block.append(line)
+    got = [(r["start"], r["e"], r["text"]) for r in fn_parse_cues(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 8
+
+
 def test_streams(spark):
     d = spark.createDataFrame([(bytearray(b"\x00\x80\xff\x7f\x01"),)], "b binary")
     assert [round(v, 4) for v in d.select(P.pcm16("b")).first()[0]] == [-1.0, 1.0]
