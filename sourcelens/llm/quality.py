@@ -106,16 +106,16 @@ def shape(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> (id, f)."""
+    """docs(id, text, row) -> (id, row, f)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in blocks(batch.column(1)):
                 f = shape(data, offs)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1]), pa.int32()), pa.array(f.ravel().astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values], names=["id", "f"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 2)), values], names=["id", "row", "f"])
 
-    return docs.mapInArrow(run, "id bigint, f array<float>")
+    return docs.mapInArrow(run, "id bigint, row bigint, f array<float>")
 
 
 def quadratic(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -142,9 +142,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarra
     return mean / (STEPS - STEPS * 3 // 4)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per row of docs: id, held_out, score, predicted."""
-    own = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint"), "text")
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
+    """A row per row of docs: id, held_out, score, predicted, and the column row_col if one is named."""
+    own = columns(docs, id=id_col, text=text_col, **({"row": row_col} if row_col else {}))
+    own = own.select(F.col("id").cast("bigint"), "text", F.col("row") if row_col else F.lit(None).cast("bigint").alias("row"))
     seen = written(features(own))
     marks = columns(labels, id=id_col, y=label_col).select(F.col("id").cast("bigint"), F.col("y").cast("int")).where("id is not null and y is not null")
     marks = marks.where(~held_out(F.col("id")))
@@ -167,10 +168,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def score(batches):
         for batch in batches:
-            f = batch.column(1)
+            f = batch.column(2)
             f = f.flatten().to_numpy().reshape(len(f), width).astype(float)
             s = 1 / (1 + np.exp(-np.clip(quadratic(f, mean, scale) @ w, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["id", "row", "score"])
 
-    scored = seen.mapInArrow(score, "id bigint, score double")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = seen.mapInArrow(score, "id bigint, row bigint, score double")
+    more = [F.col("row").alias(row_col)] if row_col else []
+    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
