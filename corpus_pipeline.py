@@ -1,8 +1,9 @@
 """Five stages from raw documents to packed training windows; part of the operators for training text.
 
 Each stage takes (spark, docs, sf_dir), works on every row it is given and returns rows with the columns of documents,
-the last one pieces of windows. Rows without an identifier are judged like others where a stage's operator judges rows,
-and stay where it links identifiers.
+the last one pieces of windows. Within a stage a row is known by a hash of all its columns, so rows without an
+identifier, or with one that others have too, are judged by themselves; rows that are equal in all columns share their
+fate. An empty table gives an empty result, and further columns are dropped.
 """
 
 from __future__ import annotations
@@ -19,40 +20,73 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and row_key, a hash of them all."""
+    return docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*COLUMNS))
+
+
+def few_or_shuffled(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most FEW rows."""
+    return F.broadcast(df) if df.count() <= ngram_join.FEW else df
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """keyed rows without repeats; texts are shuffled only for keys that occur again."""
+    again = written(docs.groupBy("row_key").count().where("count > 1").select("row_key"))
+    if again.isEmpty():
+        return docs
+    again = few_or_shuffled(again)
+    return docs.join(again, "row_key", "left_anti").union(docs.join(again, "row_key", "left_semi").select(*docs.columns).dropDuplicates(["row_key"]).select(*docs.columns))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. If rows repeat an identifier, the rejection of one takes all."""
-    scores = quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = written(scores.where("predicted = 0").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that the classifier does not reject."""
+    own = keyed(docs)
+    scores = quality.quality_scores(own, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="row_key")
+    rejected = written(scores.where("predicted = 0").select("row_key").distinct())
+    return own.join(few_or_shuffled(rejected), "row_key", "left_anti").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest identifier; rows that repeat both become one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    marked = docs.select(*COLUMNS).withColumn("sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select(*COLUMNS)
+    """Of equal texts the row with the largest identifier; of several such rows the one with the smallest key."""
+    own = keyed(docs).withColumn("sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256))
+    found = exact_dedup.exact_dedup(docs).select("doc_id", F.col("text_sha256").alias("sha"), "kept").distinct()
+    dropped = few_or_shuffled(written(found.where("not kept")).withColumnRenamed("doc_id", "d_id").withColumnRenamed("sha", "d_sha"))
+    rest = own.join(dropped, (F.col("sha") == F.col("d_sha")) & F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
+    marks = own.select("doc_id", "sha", "row_key")
+    repeated = marks.groupBy("doc_id", "sha").agg(F.count("*").alias("n"), F.min("row_key").alias("first")).where("n > 1")
+    repeated = written(repeated.select(F.col("doc_id").alias("r_id"), F.col("sha").alias("r_sha"), "first"))
+    if not repeated.isEmpty():
+        same = (F.col("sha") == F.col("r_sha")) & F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("row_key") != F.col("first"))
+        rest = once(rest.join(few_or_shuffled(repeated), same, "left_anti"))
+    return rest.select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect the one with the smallest identifier."""
-    groups = ngram_join.ngram_jaccard_join(docs)
-    dropped = written(groups.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of rows that links connect the one with the smallest identifier, null last."""
+    own = keyed(docs)
+    groups = written(ngram_join.ngram_jaccard_join(own, id_col="row_key").select("row_key", "component_id").distinct())
+    several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = groups.join(several, "component_id").join(own.select("row_key", "doc_id").distinct(), "row_key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = members.groupBy("component_id").agg(F.min_by("row_key", order).alias("row_key"))
+    dropped = written(members.select("row_key").join(kept.select("row_key"), "row_key", "left_anti").distinct())
+    return own.join(few_or_shuffled(dropped), "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each document and pass that takes it, with the words that are taken, in the schedule's order."""
-    own = docs.select(*COLUMNS)
-    parts = mixing.plan(own)
-    mine = parts["documents"].groupBy("id", "source", "size").agg(F.min(F.struct("i", "bucket", "ordinal")).alias("k")).select("id", "size", "k.*")
+    own = keyed(docs)
+    parts = mixing.plan(own, id_col="row_key")
+    mine = parts["documents"].select("i", "bucket", "ordinal", F.col("id").alias("row_key"), "size")
     spans = parts["takes"].groupBy("i", "bucket", "ordinal", "epoch").agg(F.min("slot").alias("slot"), F.min("start").alias("start"), F.sum("words").alias("words"))
-    spans = spans.join(mine, ["i", "bucket", "ordinal"])
-    spans = spans.select(F.col("id").alias("m_id"), F.col("size").alias("m_size"), "i", "slot", "start", "words")
-    named = own.join(parts["sources"].select("i", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("size", mixing.n_words(F.col("text")))
-    mixed = named.join(spans.withColumnRenamed("i", "m_i"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("i") == F.col("m_i")) & (F.col("size") == F.col("m_size")))
-    whole = mixed.withColumn("whole", F.col("words") == F.col("size")).select(*COLUMNS, "slot", "start", "words", "whole")
-    ordered = whole.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id")
+    spans = written(spans.join(mine, ["i", "bucket", "ordinal"]).select("row_key", "size", "slot", "start", "words"))
+    mixed = once(own).join(few_or_shuffled(spans), "row_key").withColumn("whole", F.col("words") == F.col("size"))
+    slots = (spans.agg(F.max("slot")).first()[0] or 0) + 1
+    tasks = max(1, min(slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Slots are spread evenly over sources, and so over ranges of slots: no range needs to be sampled.
+    dealt = mixed.withColumn("task", F.floor(F.col("slot") * tasks / slots).cast("int")).repartitionById(tasks, "task")
+    ordered = dealt.sortWithinPartitions("slot", "row_key").select(*COLUMNS, "slot", "start", "words", "whole")
     cut = ordered.mapInArrow(_cut, "doc_id bigint, text string, lang string, source string, n_chars bigint, whole boolean")
     return cut.select("doc_id", "text", "lang", "source", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length("text")).cast("bigint").alias("n_chars"))
 
