@@ -10,6 +10,7 @@ from sourcelens.catalog import query
 from sourcelens.functions import text as T
 from sourcelens.operators import evidence as E
 from sourcelens.operators import keywords as K
+from sourcelens.operators import playbooks as B
 from sourcelens.operators import render as R
 from sourcelens.operators import steps as S
 from sourcelens.plans.policy_queries import KINDS
@@ -403,13 +404,40 @@ def sink_artifacts_section(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(R.append_once(F.col("text"), "## Artifacts", F.col("source"))).alias("h"))
 
 
-@query("SELECT doc_id, source || '-renamed' AS name, md5('# ' || source || '-renamed' || chr(10) || text) AS h FROM documents WHERE doc_id % 10 <> 0")
+def store(spark, sf_dir) -> DataFrame:
+    """A playbook per document; every third one's text has no heading."""
+    d = table(spark, sf_dir, "documents")
+    name = F.concat_ws(" ", F.lit("Lesson"), "source", F.col("doc_id").cast("string"))
+    head = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("# "), name, F.lit(" — lessons, "), name))
+    return d.select("doc_id", name.alias("name"), T.slugify(name).alias("slug"), F.concat(head, F.lit("\n"), "text").alias("text"))
+
+
+STORE_SQL = """WITH store AS (SELECT doc_id, 'Lesson ' || source || ' ' || CAST(doc_id AS VARCHAR) AS name, 'lesson-' || source || '-' || CAST(doc_id AS VARCHAR) AS slug, text AS body FROM documents),
+asked AS (SELECT s.*, n.name AS next, CASE s.doc_id % 7 WHEN 4 THEN 'none' ELSE s.name END AS old, trim(CASE s.doc_id % 7 WHEN 0 THEN s.name WHEN 1 THEN upper(s.name) WHEN 2 THEN coalesce(n.name, 'Topic ' || CAST(s.doc_id AS VARCHAR)) WHEN 3 THEN ' '
+  WHEN 5 THEN coalesce(n.name, 'Topic ' || CAST(s.doc_id AS VARCHAR)) ELSE 'Topic ' || CAST(s.doc_id AS VARCHAR) END) AS new FROM store s LEFT JOIN store n ON n.doc_id = s.doc_id + 1),
+told AS (SELECT *, CASE WHEN new = '' THEN 'required' WHEN old = new THEN 'identical' WHEN doc_id % 7 = 4 THEN 'not_found' WHEN lower(old) = lower(new) THEN 'same_slug' WHEN doc_id % 7 = 2 AND next IS NOT NULL THEN 'exists' ELSE 'renamed' END AS status FROM asked)
+"""
+
+
+@query(STORE_SQL + """SELECT doc_id AS request, status, CASE WHEN status = 'renamed' THEN replace(lower(new), ' ', '-') END AS slug, CASE WHEN status = 'renamed' THEN new END AS name,
+  CASE WHEN status = 'renamed' THEN md5(CASE WHEN doc_id % 3 = 0 THEN '' ELSE '# ' || new || ' — lessons, ' || name END || chr(10) || body) END AS h FROM told""")
 def sink_rename(spark, sf_dir):
-    """Deleted rows go; names, slugs and first headings follow the new name."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 <> 0")
-    name = F.concat("source", F.lit("-renamed"))
-    headed = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text"))
-    return d.select("doc_id", name.alias("name"), F.md5(F.concat(F.lit("# "), name, F.substring_index(headed, "\n", 1).substr(F.lit(0), F.lit(0)), headed.substr(F.instr(headed, "\n"), F.length(headed)))).alias("h"))
+    """A request per playbook: to its own name, to the same slug, to one that is taken, without a name, of none, over another, and to a free one."""
+    own, k, i = store(spark, sf_dir), F.col("doc_id") % 7, F.col("doc_id")
+    after = own.select((i - 1).alias("doc_id"), F.col("name").alias("next"))
+    free = F.concat(F.lit("Topic "), i.cast("string"))
+    new = F.when(k == 0, F.col("name")).when(k == 1, F.upper("name")).when(k.isin(2, 5), F.coalesce("next", free)).when(k == 3, " ").otherwise(free)
+    requests = own.join(after, "doc_id", "left").select(i.alias("request"), F.when(k == 4, "none").otherwise(F.col("name")).alias("old_name"), new.alias("new_name"), (k == 5).alias("overwrite"))
+    return B.renamed(own, requests).select("request", "status", "slug", "name", F.md5("text").alias("h"))
+
+
+@query(STORE_SQL + "SELECT doc_id, name FROM store WHERE doc_id % 10 <> 0 OR doc_id % 20 = 10")
+def sink_delete(spark, sf_dir):
+    """What stays when playbooks are deleted, some of the requests for names that no playbook has."""
+    own, i = store(spark, sf_dir), F.col("doc_id")
+    requests = own.where("doc_id % 10 = 0").select(i.alias("request"), F.concat(F.when(i % 20 == 10, "no ").otherwise(""), "name").alias("name"))
+    stays, _ = B.deleted(own, requests)
+    return stays.select("doc_id", "name")
 
 
 TYPES = ["pathlib.Path, required", "Literal['fast', 'slow']", "bool", "int count", "float", "list[str]", "dict", "str"]

@@ -207,13 +207,6 @@ def sink_session_save(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("steps")).where("steps > 0")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 10 <> 0")
-def sink_delete(spark, sf_dir):
-    """What stays when the playbooks of every tenth document are deleted."""
-    gone = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id").join(gone, "doc_id", "left_anti")
-
-
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'v' || CAST(page_id AS VARCHAR) WHEN 1 THEN 's' || CAST(page_id AS VARCHAR) END AS id FROM pages")
 def fn_youtube_id(spark, sf_dir):
     from sourcelens.functions import urls as U
