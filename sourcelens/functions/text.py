@@ -55,8 +55,7 @@ def strip_urls(x: Column) -> Column:
 
 def keyword_tokens(x: Column) -> Column:
     found = F.regexp_extract_all(strip_urls(F.lower(x)), F.lit(rules.KEYWORD_PATTERN), F.lit(0))
-    no = F.array(*[F.lit(w) for w in [*rules.STOPWORDS, *rules.URL_TOKENS]])
-    return F.filter(found, lambda t: ~F.array_contains(no, t))
+    return F.filter(found, lambda t: ~t.isin(*rules.STOPWORDS, *rules.URL_TOKENS))  # a hash set after optimisation
 
 
 def first_sentence(x: Column, n: int = 25) -> Column:

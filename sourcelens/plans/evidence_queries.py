@@ -15,7 +15,7 @@ from sourcelens.operators import render as R
 from sourcelens.operators import steps as S
 from sourcelens.plans.policy_queries import KINDS
 from sourcelens.plans.steps_queries import MARKED_SQL, SECTIONS_SQL
-from sourcelens.plans.text_queries import KEYWORDS, pick, sql_first, sql_list, sql_map, sql_words
+from sourcelens.plans.text_queries import pick, sql_first, sql_list, sql_map, sql_words
 from sourcelens.sources.tables import steps, table
 
 
@@ -253,23 +253,34 @@ def sink_registry_upsert(spark, sf_dir):
     return E.registry(e).select("slug", "seq")
 
 
-TOKENS_SQL = f"t AS (SELECT source AS playbook_id, doc_id, unnest(k) AS token, unnest(range(len(k))) AS pos FROM (SELECT source, doc_id, {KEYWORDS} AS k FROM documents))"
-COUNTED_SQL = f"""WITH {TOKENS_SQL}, n AS (SELECT *, lead(token) OVER (PARTITION BY playbook_id ORDER BY doc_id, pos) AS next FROM t),
-counted AS (SELECT playbook_id, phrase, words, count(*) AS n, min(struct_pack(a := doc_id, b := pos)) AS first FROM (
-  SELECT playbook_id, token AS phrase, 1 AS words, doc_id, pos FROM n UNION ALL SELECT playbook_id, token || ' ' || next, 2, doc_id, pos FROM n WHERE next IS NOT NULL) GROUP BY ALL)"""
+KW_SQL = f"""WITH s AS (SELECT source AS playbook_id, doc_id, ascii(right(source, 1)) % 2 = 0 AS video, trim(CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN text ELSE source || ' — Guide to ' || lang || ' / http://x.org/' || lang || ' / ' || text END) AS text FROM documents),
+told AS (SELECT playbook_id, doc_id, video, CASE WHEN NOT video THEN string_split(trim(string_split(text, ' — ')[2]), ' / ')[1] END AS h, regexp_replace(CASE WHEN video THEN text ELSE array_to_string(string_split(text, ' / ')[3:], ' / ') END, '{rules.URL_PATTERN}', ' ', 'g') AS body FROM s WHERE text <> ''),
+parts AS (SELECT playbook_id, 0 AS pass, doc_id, h AS text FROM told UNION ALL SELECT playbook_id, 1, doc_id, h FROM told UNION ALL SELECT playbook_id, 2, doc_id, body FROM told),
+tokens AS (SELECT playbook_id, pass, doc_id, list_filter(regexp_extract_all(regexp_replace(lower(CASE WHEN pass < 2 THEN text ELSE array_to_string({sql_words("string_split(text, '.')[1]")}[1:25], ' ') END), '{rules.URL_PATTERN}', ' ', 'g'), '{rules.KEYWORD_PATTERN}'),
+  lambda t: NOT list_contains({sql_list([*rules.STOPWORDS, *rules.URL_TOKENS])}, t)) AS t FROM parts WHERE text <> ''),
+t AS (SELECT playbook_id, pass, doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM tokens),
+n AS (SELECT *, lead(token) OVER (PARTITION BY playbook_id ORDER BY pass, doc_id, pos) AS next FROM t),
+counted AS (SELECT playbook_id, phrase, words, count(*) AS n, min(struct_pack(p := pass, a := doc_id, b := pos)) AS first FROM (
+  SELECT playbook_id, token AS phrase, 1 AS words, pass, doc_id, pos FROM n UNION ALL SELECT playbook_id, token || ' ' || next, 2, pass, doc_id, pos FROM n WHERE next IS NOT NULL) GROUP BY ALL)"""
+
+
+def keyword_sections(spark, sf_dir) -> DataFrame:
+    """Documents as sections of their source: of videos, or of pages with a heading and an address before the text."""
+    video = F.ascii(F.right("source", F.lit(1))) % 2 == 0
+    headed = F.concat("source", F.lit(" — Guide to "), "lang", F.lit(" / http://x.org/"), "lang", F.lit(" / "), "text")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("playbook_id"), F.col("doc_id").alias("ordinal"), F.when(video, F.col("text")).otherwise(headed).alias("text"), F.when(video, "youtube_video").otherwise("web_page").alias("source_kind"))
 
 
 def token_counts(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("playbook_id"), F.col("doc_id").alias("ordinal"), "text")
-    return K.counts(K.token_stream(d))
+    return K.counts(K.section_parts(keyword_sections(spark, sf_dir)))
 
 
-@query(COUNTED_SQL + " SELECT playbook_id, words, count(*) AS phrases, CAST(sum(n) AS BIGINT) AS total FROM counted GROUP BY ALL")
+@query(KW_SQL + " SELECT playbook_id, words, count(*) AS phrases, CAST(sum(n) AS BIGINT) AS total FROM counted GROUP BY ALL")
 def agg_keyword_counts(spark, sf_dir):
     return token_counts(spark, sf_dir).groupBy("playbook_id", F.col("words").cast("int").alias("words")).agg(F.count("*").alias("phrases"), F.sum("n").alias("total"))
 
 
-@query(COUNTED_SQL + " SELECT playbook_id, phrase, n FROM counted WHERE words = 1 OR n >= 2 QUALIFY row_number() OVER (PARTITION BY playbook_id, words ORDER BY n DESC, first) <= 20")
+@query(KW_SQL + " SELECT playbook_id, phrase, n FROM counted WHERE words = 1 OR n >= 2 QUALIFY row_number() OVER (PARTITION BY playbook_id, words ORDER BY n DESC, first) <= 20")
 def topk_keywords(spark, sf_dir):
     return K.candidates(token_counts(spark, sf_dir)).select("playbook_id", "phrase", "n")
 
@@ -277,8 +288,7 @@ def topk_keywords(spark, sf_dir):
 @query()
 def op_keywords(spark, sf_dir):
     """The accepted phrases; the greedy choice is tested against a plain restatement."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("playbook_id"), F.col("doc_id").alias("ordinal"), "text")
-    return K.keywords(d).select("playbook_id", F.array_join("keywords", ", ").alias("keywords"))
+    return K.keywords(keyword_sections(spark, sf_dir)).select("playbook_id", F.array_join("keywords", ", ").alias("keywords"))
 
 
 TARGETS = ["claude", "Codex", "cursor", "windsurf", "md", "nowhere"]

@@ -40,8 +40,14 @@ def test_escaping_paths_are_refused(spark):
 
 def test_keywords(spark):
     assert K.accept(["data data", "power bi", "bi desktop", "query", "power"]) == ["power bi", "query"]
-    t = spark.createDataFrame([("p", 1, "Power query and power query with refresh https://x.com/en-us"), ("p", 2, "refresh gateway")], "playbook_id string, ordinal int, text string")
-    assert K.keywords(t).first()["keywords"][:2] == ["power query", "refresh"]
+    texts = [(1, "Power query and power query with refresh https://x.com/en-us"), (2, "refresh gateway")]
+    sections = lambda kind, rows: spark.createDataFrame([("p", n, t, kind) for n, t in rows], "playbook_id string, ordinal int, text string, source_kind string")
+    assert K.keywords(sections("youtube_video", texts)).first()["keywords"][:2] == ["power query", "refresh"]
+    pages = [(n, f"Docs — Heading alpha{n} / https://x.com/{n} / {body}") for n, body in ((1, "gateway beta beta. Rest"), (5000, "gateway beta"), (9000, "delta"))]
+    got = {r["phrase"]: r["n"] for r in K.counts(K.section_parts(sections("web_page", pages))).collect()}
+    stream = 2 * ["heading", "alpha1", "heading", "alpha5000", "heading", "alpha9000"] + ["gateway", "beta", "beta", "gateway", "beta", "delta"]
+    want = {w: stream.count(w) for w in stream} | {f"{a} {b}": sum((a, b) == p for p in zip(stream, stream[1:])) for a, b in zip(stream, stream[1:])}
+    assert got == want
 
 
 def test_reports_and_exports(spark):
