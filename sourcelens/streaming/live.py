@@ -41,12 +41,21 @@ class StepFold:
         self.end, self.waiting = t, ""
         return row
 
+    def due(self) -> float | None:
+        """When the texts that wait make a quiet step, if no frame does before."""
+        if self.last is None or self.quiet <= 0 or not self.waiting.strip():
+            return None
+        return (self.end if self.end is not None else self.begin) + self.quiet
+
+    def tick(self, t: float, since: float = float("-inf")) -> list[tuple]:
+        """The quiet step that is due by t; texts that came later, at since, make it then."""
+        due = self.due()
+        return [] if due is None or due > t else [self._emit("quiet_period", max(due, since), 0.0)]
+
     def feed(self, kind: str, t: float, value: float | None, text: str | None) -> list[tuple]:
-        """Steps that a row completes."""
-        out = []
+        """Steps that a row completes, and the quiet step that was due before it."""
         self.begin = t if self.begin is None else self.begin
-        if self.last is not None and self.quiet > 0 and self.waiting.strip() and t - (self.end if self.end is not None else self.begin) >= self.quiet and kind != "frame":
-            out.append(self._emit("quiet_period", t, 0.0))
+        out = self.tick(t)
         if kind == "frame":
             diff = None if self.last is None else abs(value - self.last)
             if diff is None or diff >= self.threshold:
@@ -55,40 +64,60 @@ class StepFold:
                     out.append(self._emit("keyframe", t, diff))
         elif kind in ("transcript", "caption") and text:
             self.waiting += ("\n" if self.waiting else "") + text
+            out += self.tick(t, t)
         return out
 
 
 class StepProcessor(StatefulProcessor):
-    """Steps from a session's rows; state is a few values, whatever a session's length."""
+    """Steps from a session's rows; state is a few values, whatever a session's length.
+
+    A timer runs while texts wait, so a quiet step comes when it is due, whether or not another row does.
+    """
+
+    def __init__(self, quiet: float = QUIET):
+        self.quiet = quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.fold = handle.getValueState("fold", StructType([StructField("last", DoubleType()), StructField("end", DoubleType()), StructField("n", LongType()), StructField("begin", DoubleType()), StructField("waiting", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fold = StepFold()
+        fold = StepFold(quiet=self.quiet)
         if self.fold.exists():
             fold.restore(self.fold.get())
         every = pd.concat(list(rows)).sort_values(["t", "seq", "kind"], kind="stable")
         out = [(key[0], *step) for r in every.itertuples() for step in fold.feed(r.kind, r.t, r.value, r.text)]
         self.fold.update(fold.state())
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if (due := fold.due()) is not None:
+            ahead = max(0.0, due - float(every["t"].max()))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * ahead) + 1)
+        yield pd.DataFrame(out, columns=STEPS.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fold = StepFold(quiet=self.quiet).restore(self.fold.get())
+        out = [(key[0], *step) for step in fold.tick(float("inf"))]
+        self.fold.update(fold.state())
         yield pd.DataFrame(out, columns=STEPS.names)
 
     def close(self) -> None:
         pass
 
 
-def live_steps(rows: DataFrame) -> DataFrame:
-    """A streaming frame of INPUT rows -> steps, by keyed state."""
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=StepProcessor(), outputStructType=STEPS, outputMode="Append", timeMode="None")
+def live_steps(rows: DataFrame, quiet: float = QUIET) -> DataFrame:
+    """A streaming frame of INPUT rows -> steps, by keyed state and timers."""
+    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=StepProcessor(quiet), outputStructType=STEPS, outputMode="Append", timeMode="ProcessingTime")
 
 
 def replay(rows: DataFrame) -> DataFrame:
-    """The same steps from a finished table."""
+    """The same steps from a finished table; a quiet step that is due after the last row comes too."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fold = StepFold()
         pdf = pdf.sort_values(["t", "seq", "kind"], kind="stable")
         out = [(int(pdf.session_id.iloc[0]), *step) for r in pdf.itertuples() for step in fold.feed(r.kind, r.t, r.value, r.text)]
+        out += [(int(pdf.session_id.iloc[0]), *step) for step in fold.tick(float("inf"))]
         return pd.DataFrame(out, columns=STEPS.names)
 
     return rows.groupBy("session_id").applyInPandas(run, STEPS)

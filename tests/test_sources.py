@@ -80,3 +80,28 @@ def test_stream_equals_replay(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(tuple(r)[:4] + (r["text"],) for r in spark.sql("select * from live").collect()) == want
+
+
+def test_quiet_steps_are_due_without_another_row(spark, tmp_path):
+    import time
+
+    from sourcelens.streaming import live as L
+
+    at = lambda *rows: [(1, k, n, float(t), v, x, "en") for n, (k, t, v, x) in enumerate(rows)]
+    steps = lambda rows: [tuple(r)[1:] for r in L.replay(spark.createDataFrame(rows, L.INPUT)).orderBy("ordinal").collect()]
+    first, said = ("frame", 0, 5.0, None), ("caption", 1, None, "a")
+    assert steps(at(first, said, ("frame", 20, 90.0, None))) == [(1, "keyframe", 0.0, 0.0, None, ""), (2, "quiet_period", 0.0, 8.0, 0.0, "a"), (3, "keyframe", 8.0, 20.0, 85.0, "")]
+    assert steps(at(first, said)) == [(1, "keyframe", 0.0, 0.0, None, ""), (2, "quiet_period", 0.0, 8.0, 0.0, "a")]
+    assert steps(at(first, ("caption", 12, None, "late")))[1] == (2, "quiet_period", 0.0, 12.0, 0.0, "late")
+    spark.createDataFrame(at(first, said), L.INPUT).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = L.live_steps(spark.readStream.schema(L.INPUT).parquet(str(tmp_path / "in")), quiet=2.0)
+    q = out.writeStream.format("memory").queryName("quiet").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if spark.sql("select * from quiet").count() >= 2:
+                break
+        assert [tuple(r)[1:] for r in spark.sql("select * from quiet order by ordinal").collect()] == [(1, "keyframe", 0.0, 0.0, None, ""), (2, "quiet_period", 0.0, 2.0, 0.0, "a")]
+    finally:
+        q.stop()
