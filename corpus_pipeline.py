@@ -36,7 +36,8 @@ def once(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return docs
     again = few_or_shuffled(again)
-    return docs.join(again, "row_key", "left_anti").union(docs.join(again, "row_key", "left_semi").select(*docs.columns).dropDuplicates(["row_key"]).select(*docs.columns))
+    alone = docs.join(again, "row_key", "left_anti").select(*docs.columns)
+    return alone.union(docs.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
