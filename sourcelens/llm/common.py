@@ -27,9 +27,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; own folder where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, an own one of a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark.sparkContext, "_own_scratch", None) or f"file://{tempfile.mkdtemp(prefix='scratch')}"
         spark.sparkContext._own_scratch = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -522,3 +522,27 @@ def test_pipeline(spark, small):
             sets = sets_of(kept.collect())
             assert len(set(groups_of(sets).values())) == len(sets)
     assert corpus_pipeline.STAGES[-1][1](spark, kept, small).count() > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, small, odd, none):
+    """Null identifiers and texts, repeated identifiers and rows, columns with clashing names, and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    c = text(90, 80, 10**6)
+    more = docs(spark, [(None, c, "en", "s1"), (None, c + " end", "en", "s1"), (4, text(91, 70, 10**6), None, "s2"), (4, text(91, 70, 10**6), None, "s2"), (4, text(92, 40, 10**6), "en", None)])
+    d = odd.unionByName(more)
+    rows = [tuple(r) for r in d.select(*corpus_pipeline.COLUMNS).collect()]
+    got = {name: [tuple(r) for r in stages[name](spark, d, small).collect()] for name in list(stages)[:-1]}
+    assert set(got["quality"]) <= set(rows) and all(got["quality"].count(r) == rows.count(r) for r in got["quality"])
+    kept = got["exact"]
+    assert len(kept) == len({(r[1] or "").translate(LOW) for r in rows}) and set(kept) <= set(rows)
+    for r in kept:
+        assert r[0] == max((x[0] for x in rows if (x[1] or "").translate(LOW) == (r[1] or "").translate(LOW) and x[0] is not None), default=None)
+    near = got["near"]
+    assert sum(r[0] is None and r[1] is not None and r[1].startswith(c) for r in near) == 1 and {r for r in near if r[0] == 4} == {r for r in rows if r[0] == 4 and not r[1].endswith(" extra")}
+    assert {r[0] for r in near} >= {5, 6, 7, 8, 9, 11, 12, 13, 14, 15} and not {2, 3, 10, 16} & {r[0] for r in near}
+    whole = {r for r in got["mix"] if r in rows}
+    assert whole and all(len(words(r[1])) <= max(len(words(x[1])) for x in rows if x[0] == r[0]) for r in got["mix"])
+    assert stages["pack"](spark, d, small).where("doc_id is null").count() > 0
+    for name in stages:
+        assert stages[name](spark, none, small).count() == 0, name
