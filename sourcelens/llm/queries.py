@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, quality, substring_dedup, token_count
+from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, quality, substring_dedup, token_count, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,7 +58,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op7_token_counts, op9_near_passages, op8_pack_windows, op10_exact_dedup)}
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op7_token_counts, op9_near_passages, op8_pack_windows, op10_exact_dedup, op12_jacobi_whitening)}
 
 ORACLE_SQL = {
     "op6_mix_sources": rf"""
