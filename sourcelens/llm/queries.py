@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, quality, substring_dedup, token_count, whitening
+from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, periodic, quality, substring_dedup, token_count, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,11 +59,41 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def made_periodic(ident: Column, text: Column) -> Column:
+    """The text, for a tenth of identifiers with a tail that repeats; a null identifier keeps its text."""
+    h = F.crc32(ident.cast("string"))
+    g = F.floor(h / 10)
+
+    def turned(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.sequence(F.lit(0).cast("bigint"), n - 1)
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(at, lambda i: F.get(words, place(i).cast("int"))), " ")
+
+    # The array around the words makes them a lambda's variable, so they are found once.
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.get(F.transform(words, turned), F.lit(0))).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs)
+    higher = lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), higher))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op7_token_counts, op9_near_passages, op8_pack_windows, op10_exact_dedup, op12_jacobi_whitening)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op7_token_counts, op9_near_passages, op8_pack_windows, op10_exact_dedup, op11_periodic_runs, op12_jacobi_whitening)}
 
 ORACLE_SQL = {
     "op6_mix_sources": rf"""
