@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, periodic, quality, substring_dedup, token_count, whitening
+from . import cap_filters, exact_dedup, katz, langid, mixing, ngram_join, packing, periodic, quality, substring_dedup, suffix_cover, token_count, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,7 +93,15 @@ def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op7_token_counts, op9_near_passages, op8_pack_windows, op10_exact_dedup, op11_periodic_runs, op12_jacobi_whitening)}
+def op13_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_cover.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_katz_backoff, op3_language_id, op4_quality_pu, op5_cap_filters, op6_mix_sources, op7_token_counts, op9_near_passages, op8_pack_windows, op10_exact_dedup, op11_periodic_runs, op12_jacobi_whitening, op13_suffix_cover)}
 
 ORACLE_SQL = {
     "op6_mix_sources": rf"""
