@@ -71,13 +71,11 @@ def rules_actions(spark, sf_dir):
 pairs AS (SELECT a.vec_id, list_filter(range(64), lambda i: abs(a.e[CAST(i + 1 AS INT)] - b.e[CAST(i + 1 AS INT)]) > 0.2) AS ch FROM v a JOIN v b ON b.vec_id = a.vec_id - 1)
 SELECT vec_id, CAST(list_min(list_transform(ch, lambda i: i % 8)) AS INT) AS l, CAST(list_min(list_transform(ch, lambda i: i // 8)) AS INT) AS t, CAST(list_max(list_transform(ch, lambda i: i % 8)) + 1 AS INT) AS r, CAST(list_max(list_transform(ch, lambda i: i // 8)) + 1 AS INT) AS b FROM pairs WHERE len(ch) > 0""")
 def fn_visual_action(spark, sf_dir):
-    """The box of changed cells of neighbouring vectors taken as frames of 8 by 8."""
-    """Some vectors are shortened or emptied, as frames of another size are."""
-    k, v = F.col("vec_id") % 13, F.col("embedding")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(k == 5, F.slice(v, 1, 8)).when(k == 9, F.slice(v, 1, 0)).otherwise(v).alias("embedding"))
+    """The box of changed cells of neighbouring vectors taken as frames of 8 by 8; frames of another size have no box."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b"))
     changed = F.zip_with("embedding", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double")) > 0.2)
-    box = e.join(before, "vec_id").select("vec_id", M.bbox(changed, 8).alias("x")).where("x is not null")
+    box = e.join(before, "vec_id").select("vec_id", F.when(F.size("embedding") == F.size("b"), M.bbox(changed, 8)).alias("x")).where("x is not null")
     return box.select("vec_id", F.col("x.left").alias("l"), F.col("x.top").alias("t"), F.col("x.right").alias("r"), F.col("x.bottom").alias("b"))
 
 
