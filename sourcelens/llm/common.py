@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """Queries that run inside delete their shuffle files when they end; what they gave must be written by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "true")
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under the given names; further columns, clashing or not, stay out."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])

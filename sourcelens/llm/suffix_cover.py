@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, columns, mix, release, scratch, written
+from .common import blocks, columns, freed, mix, scratch, written
 
 LENGTH = 400
 #: Perfect difference sets: each difference modulo v, but 0, is that of exactly one pair. Fixed values.
@@ -380,11 +380,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     v = Chunk(np.zeros(0, np.uint8), np.zeros(1, np.int64), length).v
     bits = max(5, int(total * 16 * len(COVERS[v]) // v // BUCKET).bit_length())
     ranks = chunks.select("chunk", "texts").mapInArrow(sampled(length, bits), KEYS).repartitionById(1 << bits, "bucket")
-    ranks = written(ranks.mapInArrow(ranked, KEYS))
-    release(spark)
+    with freed(spark):
+        ranks = written(ranks.mapInArrow(ranked, KEYS))
     more = max(6, int(total * 3 // BUCKET).bit_length())  # a quarter of all suffixes would fill the buckets
     texts = chunks.select("chunk", "texts").groupBy("chunk")
     states = texts.cogroup(ranks.groupBy("chunk")).applyInArrow(settled(length, more, 1 << more), KEYS)
-    states = written(states.repartitionById(1 << more, "bucket").mapInArrow(sorted_buckets, KEYS))
-    release(spark)
+    with freed(spark):
+        states = written(states.repartitionById(1 << more, "bucket").mapInArrow(sorted_buckets, KEYS))
     return chunks.select("chunk", "ids", "texts").groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(removed(length), RESULT)
