@@ -21,8 +21,8 @@ ORACLE_SQL = None
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The columns of documents and row_key, a hash of them all."""
-    return docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*COLUMNS))
+    """The columns of documents and row_key, a hash of them all. Spark's hash passes over nulls, so where they stand goes in too."""
+    return docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
 
 
 def few_or_shuffled(df: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def once(docs: DataFrame) -> DataFrame:
         return docs
     again = few_or_shuffled(again)
     alone = docs.join(again, "row_key", "left_anti").select(*docs.columns)
-    return alone.union(docs.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns))
+    return alone.union(docs.join(again, "row_key", "left_semi").dropDuplicates(["row_key", *COLUMNS]).select(*docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

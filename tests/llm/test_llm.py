@@ -546,3 +546,16 @@ def test_pipeline_stages_on_odd_rows(spark, small, odd, none):
     assert stages["pack"](spark, d, small).where("doc_id is null").count() > 0
     for name in stages:
         assert stages[name](spark, none, small).count() == 0, name
+
+
+def test_pipeline_tells_rows_apart_by_where_a_null_stands(spark, small):
+    import corpus_pipeline as C
+
+    t = text(71, 40)
+    rows = [(1, t, "en", None, 5), (1, t, None, "en", 5), (1, t, "en", None, None), (1, t, None, "en", None), (None, t, "en", "en", 1), (1, None, t, "en", 1), (1, t, None, "en", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert C.keyed(odd).select("row_key").distinct().count() == len(rows)
+    mixed = C.mix_sources(spark, odd, small)
+    taken = {(r.lang, r.source) for r in mixed.collect()}
+    assert {("en", None), (None, "en")} <= taken
+    assert C.once(C.keyed(odd.union(odd))).count() == len(rows)
