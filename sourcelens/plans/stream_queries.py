@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sourcelens.catalog import query
 from sourcelens.plans.steps_queries import FOLD_SQL, FRAMES_SQL
 from sourcelens.sources.tables import table
+from sourcelens.sources.scratch import shared_folder
 from sourcelens.streaming import live as L
+from sourcelens.streaming import session as V
 
 
 def rows(spark, sf_dir) -> DataFrame:
@@ -45,22 +47,66 @@ def st_frame_sample(spark, sf_dir):
     return L.sampled(rows(spark, sf_dir), 1.0 / 3600).select("session_id", "seq")
 
 
+def streamed(spark, parts: list[DataFrame], run) -> None:
+    """Runs a stream over parts that arrive one after another, started anew for each. run(stream input, trigger) starts it."""
+    folder = shared_folder(spark)
+    with V.stateful(spark):
+        for part in parts:
+            part.write.mode("append").parquet(f"{folder}/in")
+            run(spark.readStream.schema(part.schema).option("maxBytesPerTrigger", 1 << 30).parquet(f"{folder}/in")).awaitTermination()
+
+
+def frame_rows(spark, sf_dir) -> list[DataFrame]:
+    """All events as frames, in two parts: up to the thousandth, and the rest."""
+    every = rows(spark, sf_dir).withColumns({"kind": F.lit("frame"), "text": F.lit(None).cast("string")}).select(*L.INPUT.names)
+    return [every.where("seq <= 1000"), every.where("seq > 1000")]
+
+
+def watched(spark, sf_dir, read=None, **limits) -> V.SessionStore:
+    """A store into which both parts are streamed; read(store) is called between them."""
+    store, (first, rest) = V.SessionStore(spark, shared_folder(spark)), frame_rows(spark, sf_dir)
+    run = lambda source: store.start(V.records(source, **limits), availableNow=True)
+
+    def parts():
+        yield first
+        if read:
+            read(store)
+        yield rest
+
+    streamed(spark, parts(), run)
+    return store
+
+
 @query(f"WITH {FRAMES_SQL} SELECT session_id, seq FROM frames WHERE seq > 1000 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 60")
 def st_poll(spark, sf_dir):
-    return L.poll(rows(spark, sf_dir), 1000, 60).select("session_id", "seq")
+    """The second poll of a reader: the stream stops after the thousandth event, is polled, goes on and is polled again."""
+    store = watched(spark, sf_dir, lambda s: s.poll("reader", 60), quiet=0.0)
+    return store.poll("reader", 60).where("stream = 'frame'").select("session_id", "seq")
 
 
 @query(FOLD_SQL + "SELECT session_id, seq FROM fold WHERE step AND seq > 1000 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 12")
 def st_follow(spark, sf_dir):
-    from sourcelens.operators import steps as S
-    from sourcelens.plans.steps_queries import frames
-
-    return L.poll(S.keyframes(frames(spark, sf_dir), 12.0, 3600.0).where("step").select("session_id", "seq"), 1000, 12)
+    """Steps behind a follower's cursor, of a stream that was started twice."""
+    store = watched(spark, sf_dir, lambda s: s.follow("reader", 12), quiet=0.0, threshold=12.0, min_step=3600.0)
+    return store.follow("reader", 12).select("session_id", "seq")
 
 
 @query(f"WITH {FRAMES_SQL} SELECT session_id, seq FROM frames QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 60")
 def st_ring_buffer(spark, sf_dir):
-    return L.poll(rows(spark, sf_dir), -1, L.RING).select("session_id", "seq")
+    """What the frames' rings hold after a stream that was started twice."""
+    return watched(spark, sf_dir, quiet=0.0).ring().where("stream = 'frame'").select("session_id", "seq")
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, role, turn * 3.7::DOUBLE AS start, text FROM conversations WHERE turn % 4 <> 3 AND text <> '')
+SELECT conv_id AS session_id, role AS lang, start, text, CASE WHEN start <= 4 THEN 4.0::DOUBLE ELSE 15.0::DOUBLE END AS age_s FROM c WHERE start <= 15""")
+def st_held_cues(spark, sf_dir):
+    """Cues of a track that is polled whole at the ages of 4 and 15 seconds, each once, when playback has reached it."""
+    folder = shared_folder(spark)
+    at = lambda age: cues(spark, sf_dir).select("session_id", F.lit(False).alias("live"), F.lit(100.0).alias("started_at"), F.lit(100.0 + age).alias("t"), "lang", "start", "end", "text")
+    sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    run = lambda source: V.given_cues(source, timers=False).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    streamed(spark, [at(4.0), at(15.0)], run)
+    return spark.read.schema(V.GIVEN).parquet(f"{folder}/out").select("session_id", "lang", "start", "text", "age_s")
 
 
 @query("SELECT user_id AS session_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'caption' ELSE 'frame' END AS kind, count(*) AS n, max(event_id) AS last_seq FROM events GROUP BY ALL")

@@ -53,8 +53,12 @@ class StepFold:
         return [] if due is None or due > t else [self._emit("quiet_period", max(due, since), 0.0)]
 
     def feed(self, kind: str, t: float, value: float | None, text: str | None) -> list[tuple]:
-        """Steps that a row completes, and the quiet step that was due before it."""
+        """Steps that a row completes, and the quiet step that was due before it.
+
+        A row that comes after a timer has ended a step later than the row's own time counts at that step's end.
+        """
         self.begin = t if self.begin is None else self.begin
+        t = t if self.end is None else max(t, self.end)
         out = self.tick(t)
         if kind == "frame":
             diff = None if self.last is None else abs(value - self.last)
@@ -68,35 +72,47 @@ class StepFold:
         return out
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A micro-batch's rows of one session by time."""
+    return pd.concat(list(rows)).sort_values(["t", "seq", "kind"], kind="stable")
+
+
 class StepProcessor(StatefulProcessor):
     """Steps from a session's rows; state is a few values, whatever a session's length.
 
     A timer runs while texts wait, so a quiet step comes when it is due, whether or not another row does.
     """
 
-    def __init__(self, quiet: float = QUIET):
-        self.quiet = quiet
+    def __init__(self, quiet: float = QUIET, threshold: float = THRESHOLD, min_step: float = MIN_STEP):
+        self.limits = {"quiet": quiet, "threshold": threshold, "min_step": min_step}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.fold = handle.getValueState("fold", StructType([StructField("last", DoubleType()), StructField("end", DoubleType()), StructField("n", LongType()), StructField("begin", DoubleType()), StructField("waiting", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fold = StepFold(quiet=self.quiet)
-        if self.fold.exists():
-            fold.restore(self.fold.get())
-        every = pd.concat(list(rows)).sort_values(["t", "seq", "kind"], kind="stable")
+        fold, every = self.begun(), in_order(rows)
         out = [(key[0], *step) for r in every.itertuples() for step in fold.feed(r.kind, r.t, r.value, r.text)]
+        self.ended(fold, float(every["t"].max()), timerValues)
+        yield pd.DataFrame(out, columns=STEPS.names)
+
+    def begun(self) -> StepFold:
+        """The session's fold as its last rows left it."""
+        fold = StepFold(**self.limits)
+        return fold.restore(self.fold.get()) if self.fold.exists() else fold
+
+    def ended(self, fold: StepFold, latest: float, timerValues) -> None:
+        """Keeps the fold, and sets the timer of the quiet step that is due after the latest row."""
         self.fold.update(fold.state())
+        if self.limits["quiet"] <= 0:
+            return
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if (due := fold.due()) is not None:
-            ahead = max(0.0, due - float(every["t"].max()))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * ahead) + 1)
-        yield pd.DataFrame(out, columns=STEPS.names)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * max(0.0, due - latest)) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fold = StepFold(quiet=self.quiet).restore(self.fold.get())
+        fold = self.begun()
         out = [(key[0], *step) for step in fold.tick(float("inf"))]
         self.fold.update(fold.state())
         yield pd.DataFrame(out, columns=STEPS.names)
