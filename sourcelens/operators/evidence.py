@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sourcelens import rules
+from sourcelens.functions import canonical
 from sourcelens.functions import text as T
+from sourcelens.operators.runs import Fold, fold_runs
 
 VIDEO = ("youtube_video", "local_video")
 
@@ -116,23 +120,58 @@ def certification(context: DataFrame, results: DataFrame, strict: bool = False)
 
 
 def signature(certified: DataFrame) -> DataFrame:
-    """A hash over a certification's canonical string."""
-    dims = F.concat_ws(",", *[F.format_string(f"{k}=%.3f", F.col("dimensions")[k]) for k in sorted(rules.WEIGHTS)])
-    return certified.withColumn("signature", F.sha2(F.concat_ws("|", F.col("playbook_id").cast("string"), "status", F.format_string("%.3f", "confidence"), dims, F.array_join("critical_failures", ",")), 256))
+    """A hash over the canonical JSON of a certification, that is of all of the row but a signature."""
+    names = [c for c in certified.columns if c != "signature"]
+    return certified.select(*names, F.sha2(canonical.of(certified, *names), 256).alias("signature"))
 
 
-def ledger(events: DataFrame, previous: str = "") -> DataFrame:
-    """events(chain, seq, payload) -> with prev_hash and event_hash, each chain folded in order; chains are independent."""
-    g = events.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("e"))
-    kind = "array<struct<seq:bigint,payload:string,prev_hash:string,event_hash:string>>"
+def artifact_hashes(artifacts: DataFrame, key: str, **columns: str) -> DataFrame:
+    """For each row its key and the hash of each artifact's canonical JSON (text as it is), null where there is none.
 
-    def link(acc: Column, x: Column) -> Column:
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["event_hash"], F.lit(previous))
-        entry = F.struct(x["seq"].cast("bigint").alias("seq"), x["payload"].alias("payload"), before.alias("prev_hash"), F.sha2(F.concat_ws("|", before, x["seq"].cast("string"), x["payload"]), 256).alias("event_hash"))
-        return F.array_append(acc, entry)
+    columns: name of the hash = column of the artifact.
+    """
+    def hashed(name: str) -> Column:
+        kind = artifacts.schema[name].dataType
+        body = F.col(name) if isinstance(kind, StringType) else canonical.json(F.col(name), kind)
+        return F.when(F.col(name).isNotNull(), F.sha2(body, 256))
+
+    return artifacts.select(key, *[hashed(c).alias(name) for name, c in columns.items()])
+
+
+LINKS = StructType([StructField("seq", LongType()), StructField("payload", StringType()), StructField("prev_hash", StringType()), StructField("event_hash", StringType())])
+
+
+class ChainFold(Fold):
+    """The hash of the entry before, which the next one's hash takes in."""
 
-    folded = g.select("chain", F.explode(F.aggregate("e", F.from_json(F.lit("[]"), kind), link)).alias("l"))
-    return folded.select("chain", "l.*")
+    def __init__(self, previous: str):
+        self.previous, self.begun = previous, False
+
+    def feed(self, seq, payload, head) -> list[tuple]:
+        before = self.previous if self.begun or head is None else head
+        parts = [before, *(str(x) for x in (seq, payload) if x is not None)]
+        self.begun, self.previous = True, hashlib.sha256("|".join(parts).encode()).hexdigest()
+        return [(seq, payload, before, self.previous)]
+
+
+def ledger(events: DataFrame, previous: str = "", heads: DataFrame | None = None) -> DataFrame:
+    """events(chain, seq, payload) -> with prev_hash and event_hash, each chain folded in order; chains are independent.
+
+    heads(chain, event_hash) are the last hashes of chains that are stored already, so that an append goes on there;
+    other chains begin at previous. Only the last hash of a chain is in memory.
+    """
+    own = events.select("chain", F.col("seq").cast("bigint").alias("seq"), F.col("payload").cast("string").alias("payload"))
+    if heads is not None:
+        h = heads.select(F.col("chain").alias("_chain"), F.col("event_hash").alias("head"))
+        own = own.join(h, F.col("chain").eqNullSafe(F.col("_chain")), "left").drop("_chain")
+    else:
+        own = own.withColumn("head", F.lit(None).cast("string"))
+    return fold_runs(own, "chain", ["seq", "payload"], ["seq", "payload", "head"], lambda: ChainFold(previous), LINKS)
+
+
+def ledger_heads(entries: DataFrame) -> DataFrame:
+    """The last hash of each stored chain."""
+    return entries.groupBy("chain").agg(F.max_by("event_hash", "seq").alias("event_hash"))
 
 
 def verify_ledger(entries: DataFrame, previous: str = "") -> DataFrame:

@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from sourcelens.functions import text as T
+from sourcelens.operators.runs import Fold, fold_runs
 
 #: A hard cut's difference, a keyframe's, the longest overlap and the shortest, in words.
 SECTION_DIFF, KEYFRAME_DIFF = 60.0, 12.0
@@ -81,28 +82,34 @@ def distill(steps: DataFrame, threshold: float = SECTION_DIFF) -> DataFrame:
     return sections(steps, threshold)
 
 
+KEYFRAMES = StructType([StructField("t", DoubleType()), StructField("seq", LongType()), StructField("value", DoubleType()), StructField("diff", DoubleType()), StructField("step", BooleanType())])
+
+
+class KeyframeFold(Fold):
+    """The last keyframe's value and the last emitted step's time; a frame without a value has no difference."""
+
+    def __init__(self, threshold: float, min_gap: float):
+        self.threshold, self.min_gap, self.last, self.emitted = threshold, min_gap, None, None
+
+    def feed(self, t, seq, value) -> list[tuple]:
+        diff = None if value is None or self.last is None else abs(value - self.last)
+        if self.last is not None and (diff is None or diff < self.threshold):
+            return []
+        step = self.emitted is None or (t is not None and t - self.emitted >= self.min_gap)
+        self.last = value
+        if step:
+            self.emitted = t
+        return [(t, seq, value, diff, step)]
+
+
 def keyframes(frames: DataFrame, threshold: float = KEYFRAME_DIFF, min_gap: float = 0.0) -> DataFrame:
     """frames(session_id, seq, t, value) -> frames that are keyframes, with diff and whether a step is emitted.
 
     The reference value advances at every keyframe, the throttle's clock at every emitted step. A session's frames are
-    folded in one row's array; for sessions beyond memory use the streaming operator, which folds with keyed state.
+    folded in order with these two numbers as state, whatever their number.
     """
-    f = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "value"))).alias("f"))
-    kind = "struct<last:double, emitted:double, out:array<struct<t:double,seq:bigint,value:double,diff:double,step:boolean>>>"
-    zero = F.from_json(F.lit('{"out":[]}'), kind)
-
-    def step(state: Column, x: Column) -> Column:
-        diff = F.abs(x["value"] - state["last"])
-        key = state["last"].isNull() | (diff >= threshold)
-        emit = key & (state["emitted"].isNull() | (x["t"] - state["emitted"] >= min_gap))
-        row = F.struct(x["t"].cast("double").alias("t"), x["seq"].cast("bigint").alias("seq"), x["value"].cast("double").alias("value"), diff.alias("diff"), emit.alias("step"))
-        return F.struct(
-            F.when(key, x["value"]).otherwise(state["last"]).cast("double").alias("last"), F.when(emit, x["t"]).otherwise(state["emitted"]).cast("double").alias("emitted"),
-            F.when(key, F.array_append(state["out"], row)).otherwise(state["out"]).alias("out"),
-        )
-
-    folded = f.select("session_id", F.explode(F.aggregate("f", zero, step)["out"]).alias("k"))
-    return folded.select("session_id", "k.*")
+    own = frames.select("session_id", F.col("t").cast("double").alias("t"), F.col("seq").cast("bigint").alias("seq"), F.col("value").cast("double").alias("value"))
+    return fold_runs(own, "session_id", ["t", "seq"], ["t", "seq", "value"], lambda: KeyframeFold(threshold, min_gap), KEYFRAMES)
 
 
 def intervals(emitted: DataFrame) -> DataFrame:

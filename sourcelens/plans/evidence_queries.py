@@ -215,8 +215,16 @@ def rules_weights(spark, sf_dir):
 
 @query()
 def op_hashes_signature(spark, sf_dir):
+    """A certification's signature and the hashes of the five artifacts, each over canonical JSON or the text itself."""
     c = contexts(spark, sf_dir)
-    return E.signature(E.certification(c, E.validator_rows(c))).select("playbook_id", "status", "signature")
+    done = E.signature(E.certification(c, E.validator_rows(c)))
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("playbook_id"), F.struct("doc_id", F.struct("lang", "source").alias("binding"), F.array("lang", "source").alias("inputs")).alias("capability"),
+        F.array(F.struct(F.sha2("text", 256).alias("textHash"), T.word_count(F.col("text")).alias("wordCount"))).alias("evidence"), F.col("text").alias("asset"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("target"),
+    )
+    made = done.select("playbook_id", "signature", F.struct(*[x for x in done.columns if x != "signature"]).alias("certification")).join(d, "playbook_id")
+    hashes = E.artifact_hashes(made, "playbook_id", capability="capability", evidence="evidence", certification_unsigned="certification", asset="asset", target_output="target")
+    return done.select("playbook_id", "status", "signature").join(hashes, "playbook_id")
 
 
 @query()
@@ -241,10 +249,25 @@ def events_chain(spark, sf_dir) -> DataFrame:
     return e
 
 
-@query("SELECT user_id AS chain, count(*) AS n, true AS valid FROM events GROUP BY user_id")
+@query("""WITH e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events)
+SELECT chain, count(*) FILTER (WHERE NOT (chain % 5 = 2 AND seq = 2)) AS n,
+  NOT (chain % 5 = 1 AND max(seq) >= 3 OR chain % 5 = 2 AND max(seq) >= 3 OR chain % 5 = 3 AND max(seq) >= 4) AS valid FROM e GROUP BY chain""")
 def win_ledger_chain(spark, sf_dir):
-    v = E.verify_ledger(E.ledger(events_chain(spark, sf_dir)))
-    return v.groupBy("chain").agg(F.count("*").alias("n"), F.bool_and("valid").alias("valid"))
+    """Chains that have been tampered with: in each fifth the third payload is changed, or the second entry gone, or the fourth hash another's."""
+    k, seq = F.col("chain") % 5, F.col("seq")
+    made = E.ledger(events_chain(spark, sf_dir)).where(~((k == 2) & (seq == 2)))
+    made = made.withColumns({"payload": F.when((k == 1) & (seq == 3), "x").otherwise(F.col("payload")), "event_hash": F.when((k == 3) & (seq == 4), F.sha2("payload", 256)).otherwise(F.col("event_hash"))})
+    return E.verify_ledger(made).groupBy("chain").agg(F.count("*").alias("n"), F.bool_and("valid").alias("valid"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_type || ':' || event_id AS payload FROM events),
+l AS (SELECT chain, seq, sha256('|' || seq || '|' || payload) AS event_hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.chain, e.seq, sha256(l.event_hash || '|' || e.seq || '|' || e.payload) FROM l JOIN e ON e.chain = l.chain AND e.seq = l.seq + 1) SELECT * FROM l WHERE seq > 5""")
+def sink_audit_resume(spark, sf_dir):
+    """An append that begins at the stored heads: the first five entries of each chain are in store, the rest come later."""
+    every = events_chain(spark, sf_dir)
+    stored = E.ledger(every.where("seq <= 5"))
+    return E.ledger(every.where("seq > 5"), heads=E.ledger_heads(stored)).select("chain", "seq", "event_hash")
 
 
 @query("SELECT event_type AS slug, arg_max(event_id, struct_pack(t := epoch_us(ts), s := event_id)) AS seq FROM events GROUP BY event_type")

@@ -298,10 +298,18 @@ def fn_sha256_text(spark, sf_dir):
     return docs(spark, sf_dir, h=F.sha2(F.col("text"), 256))
 
 
-@query("SELECT doc_id, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), lang, source, CAST(n_chars AS VARCHAR), sha256(text))) AS h FROM documents")
+JSON_SQL = """SELECT doc_id, sha256('{"doc_id": ' || doc_id || ', "meta": {"lang": ' || coalesce('"' || lang || '"', 'null') || ', "source": ' || coalesce('"' || source || '"', 'null')
+  || '}, "n_chars": ' || coalesce(CAST(n_chars AS VARCHAR), 'null') || ', "parts": [' || coalesce('"' || sha256(text) || '"', 'null') || ', ' || coalesce('"' || lang || '"', 'null') || '], "share": '
+  || coalesce(CAST(CAST(n_chars AS DOUBLE) / 8 AS VARCHAR), 'null') || '}') AS h FROM documents"""
+
+
+@query(JSON_SQL)
 def fn_json_canonical_hash(spark, sf_dir):
-    """A hash of a canonical string: fields in a fixed order between bars."""
-    return docs(spark, sf_dir, h=F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"), F.sha2(F.col("text"), 256)), 256))
+    """A hash of a nested object's canonical JSON."""
+    from sourcelens.functions import canonical
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.struct("source", "lang").alias("meta"), "n_chars", F.array(F.sha2("text", 256), F.col("lang")).alias("parts"), (F.col("n_chars") / F.lit(8.0)).alias("share"))
+    return d.select("doc_id", F.sha2(canonical.of(d, *d.columns), 256).alias("h"))
 
 
 @query("SELECT doc_id, md5(replace(text, 'the', 'tmp://x')) AS h FROM documents")

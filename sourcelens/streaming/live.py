@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from sourcelens.operators.runs import Fold, fold_runs
 
 INPUT = StructType([StructField("session_id", LongType()), StructField("kind", StringType()), StructField("seq", LongType()), StructField("t", DoubleType()), StructField("value", DoubleType()), StructField("text", StringType()), StructField("lang", StringType())])
 STEPS = StructType([StructField("session_id", LongType()), StructField("ordinal", LongType()), StructField("trigger", StringType()), StructField("start_s", DoubleType()), StructField("end_s", DoubleType()), StructField("diff", DoubleType()), StructField("text", StringType())])
@@ -126,17 +128,22 @@ def live_steps(rows: DataFrame, quiet: float = QUIET) -> DataFrame:
     return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=StepProcessor(quiet), outputStructType=STEPS, outputMode="Append", timeMode="ProcessingTime")
 
 
-def replay(rows: DataFrame) -> DataFrame:
-    """The same steps from a finished table; a quiet step that is due after the last row comes too."""
+class Replay(Fold):
+    """A finished session's steps; a quiet step that is due after the last row comes too."""
+
+    def __init__(self):
+        self.steps = StepFold()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = StepFold()
-        pdf = pdf.sort_values(["t", "seq", "kind"], kind="stable")
-        out = [(int(pdf.session_id.iloc[0]), *step) for r in pdf.itertuples() for step in fold.feed(r.kind, r.t, r.value, r.text)]
-        out += [(int(pdf.session_id.iloc[0]), *step) for step in fold.tick(float("inf"))]
-        return pd.DataFrame(out, columns=STEPS.names)
+    def feed(self, kind, t, value, text) -> list[tuple]:
+        return self.steps.feed(kind, t, value, text)
 
-    return rows.groupBy("session_id").applyInPandas(run, STEPS)
+    def end(self) -> list[tuple]:
+        return self.steps.tick(float("inf"))
+
+
+def replay(rows: DataFrame) -> DataFrame:
+    """The same steps from a finished table, each session read in order with the same state as the stream keeps."""
+    return fold_runs(rows, "session_id", ["t", "seq", "kind"], ["kind", "t", "value", "text"], Replay, StructType(STEPS.fields[1:]))
 
 
 def poll_dedup(cues: DataFrame, watermark: str | None = None) -> DataFrame:
