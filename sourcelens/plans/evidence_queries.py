@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sourcelens import rules
 from sourcelens.catalog import query
+from sourcelens.functions import canonical
 from sourcelens.functions import text as T
 from sourcelens.operators import evidence as E
 from sourcelens.operators import keywords as K
+from sourcelens.operators import package as A
 from sourcelens.operators import playbooks as B
 from sourcelens.operators import render as R
 from sourcelens.operators import steps as S
@@ -80,15 +82,48 @@ def join_retained_path(spark, sf_dir):
     return n.select("evidence_id").join(back, "evidence_id", "left")
 
 
-@query(NODES_SQL + "SELECT playbook_id, sum(len(paths)) AS keyframes, sum(actions) AS actions FROM nodes GROUP BY ALL")
+def package_inputs(spark, sf_dir):
+    """Sections, steps and manifests of events: what frames show, by ordinal; a kind, rights and scan for each playbook."""
+    s = steps(spark, sf_dir)
+    sections, _ = graph_inputs(spark, sf_dir)
+    sections = sections.withColumns({"title": F.concat(F.lit("Part "), F.col("ordinal").cast("string")), "page": F.lit(None).cast("int")})
+    o, none = F.col("ordinal"), F.lit(None)
+    share = F.col("diff_score") / 128.0
+    action = F.struct(
+        F.when(o % 2 == 0, F.col("trigger")).alias("actionType"), F.when(o % 5 != 0, F.lit(0.5)).alias("confidence"), share.alias("changedRatio"), F.struct(o.alias("x"), (o + 1).alias("y"), F.lit(4).alias("width"), F.lit(2).alias("height")).alias("changedRegion"),
+        F.when(o % 4 == 0, F.array(F.lit("top_bar"), F.lit("left_rail"))).alias("changedZones"), none.cast("string").alias("visibleTextSample"), F.array("trigger").alias("observations"),
+    )
+    own = s.select("playbook_id", "ordinal", "trigger", "caption_text", "sequence", F.when(o % 2 == 0, F.concat(F.lit("keyframes/"), o.cast("string"), F.lit(".jpg"))).alias("keyframe_path"), F.when(o % 3 == 1, F.concat(F.lit(" seen "), "caption_text")).alias("ocr_text"), F.when(o % 3 == 0, action).alias("visual_action"))
+    p = F.col("playbook_id")
+    manifests = s.groupBy("playbook_id").agg(F.count("*").alias("n")).select(
+        "playbook_id", F.concat(F.lit("Watch of user "), p.cast("string")).alias("skill_name"), F.element_at(F.array(*map(F.lit, ("skill", "agent", "workflow"))), (p % 3 + 1).cast("int")).alias("shape"), pick(KINDS, "playbook_id").alias("source_kind"),
+        F.concat(F.lit("https://site.example/"), p.cast("string")).alias("source_url"), F.concat(F.lit("skills/"), p.cast("string"), F.lit("/SKILL.md")).alias("asset_path"), F.lit("out.md").alias("target_path"),
+        F.when(p % 4 != 0, F.struct(F.lit("owned").alias("rightsBasis"), F.when(p % 2 == 0, "low").otherwise("medium").alias("fairUseRisk"))).alias("rights"), F.when(p % 7 != 0, F.struct(F.lit("low").alias("riskLevel"), F.lit(False).alias("blocked"))).alias("security"),
+    )
+    return sections, own, manifests
+
+
+@query(NODES_SQL + """, seen AS (SELECT playbook_id, section, list(' seen ' || caption_text ORDER BY ordinal) FILTER (ordinal % 3 = 1) AS o FROM marked GROUP BY ALL)
+SELECT n.evidence_id, CAST(len(n.paths) AS INT) AS keyframes, sha256(array_to_string(o, chr(10))) AS ocr_hash, CAST(coalesce(3 * len(o), 0) AS INT) AS ocr_words, CAST(least(n.actions, 20) AS INT) AS actions
+FROM nodes n JOIN seen s ON s.playbook_id = n.playbook_id AND s.section = n.section""")
 def agg_visual_evidence(spark, sf_dir):
-    return E.evidence_nodes(*graph_inputs(spark, sf_dir)).groupBy("playbook_id").agg(F.sum("keyframes").alias("keyframes"), F.sum("actions").alias("actions"))
+    """What a node shows of its frames: keyframes, recognised text by hash and number of words, actions up to twenty."""
+    v = F.col("node.visualEvidence")
+    n = A.evidence_nodes(*package_inputs(spark, sf_dir))
+    return n.select(F.col("node.id").alias("evidence_id"), v["keyframeCount"].alias("keyframes"), v["ocrTextHash"].alias("ocr_hash"), v["ocrWordCount"].alias("ocr_words"), v["visualActionCount"].alias("actions"))
 
 
-@query(NODES_SQL + "SELECT playbook_id, ordinal, trigger FROM sections WHERE len(step_ordinals) % 3 = 0")
+@query(MARKED_SQL + """, a AS (SELECT *, row_number() OVER (PARTITION BY playbook_id, section ORDER BY ordinal) AS k FROM marked WHERE ordinal % 3 = 0)
+SELECT 'evidence:' || playbook_id || ':' || section AS evidence_id, CAST(ordinal AS INT) AS step_ordinal, CASE WHEN ordinal % 2 = 0 THEN trigger ELSE 'unknown' END AS action_type, CASE WHEN ordinal % 5 <> 0 THEN CAST(0.5 AS DOUBLE) END AS confidence,
+  diff_score / CAST(128 AS DOUBLE) AS changed_ratio, CAST(ordinal + 1 AS INT) AS y, CASE WHEN ordinal % 4 = 0 THEN 'top_bar,left_rail' ELSE '' END AS zones, '' AS sample, trigger AS observed FROM a WHERE k <= 20""")
 def proj_visual_action(spark, sf_dir):
-    sections, _ = graph_inputs(spark, sf_dir)
-    return sections.where(F.size("step_ordinals") % 3 == 0).select("playbook_id", "ordinal", "trigger")
+    """The actions that nodes show, field by field, with their defaults."""
+    n = A.evidence_nodes(*package_inputs(spark, sf_dir)).select(F.col("node.id").alias("evidence_id"), F.explode("node.visualActions").alias("a"))
+    a = lambda name: F.col(f"a.{name}")
+    return n.select(
+        "evidence_id", a("stepOrdinal").alias("step_ordinal"), a("actionType").alias("action_type"), a("confidence").alias("confidence"), a("changedRatio").alias("changed_ratio"), a("changedRegion.y").alias("y"),
+        F.array_join(a("changedZones"), ",").alias("zones"), a("visibleTextSample").alias("sample"), F.array_join(a("observations"), ",").alias("observed"),
+    )
 
 
 def contexts(spark, sf_dir) -> DataFrame:
@@ -529,8 +564,17 @@ def fn_extract_md_block(spark, sf_dir):
 
 @query()
 def op_capability_ir(spark, sf_dir):
-    """A document per playbook: bindings, contract, execution and risk, as JSON."""
-    n = E.section_bindings(E.evidence_nodes(*graph_inputs(spark, sf_dir)))
-    g = n.groupBy("playbook_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "evidence_id", "word_count", "summary"))).alias("sectionBindings"))
-    ir = F.struct(F.struct("sectionBindings").alias("sourceBinding"), F.struct(F.array(F.lit("source")).alias("inputs"), F.array(F.lit("result")).alias("outputs")).alias("contract"), F.struct(F.lit("deterministic").alias("mode")).alias("execution"), F.struct(F.lit("low").alias("level")).alias("risk"))
-    return g.select("playbook_id", F.to_json(ir).alias("ir"))
+    """The capability document of each playbook as canonical JSON; tested against a plain restatement."""
+    sections, own, manifests = package_inputs(spark, sf_dir)
+    nodes = A.evidence_nodes(sections, own, manifests)
+    c = A.capabilities(A.evidence_graphs(nodes, manifests), manifests, A.retained_artifacts(nodes))
+    return c.select("playbook_id", canonical.json(F.col("capability"), c.schema["capability"].dataType).alias("ir"))
+
+
+@query()
+def op_evidence_document(spark, sf_dir):
+    """The evidence graph of each playbook as the hash of its canonical JSON, with the number of its nodes."""
+    sections, own, manifests = package_inputs(spark, sf_dir)
+    g = A.evidence_graphs(A.evidence_nodes(sections, own, manifests), manifests)
+    text = canonical.json(F.col("graph"), g.schema["graph"].dataType)
+    return g.select("playbook_id", F.size("graph.nodes").alias("nodes"), F.sha2(text, 256).alias("hash"))

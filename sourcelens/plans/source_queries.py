@@ -48,9 +48,13 @@ def flt_url_pattern(spark, sf_dir):
     return pages(spark, sf_dir).where(F.regexp_like("url", F.lit("/(blog|en)/"))).select("page_id")
 
 
-@query()
+@query("""WITH n AS (SELECT page_id, len(regexp_extract_all(html, '<(script|style|nav|footer|header|aside|form|iframe|noscript|button|input|select|textarea|svg)\\b')) AS k FROM pages) SELECT page_id, k AS dropped FROM n WHERE k > 0""")
 def flt_html_noise(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.length(P.parse_page("url", "html")["markdown"]).alias("n"))
+    """For each page with noise the number of elements that are noise themselves; what lies in them goes too."""
+    from sourcelens.sources import dom
+
+    e = dom.elements(pages(spark, sf_dir)).where("noise").where(F.col("tag").isin(*sorted(P.DROP)))
+    return e.groupBy("page_id").agg(F.count("*").alias("dropped"))
 
 
 @query()
@@ -60,7 +64,12 @@ def fn_render_markdown(spark, sf_dir):
 
 @query()
 def agg_text_density(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.size(P.parse_page("url", "html")["sections"]).alias("sections"))
+    """Each page's main content and its paragraphs' text; of each second page the article is a plain division, so that text decides."""
+    from sourcelens.sources import dom
+
+    plain = F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>"))
+    p = pages(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(plain).alias("html"))
+    return dom.main_content(dom.elements(p))
 
 
 @query("""WITH lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
@@ -75,32 +84,47 @@ def fn_split_sections(spark, sf_dir):
     return d.withColumn("section", s.cast("bigint")).groupBy("doc_id", "section").agg(F.count("*").alias("lines"))
 
 
-def page_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, str]:
-    """Every page links to two others; one origin."""
-    p = table(spark, sf_dir, "pages").select("page_id")
-    n = p.count()
-    at = lambda c: F.concat(F.lit("http://site/p"), c.cast("string"))
-    edges = p.select(at(F.col("page_id")).alias("src"), F.explode(F.array((F.col("page_id") * 2 + 1) % n, (F.col("page_id") * 2 + 2) % n)).alias("d")).select("src", at(F.col("d")).alias("dst"))
-    return edges, p.select(at(F.col("page_id")).alias("url"), (F.col("page_id") % 5).alias("n_sections")), "http://site/p0"
-
-
-CRAWL_SQL = """WITH RECURSIVE p AS (SELECT page_id, (SELECT count(*) FROM pages) AS n FROM pages),
-c(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT unnest([(id * 2 + 1) % n, (id * 2 + 2) % n]) FROM c JOIN p ON page_id = id),
-seen AS (SELECT id, CAST(floor(log2(id + 1)) AS INT) AS depth FROM c)
-SELECT 'http://site/p' || CAST(id AS VARCHAR) AS url, CAST(depth AS INT) AS depth FROM seen WHERE id % 5 > 0 ORDER BY depth, url LIMIT 30"""
-
-
-@query(CRAWL_SQL)
+def site(spark, sf_dir) -> DataFrame:
+    """The pages as one site: each links to two others before its own links, each third to one that is gone; some are navigation only."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    n, i = F.lit(p.count()), F.col("page_id")
+    tag = lambda *path: F.concat(F.lit('<a href="/'), *path, F.lit('">x</a>'))
+    more = F.concat(
+        tag(F.lit("p"), ((i * 2 + 1) % n).cast("string")), tag(F.lit("p"), ((i * 2 + 2) % n).cast("string"), F.lit("/#top")),
+        F.when(i % 3 == 0, tag(F.lit("gone"), i.cast("string"))).otherwise(""),
+    )
+    nav = F.concat(F.lit("<nav>"), more)
+    html = F.when(i % 5 == 4, F.concat(F.lit("<html><body>"), nav, F.lit("</nav></body></html>"))).otherwise(F.replace("html", F.lit("<nav>"), nav))
+    return p.select(F.concat(F.lit("http://site/p"), i.cast("string")).alias("url"), html.alias("html"))
+
+
+#: One row a level: what it visits in the queue's order, and all visited before. The pages' own links stand behind the two or three of the site.
+CRAWL_SQL = """WITH RECURSIVE p AS (SELECT page_id AS i, (SELECT count(*) FROM pages) AS n, regexp_extract_all(html, 'href="([^"]*)"', 1) AS own FROM pages),
+linked AS (SELECT 'http://site/p' || i AS url, ['/p' || (i * 2 + 1) % n, '/p' || (i * 2 + 2) % n] || CASE WHEN i % 3 = 0 THEN ['/gone' || i] ELSE [] END || own AS l FROM p WHERE i % 5 <> 4),
+graph AS MATERIALIZED (SELECT map_from_entries(list((url, list_transform(l, lambda x: 'http://site' || x)))) AS g FROM linked),
+level(depth, front, seen) AS (SELECT 0, ['http://site/p0'], ['http://site/p0'] UNION ALL
+  SELECT depth + 1, new, seen || new FROM (SELECT depth, seen, list_filter(d, lambda x, k: list_position(d, x) = k AND NOT list_contains(seen, x)) AS new
+    FROM (SELECT depth, seen, flatten(list_transform(front, lambda u: coalesce(g[u], CAST([] AS VARCHAR[])))) AS d FROM level, graph)) WHERE len(new) > 0),
+queue AS (SELECT depth, unnest(front) AS url, unnest(range(len(front))) AS k FROM level),
+visited AS (SELECT url, CAST(depth AS INT) AS depth, k, CASE WHEN url IN (SELECT url FROM linked) THEN 'captured' WHEN url IN (SELECT 'http://site/p' || i FROM p) THEN 'empty' ELSE 'failed' END AS status FROM queue)
+"""
+
+
+@query(CRAWL_SQL + """, numbered AS (SELECT *, sum(CAST(status = 'captured' AS INT)) OVER (ORDER BY depth, k) AS c FROM visited)
+SELECT url, CASE WHEN status = 'captured' THEN CAST(c AS INT) END AS ordinal, depth, status FROM numbered WHERE c < 30 OR c = 30 AND status = 'captured'""")
 def src_docs_site(spark, sf_dir):
-    """The first 30 pages with sections by breadth; the limit is the crawl's own."""
-    links, found, seed = page_graph(spark, sf_dir)
-    return P.crawl(links, found, seed)
+    """What a crawl of the site sees until it has 30 pages with sections: pages in order, pages without sections, failed fetches."""
+    from sourcelens.sources import crawl as C
 
+    return C.first(C.crawl(C.fetched(site(spark, sf_dir)), "http://site/p0", 30), 30)
 
-@query(CRAWL_SQL.replace(" ORDER BY depth, url LIMIT 30", "").replace(" WHERE id % 5 > 0", ""))
+
+@query(CRAWL_SQL + "SELECT url, depth, status FROM visited")
 def join_crawl_antijoin(spark, sf_dir):
-    links, found, seed = page_graph(spark, sf_dir)
-    return P.crawl(links, found.withColumn("n_sections", F.lit(1)), seed, most=1 << 30)
+    """A crawl until its queue is empty."""
+    from sourcelens.sources import crawl as C
+
+    return C.crawl(C.fetched(site(spark, sf_dir)), "http://site/p0").select("url", "depth", "status")
 
 
 @query("""WITH numbered AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no FROM documents)
@@ -119,7 +143,7 @@ def numbered(rows: DataFrame, key: str, order: str, name: str, width: int = 4096
     heads = rows.groupBy(key, "_bucket").agg(F.count("*").alias("_n")).withColumn("_head", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     heads = heads.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), "_head")
     inside = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(order)))
-    met = inside.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+    met = inside.join(heads, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_b")))
     return met.withColumn(name, F.col("_head") + F.col("_rank")).drop("_bucket", "_b", "_key", "_head", "_rank")
 
 

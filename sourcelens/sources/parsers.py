@@ -5,14 +5,12 @@ from __future__ import annotations
 import json
 import re
 import struct
-import tempfile
-import uuid
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, BinaryType, StringType, StructField, StructType
@@ -298,25 +296,11 @@ def jpeg_dims(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([jpeg_size(b) for b in raw], columns=["width", "height"])
 
 
-def crawl(links: DataFrame, pages: DataFrame, seed: Column | str, depth: int | None = None, most: int = 30, pattern: str | None = None) -> DataFrame:
-    """links(src, dst), pages(url, n_sections) -> url, depth of the first most pages with sections reached from the seed, by breadth; depth, if given, bounds it."""
-    spark = links.sparkSession
-    origin = "regexp_extract(url, '^[a-z]+://[^/]*', 0)"
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='crawl')}"
-    path, step = f"{base.rstrip('/')}/{uuid.uuid4().hex}", 0
-    spark.createDataFrame([(seed, 0)], "url string, depth int").write.parquet(f"{path}/step=0")
-    seen = edge = spark.read.schema("url string, depth int").parquet(f"{path}/step=0")
-    while depth is None or step < depth:
-        if seen.join(pages.where("n_sections > 0"), "url").limit(most).count() >= most:
-            break
-        step += 1
-        new = edge.select("url").join(links, F.col("url") == F.col("src")).where(f"regexp_extract(dst, '^[a-z]+://[^/]*', 0) = {origin}")
-        new = new.where(F.regexp_like("dst", F.lit(pattern))) if pattern else new
-        new = new.select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(step))
-        new.write.parquet(f"{path}/step={step}")
-        edge = spark.read.schema("url string, depth int").parquet(f"{path}/step={step}")
-        if edge.isEmpty():
-            break
-        seen = spark.read.schema("url string, depth int").parquet(*[f"{path}/step={k}" for k in range(step + 1)])
-    kept = seen.join(pages.where("n_sections > 0"), "url")
-    return kept.orderBy("depth", "url").limit(most).select("url", "depth")
+def crawl(links: DataFrame, pages: DataFrame, seed: str, depth: int | None = None, most: int = 30, pattern: str | None = None) -> DataFrame:
+    """links(src, dst), pages(url, n_sections) -> url, depth of the first most pages with sections, links taken by dst; see sources.crawl."""
+    from sourcelens.sources import crawl as C
+
+    of = links.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("links"))
+    table = pages.join(of, F.col("url") == F.col("src"), "left").select("url", "n_sections", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    found = C.crawl(table, seed, most, True, pattern, depth)
+    return C.first(found, most).where("ordinal is not null").orderBy("ordinal").select("url", "depth")
