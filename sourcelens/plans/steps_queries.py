@@ -207,10 +207,22 @@ def proj_doc_step(spark, sf_dir):
 
 @query(f"WITH {STEPS_SQL}, last AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY playbook_id ORDER BY ordinal DESC) <= 20) SELECT playbook_id, sequence, CAST(row_number() OVER (PARTITION BY playbook_id ORDER BY ordinal) AS INT) AS ordinal FROM last")
 def sink_playbook(spark, sf_dir):
-    """What a playbook keeps: its last steps, renumbered. Writing and reading them is not rebuilt."""
-    w = Window.partitionBy("playbook_id")
-    s = steps(spark, sf_dir).withColumn("r", F.row_number().over(w.orderBy(F.desc("ordinal")))).where("r <= 20")
-    return s.select("playbook_id", "sequence", F.row_number().over(w.orderBy("ordinal")).alias("ordinal"))
+    """Every playbook saved with its last steps and read back; a save of each second one again is refused, a rename of each third carried out."""
+    from sourcelens.operators.playbook_store import PlaybookStore
+    from sourcelens.sources.scratch import shared_folder
+
+    none = F.lit(None).cast("string")
+    s = steps(spark, sf_dir).withColumns({"start_s": none.cast("double"), "end_s": none.cast("double"), "keyframe": F.col("caption_text").cast("binary"), "request": F.col("playbook_id")})
+    who = s.select("playbook_id").distinct()
+    k, name = F.col("playbook_id"), F.concat(F.lit("Watch "), F.col("playbook_id").cast("string"))
+    ask = lambda op, shift, new=none: who.select((k + shift).alias("request"), F.lit(op).alias("op"), name.alias("name"), new.alias("new_name"), F.lit(False).alias("overwrite"), none.alias("source_url"), name.alias("summary"), "playbook_id")
+    base = 1 << 40
+    again = s.where(k % 2 == 0).withColumn("request", k + base)
+    asked = ask("save", 0).union(ask("save", base).where(k % 2 == 0)).union(ask("rename", 2 * base, F.concat(F.lit("Topic "), name)).where(k % 3 == 0)).drop("playbook_id")
+    store = PlaybookStore(spark, shared_folder(spark))
+    columns = ["request", "sequence", "trigger", "diff_score", "start_s", "end_s", "caption_text", "keyframe"]
+    store.apply(asked, s.select(*columns).unionByName(again.select(*columns)), 20)
+    return store.steps().select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("playbook_id"), "sequence", "ordinal")
 
 
 @query(f"WITH {STEPS_SQL} SELECT playbook_id, sequence FROM steps WHERE ordinal = 3")
