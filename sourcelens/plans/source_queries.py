@@ -260,3 +260,31 @@ def op_pipeline(spark, sf_dir):
     asset = render.asset(F.lit("skill"), name, render.description(F.lit("skill"), T.topic_from_seed_url(F.col("playbook_id")), F.lit("web_page"), F.array().cast("array<string>")), F.col("texts"))
     status = F.when(F.col("words") == 0, "no_text").when(F.col("blocked"), "injection").when(~F.col("gate"), "rights").otherwise("ok")
     return both.select("playbook_id", status.alias("status"), F.when(status == "ok", F.md5(asset)).alias("asset"))
+
+
+@query()
+def op_pipeline_registry(spark, sf_dir):
+    """Pages from capture to the registry in stages, cut off before certification and run again; how far each came, and its ledger entry."""
+    from sourcelens.operators.source_pipeline import SourcePipeline
+    from sourcelens.plans.policy_queries import KINDS
+    from sourcelens.plans.text_queries import BASES, INTENTS, pick
+    from sourcelens.sources.scratch import shared_folder
+
+    sources = pages(spark, sf_dir).select("url", "html", pick(KINDS, "page_id").alias("source_kind"), pick(BASES, "page_id").alias("rights_basis"), pick(INTENTS, "page_id").alias("export_intent"), F.lit("").alias("license"))
+    path = shared_folder(spark)
+
+    class Cut(Exception):
+        pass
+
+    def stop(stage: str) -> None:
+        if stage == "certify":
+            raise Cut
+
+    try:
+        SourcePipeline(spark, path).run(sources, stop)
+    except Cut:
+        pass
+    done = SourcePipeline(spark, path)
+    done.run(sources)
+    entries = done.judged("ledger").select("playbook_id", "chain", "seq", "event_hash")
+    return done.outcome().join(entries, "playbook_id", "left")
