@@ -438,6 +438,36 @@ def fn_short_renderers(spark, sf_dir):
     return t.select("doc_id", R.knows(F.col("kind"), i % 7).alias("knows"), block.alias("block"))
 
 
+@query(r"""WITH s AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n, source, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(nullif(lang, ''), 'Section ' || doc_id) AS ref FROM documents),
+l AS (SELECT *, CASE WHEN coalesce(len(w), 0) = 0 THEN 'No lesson text was captured for this section.' END AS none FROM s WHERE k <= 12)
+SELECT source, string_agg('- **' || ref || ':** ' || coalesce(none, array_to_string(w[1:36], ' ') || CASE WHEN len(w) > 36 THEN '...' ELSE '' END), chr(10) ORDER BY k) || CASE WHEN max(n) > 12 THEN chr(10) || '- Plus ' || (max(n) - 12) || ' additional source-backed sections in `lessons.md`.' ELSE '' END AS known,
+  string_agg(k || '. Use **' || ref || '** to handle this part: ' || coalesce(none, array_to_string(w[1:24], ' ') || CASE WHEN len(w) > 24 THEN '...' ELSE '' END), chr(10) ORDER BY k) FILTER (k <= 6) || CASE WHEN max(n) > 6 THEN chr(10) || '7. Check the remaining ' || (max(n) - 6) || ' source sections in `lessons.md` before claiming full coverage.' ELSE '' END AS steps
+FROM l GROUP BY source""")
+def fn_section_renderers(spark, sf_dir):
+    """What is known and the procedure of each source, its documents being the sections; frames are in the tests."""
+    from sourcelens.operators import brief
+
+    none = F.lit(None)
+    d = table(spark, sf_dir, "documents").select("source", F.struct(
+        F.col("doc_id").cast("int").alias("ordinal"), F.col("lang").alias("title"), none.cast("string").alias("heading"), none.cast("int").alias("page"), none.cast("double").alias("start_s"), none.cast("double").alias("end_s"), "text", F.array().cast("array<struct<actionType: string, visibleTextSample: string, observations: array<string>>>").alias("actions"),
+    ).alias("s"), "doc_id")
+    # Only the first sections are shown, so only these are brought together; the others are counted.
+    kept = source_numbers(d).where(F.col("k") <= brief.KNOWN).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("s"))
+    n = d.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n"))
+    both = kept.join(n, F.col("source").eqNullSafe(F.col("of"))).select("source", "s", "n")
+    more = lambda limit, text: F.when(F.col("n") > limit, F.concat(F.lit(f"\n{text[0]}"), (F.col("n") - limit).cast("string"), F.lit(text[1]))).otherwise("")
+    known = F.concat(brief.knowledge(F.col("s")), more(brief.KNOWN, ("- Plus ", " additional source-backed sections in `lessons.md`.")))
+    steps_ = F.concat(brief.procedure(F.slice("s", 1, brief.STEPS)), more(brief.STEPS, (f"{brief.STEPS + 1}. Check the remaining ", " source sections in `lessons.md` before claiming full coverage.")))
+    return both.select("source", known.alias("known"), steps_.alias("steps"))
+
+
+def source_numbers(d: DataFrame) -> DataFrame:
+    """d with k, a document's number within its source, without a window over a whole source."""
+    from sourcelens.plans.source_queries import numbered
+
+    return numbered(d, "source", "doc_id", "k")
+
+
 @query()
 def op_compose(spark, sf_dir):
     return assets(spark, sf_dir).select("doc_id", "shape", "slug", R.export_path(F.lit("claude_code"), F.col("slug"), F.col("shape")).alias("path"), F.md5("text").alias("h"))
