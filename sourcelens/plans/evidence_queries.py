@@ -243,9 +243,19 @@ def agg_exec_pass_rate(spark, sf_dir):
     return E.certification(c, E.validator_rows(c)).select("playbook_id", F.round(F.col("dimensions")["executionValidation"], 6).alias("rate"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({w} AS DOUBLE))" for k, w in rules.WEIGHTS.items()) + ") t(dimension, weight)")
+CERT_COLUMNS = {
+    "sourceFidelity": "fidelity", "codification": "codification", "executionValidation": "execution", "governance": "governance", "visualGrounding": "visual",
+    "validatorCoverage": "coverage", "domainCoverage": "domains", "capabilityIr": "ir", "rightsGovernance": "rights", "sourceSecurity": "security",
+}
+
+
+@query(CERT_SQL + " UNION ALL ".join(f"SELECT playbook_id, '{k}' AS dimension, CAST({rules.WEIGHTS[k]} AS DOUBLE) AS weight, round(CAST({c} AS DOUBLE) * {rules.WEIGHTS[k]}, 6) AS share FROM cert" for k, c in CERT_COLUMNS.items()))
 def rules_weights(spark, sf_dir):
-    return spark.createDataFrame(list(rules.WEIGHTS.items()), "dimension string, weight double")
+    """What each dimension adds to each playbook's confidence, by its weight."""
+    c = contexts(spark, sf_dir)
+    weights = F.create_map(*[F.lit(x) for kv in rules.WEIGHTS.items() for x in kv])
+    d = E.certification(c, E.validator_rows(c)).select("playbook_id", F.explode("dimensions").alias("dimension", "value"))
+    return d.select("playbook_id", "dimension", weights[F.col("dimension")].alias("weight"), F.round(F.col("value") * weights[F.col("dimension")], 6).alias("share"))
 
 
 @query()

@@ -172,9 +172,14 @@ def st_step_snapshot(spark, sf_dir):
     return f.groupBy("session_id").agg(F.max("seq").alias("last_seq")).join(k, "session_id").select("session_id", "steps", "last_seq")
 
 
-@query("SELECT 0.1 AS fps_low, 30.0 AS fps_high, 4 AS ring_low, 600 AS ring_high")
+@query("""WITH asked AS (SELECT user_id AS session_id, max(value) / 10 AS fps, CAST(max(event_id) % 1000 AS INT) AS ring, CAST(min(value) AS DOUBLE) AS chunk FROM events GROUP BY user_id)
+SELECT session_id, least(greatest(fps, 0.1), 30.0) AS fps, least(greatest(ring, 4), 600) AS ring, least(greatest(chunk, 1.5), 30.0) AS chunk,
+  fps BETWEEN 0.1 AND 30.0 AND ring BETWEEN 4 AND 600 AND chunk BETWEEN 1.5 AND 30.0 AS as_asked FROM asked""")
 def st_readiness(spark, sf_dir):
-    from sourcelens.functions.media import LIMITS
+    """The settings that sessions ask for within their limits, and whether none had to be changed."""
+    from sourcelens.functions.media import clamp
 
-    (a, b), (c, d) = LIMITS["fps"], LIMITS["ring_size"]
-    return spark.createDataFrame([(a, b, c, d)], "fps_low double, fps_high double, ring_low int, ring_high int")
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg((F.max("value") / 10).alias("fps"), (F.max("event_id") % 1000).cast("int").alias("ring"), F.min("value").cast("double").alias("chunk"))
+    held = {"fps": clamp(F.col("fps"), "fps"), "ring": clamp(F.col("ring"), "ring_size"), "chunk": clamp(F.col("chunk"), "audio_chunk")}
+    same = (held["fps"] == F.col("fps")) & (held["ring"] == F.col("ring")) & (held["chunk"] == F.col("chunk"))
+    return e.select("session_id", *[c.alias(k) for k, c in held.items()], same.alias("as_asked"))
