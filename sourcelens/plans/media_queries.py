@@ -103,17 +103,29 @@ def formats(spark, sf_dir) -> DataFrame:
 
 
 def preference():
-    return F.when(F.contains("protocol", F.lit("m3u8")), 2).when(F.startswith("protocol", F.lit("http")), 1).otherwise(0)
+    protocol = F.lower(F.coalesce("protocol", F.lit("")))
+    return F.when(F.contains(protocol, F.lit("m3u8")), 2).when(F.contains(protocol, F.lit("http")), 1).otherwise(0)
 
 
-PREF_SQL = "CASE WHEN contains(protocol, 'm3u8') THEN 2 WHEN starts_with(protocol, 'http') THEN 1 ELSE 0 END"
+PREF_SQL = "CASE WHEN contains(lower(protocol), 'm3u8') THEN 2 WHEN contains(lower(protocol), 'http') THEN 1 ELSE 0 END"
 
 
-@query(f"WITH {FORMAT_SQL} SELECT video, idx FROM formats WHERE NOT audio_only QUALIFY row_number() OVER (PARTITION BY video ORDER BY {PREF_SQL} DESC, height DESC, tbr DESC, idx) = 1")
+@query(f"""WITH {FORMAT_SQL}, f AS (SELECT * FROM formats WHERE NOT audio_only AND tbr % 1100 <> 0),
+best AS (SELECT video, idx FROM f QUALIFY row_number() OVER (PARTITION BY video ORDER BY {PREF_SQL} DESC, height DESC, tbr DESC, idx) = 1),
+low AS (SELECT video, idx AS low FROM f QUALIFY row_number() OVER (PARTITION BY video ORDER BY {PREF_SQL} DESC, CASE WHEN height = 0 THEN 9999 ELSE height END, CASE WHEN tbr = 0 THEN 9999 ELSE tbr END, idx) = 1),
+videos AS (SELECT DISTINCT video FROM formats)
+SELECT video, idx, low, CASE WHEN idx IS NULL THEN 'https://v.example/' || video END AS url FROM videos LEFT JOIN best USING (video) LEFT JOIN low USING (video) WHERE idx IS NOT NULL OR video % 2 = 0""")
 def topk_video_format(spark, sf_dir):
-    """The best by protocol, height and bit rate, the first of equals: one aggregation, no sort of a video's formats."""
-    f = formats(spark, sf_dir).where("not audio_only")
-    return f.groupBy("video").agg(F.max_by("idx", F.struct(preference(), "height", "tbr", -F.col("idx"))).alias("idx"))
+    """The best by protocol, height and bit rate, and for low latency the smallest of the best protocol, the first of equals; formats
+    without an address do not count, and a video without any has its own address, if it has one. One aggregation, no sort."""
+    able = ~F.col("audio_only") & (F.col("tbr") % 1100 != 0)
+    large = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, 9999).otherwise(F.col(c))
+    first = -F.col("idx")
+    best = F.max_by("idx", F.when(able, F.struct(preference().alias("p"), F.coalesce("height", F.lit(0)).alias("h"), F.coalesce("tbr", F.lit(0)).alias("t"), first.alias("i"))))
+    low = F.max_by("idx", F.when(able, F.struct(preference().alias("p"), (-large("height")).alias("h"), (-large("tbr")).alias("t"), first.alias("i"))))
+    v = formats(spark, sf_dir).groupBy("video").agg(best.alias("idx"), low.alias("low"))
+    own = F.when(F.col("video") % 2 == 0, F.concat(F.lit("https://v.example/"), F.col("video").cast("string")))
+    return v.withColumn("url", F.when(F.col("idx").isNull(), own)).where("idx is not null or url is not null")
 
 
 @query(f"WITH {FORMAT_SQL} SELECT video, idx FROM formats WHERE audio_only QUALIFY row_number() OVER (PARTITION BY video ORDER BY tbr DESC, idx) = 1")
