@@ -55,6 +55,22 @@ def clean_caption(x: Column) -> Column:
     return overlap_merge(T.split_fragments(x))
 
 
+def persisted(steps: DataFrame) -> DataFrame:
+    """Captured steps as a playbook keeps them: numbered from 1 by sequence, texts never null, a path for each keyframe that has bytes.
+
+    steps: playbook_id, sequence, started_at, ended_at, trigger, diff_score, since_previous, video_start_s, video_end_s,
+    keyframe, width, height, transcript, caption_text, visual_action.
+    """
+    number = F.row_number().over(Window.partitionBy("playbook_id").orderBy("sequence"))
+    size = F.coalesce(F.octet_length("keyframe"), F.lit(0))
+    name = F.concat(F.lit("keyframes/"), F.when(F.col("ordinal") < 1000, F.lpad(F.col("ordinal").cast("string"), 3, "0")).otherwise(F.col("ordinal").cast("string")), F.lit(".jpg"))
+    blank = F.lit("")
+    return steps.withColumn("ordinal", number).select(
+        "playbook_id", "ordinal", "sequence", "started_at", "ended_at", "trigger", "diff_score", "since_previous", "video_start_s", "video_end_s", F.when(size > 0, name).alias("keyframe_path"), "width", "height",
+        size.alias("keyframe_bytes"), F.coalesce("transcript", blank).alias("transcript"), F.coalesce("caption_text", blank).alias("caption_text"), "visual_action",
+    )
+
+
 def section_ids(steps: DataFrame, threshold: float = SECTION_DIFF) -> DataFrame:
     """steps with section: a new one at the first step, a quiet period or a hard cut."""
     order = Window.partitionBy("playbook_id").orderBy("ordinal")

@@ -193,10 +193,20 @@ def flt_untimed_cue(spark, sf_dir):
     return c.where("s is not null").select("conv_id", "turn")
 
 
-@query("SELECT event_id, user_id, coalesce(event_type, '') AS trigger, coalesce(value, 0) AS diff_score, coalesce(props, '') AS caption_text FROM events")
+@query(f"""WITH {STEPS_SQL}, own AS (SELECT *, lag(us) OVER (PARTITION BY playbook_id ORDER BY ordinal) AS before, row_number() OVER (PARTITION BY playbook_id ORDER BY sequence) AS n FROM steps)
+SELECT playbook_id, n AS ordinal, sequence, before AS started_at, us AS ended_at, trigger, diff_score, round((us - before) / CAST(1000000 AS DOUBLE), 3) AS since_previous, CAST(ordinal * 2 AS DOUBLE) AS video_start_s, CASE WHEN ordinal % 4 <> 0 THEN CAST(ordinal * 2 + 1 AS DOUBLE) END AS video_end_s,
+  CASE WHEN sequence % 3 <> 0 THEN 'keyframes/' || printf('%03d', n) || '.jpg' END AS keyframe_path, 640 AS width, 360 AS height, CAST(CASE sequence % 3 WHEN 0 THEN 0 ELSE strlen(caption_text) END AS INT) AS keyframe_bytes,
+  CASE WHEN ordinal % 5 = 0 THEN 'said ' || sequence ELSE '' END AS transcript, CASE WHEN ordinal % 7 = 0 THEN '' ELSE caption_text END AS caption_text, CASE WHEN sequence % 2 = 0 THEN trigger END AS visual_action FROM own""")
 def proj_step_normalise(spark, sf_dir):
-    blank = F.lit("")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce("event_type", blank).alias("trigger"), F.coalesce("value", F.lit(0.0)).alias("diff_score"), F.coalesce("props", blank).alias("caption_text"))
+    """Steps as a playbook keeps them, with all fields; some without a keyframe, with an empty one, or without texts."""
+    s, o, q = steps(spark, sf_dir), F.col("ordinal"), F.col("sequence")
+    before = F.lag("us").over(Window.partitionBy("playbook_id").orderBy("ordinal"))
+    captured = s.withColumn("started_at", before).select(
+        "playbook_id", "sequence", "started_at", F.col("us").alias("ended_at"), "trigger", "diff_score", F.round((F.col("us") - F.col("started_at")) / 1e6, 3).alias("since_previous"), (o * 2).cast("double").alias("video_start_s"),
+        F.when(o % 4 != 0, (o * 2 + 1).cast("double")).alias("video_end_s"), F.when(q % 3 == 1, F.col("caption_text").cast("binary")).when(q % 3 == 2, F.col("caption_text").cast("binary")).when(q % 6 == 0, F.lit("").cast("binary")).alias("keyframe"),
+        F.lit(640).alias("width"), F.lit(360).alias("height"), F.when(o % 5 == 0, F.concat(F.lit("said "), q.cast("string"))).alias("transcript"), F.when(o % 7 != 0, F.col("caption_text")).alias("caption_text"), F.when(q % 2 == 0, F.col("trigger")).alias("visual_action"),
+    )
+    return S.persisted(captured)
 
 
 @query("SELECT doc_id, CAST(100 AS DOUBLE) AS diff_score, 'document_section' AS trigger, concat_ws(chr(10) || chr(10), concat_ws(' / ', source, 'page ' || CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id END AS VARCHAR), nullif(lang, 'en')), nullif(trim(text), '')) AS caption_text FROM documents")
