@@ -28,8 +28,11 @@ def word_count(x: Column) -> Column:
 
 
 def truncate_words(x: Column, n: int) -> Column:
-    w = words(x)
-    return F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, "...").otherwise(""))
+    """The first n words, with dots where there are more; what follows them is not looked at."""
+    text = F.coalesce(x, F.lit(""))
+    first = F.regexp_extract(text, rf"^\s*+((?:\S++\s++){{0,{n - 1}}}\S++)", 1)
+    more = F.regexp_like(text, F.lit(rf"^\s*+(?:\S++\s++){{{n}}}\S"))
+    return F.concat(F.regexp_replace(first, r"\s+", " "), F.when(more, "...").otherwise(""))
 
 
 def truncate_chars(x: Column, n: int, mark: str = "…") -> Column:

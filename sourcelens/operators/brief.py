@@ -37,17 +37,17 @@ def reference(s: Column) -> Column:
 
 
 def lesson(s: Column, words: int) -> Column:
-    bare = T.truncate_words(F.coalesce(s["text"], F.lit("")), words)
-    return F.when(bare == "", NO_TEXT).otherwise(bare)
+    said = F.regexp_like(F.coalesce(s["text"], F.lit("")), F.lit(r"\S"))
+    return F.when(said, T.truncate_words(s["text"], words)).otherwise(NO_TEXT)
 
 
-def seen(actions: Column, limit: int = ACTIONS) -> Column:
+def seen(actions: Column, limit: int = ACTIONS, words: int = SEEN_WORDS) -> Column:
     """The first actions with what they show, and how many more there are; empty without any."""
 
     def one(a: Column) -> Column:
         label = F.replace(F.coalesce(_filled(a["actionType"]), F.lit("unknown")), F.lit("_"), F.lit(" "))
         detail = F.coalesce(_filled(a["visibleTextSample"]), F.array_join(F.coalesce(a["observations"], F.array().cast("array<string>")), "; "))
-        return F.when(detail != "", _join(label, ": ", T.truncate_words(detail, SEEN_WORDS))).otherwise(label)
+        return F.when(detail != "", _join(label, ": ", T.truncate_words(detail, words))).otherwise(label)
 
     n = F.coalesce(F.size(actions), F.lit(0))
     more = F.when(n > limit, F.array(_join("+", (n - limit).cast("string"), " more"))).otherwise(F.array().cast("array<string>"))

@@ -68,35 +68,6 @@ def source_block(kind: Column, name: Column, url: Column, title: Column, seconds
     return F.array_join(F.concat(F.array(F.concat(F.lit("- **Playbook:** `"), F.coalesce(F.when(name != "", name), F.lit("?")), F.lit("`"))), lines), "\n")
 
 
-def section_label(kind: Column, ordinal: Column, start: Column, end: Column, heading: Column) -> Column:
-    clock = F.concat(F.lit("§"), ordinal.cast("string"), F.lit(" ("), T.clock(start), F.lit("–"), T.clock(end), F.lit(")"))
-    return F.when(kind.isin("youtube_video", "local_video"), clock).otherwise(F.concat(F.lit("§"), ordinal.cast("string"), F.when(heading != "", F.concat(F.lit(" "), heading)).otherwise("")))
-
-
-def section_reference(ordinal: Column, *names: Column) -> Column:
-    return F.coalesce(*[F.when(n != "", n) for n in names], F.concat(F.lit("Section "), ordinal.cast("string")))
-
-
-def visual_summary(actions: Column, n: int) -> Column:
-    more = F.size(actions) - n
-    return F.concat(F.array_join(F.slice(actions, 1, n), "; "), F.when(more > 0, F.format_string("; +%d more", more)).otherwise(""))
-
-
-def frontmatter(name: Column, about: Column, **lists: Column) -> Column:
-    lines = [F.lit("---"), F.concat(F.lit("name: "), name), F.concat(F.lit("description: "), about)]
-    lines += [F.concat(F.lit(f"{k}:"), F.array_join(F.transform(v, lambda x: F.concat(F.lit("\n  - "), x)), "")) for k, v in lists.items()]
-    return F.concat_ws("\n", *lines, F.lit("---"))
-
-
-def asset(shape: Column, name: Column, about: Column, texts: Column) -> Column:
-    """A whole asset: frontmatter, knowledge, and procedure, phases or steps by shape. texts: sections in order."""
-    known = F.array_join(F.transform(F.slice(texts, 1, 12), lambda t: F.concat(F.lit("- "), T.truncate_words(t, 36))), "\n")
-    steps = F.array_join(F.transform(F.slice(texts, 1, 6), lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), T.truncate_words(t, 24))), "\n")
-    title = F.when(shape == "agent", "## Delegated procedure").when(shape == "workflow", "## Phases").otherwise("## Procedure")
-    body = F.concat_ws("\n\n", F.concat(F.lit("# "), name), F.lit("## Knowledge"), known, title, steps, F.lit("## Success criteria\n\n1. The result follows the captured source."))
-    return F.concat(frontmatter(name, about), F.lit("\n\n"), body, F.lit("\n"))
-
-
 def export_path(target: Column, slug: Column, shape: Column) -> Column:
     """`error` for an unknown target."""
     md = F.when(shape == "skill", F.concat(slug, F.lit(".md"))).otherwise(F.concat(slug, F.lit("."), shape, F.lit(".md")))

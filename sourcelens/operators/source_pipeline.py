@@ -18,7 +18,7 @@ from sourcelens.functions import canonical
 from sourcelens.functions import text as T
 from sourcelens.operators import evidence as E
 from sourcelens.operators import package as A
-from sourcelens.operators import policy, render
+from sourcelens.operators import assets, policy, render
 from sourcelens.operators import steps as S
 from sourcelens.operators.runs import Fold, fold_runs
 from sourcelens.sources import parsers as P
@@ -129,9 +129,10 @@ class SourcePipeline:
         return found.select("playbook_id", F.when(F.col("gate"), "ok").otherwise("rights").alias("status"), "basis", "export_allowed", F.col("risk").alias("fair_use_risk"))
 
     def _codify(self, sources: DataFrame, todo: DataFrame) -> DataFrame:
-        s = self._sections(todo).groupBy("playbook_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]).alias("texts"))
+        s = self._sections(todo).groupBy("playbook_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("s")).withColumn("texts", F.transform("s", lambda x: x["text"]))
         about = render.description(F.lit(self.shape), T.topic_from_seed_url(F.col("playbook_id")), F.lit("web_page"), F.array().cast("array<string>"))
-        made = s.withColumn("asset", render.asset(F.lit(self.shape), T.slugify(F.col("playbook_id")), about, F.col("texts")))
+        url = F.col("playbook_id")
+        made = assets.finished(assets.playbook(s, F.col("s"), name=T.slugify(url), shape=F.lit(self.shape), kind=F.lit("web_page"), about=about, url=url), "asset")
         # A section fails if nothing of its first words is in the asset.
         head = lambda t: F.array_join(F.slice(T.words(t), 1, 8), " ")
         failed = F.size(F.filter("texts", lambda t: ~F.contains(F.array_join(T.words(F.col("asset")), " "), head(t))))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcelens import rules
+from sourcelens import asset_texts, rules
 from sourcelens.catalog import query
 from sourcelens.functions import canonical
 from sourcelens.functions import text as T
+from sourcelens.operators import assets, brief
 from sourcelens.operators import evidence as E
 from sourcelens.operators import keywords as K
 from sourcelens.operators import package as A
@@ -362,26 +365,12 @@ def op_keywords(spark, sf_dir):
 TARGETS = ["claude", "Codex", "cursor", "windsurf", "md", "nowhere"]
 
 
-def assets(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    shape = pick(["skill", "agent", "workflow"])
-    name = F.concat_ws("-", "source", F.col("doc_id").cast("string"))
-    about = R.description(shape, F.col("source"), pick(KINDS), F.slice(T.words(F.col("text")), 1, 3))
-    text = R.asset(shape, name, about, F.split("text", "\n"))
-    return d.select("doc_id", shape.alias("shape"), name.alias("name"), T.slugify(name).alias("slug"), about.alias("about"), text.alias("text"), R.resolve_target(pick(TARGETS)).alias("target"), pick(KINDS).alias("kind"))
-
-
-@query()
-def fn_asset_render(spark, sf_dir):
-    return assets(spark, sf_dir).select("doc_id", "shape", F.md5("text").alias("h"), F.length("text").alias("n"))
-
-
 def topics(spark, sf_dir) -> DataFrame:
     """Topics, some blank, kinds, one of them unknown, and up to four keywords."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     topic = F.when(i % 10 == 0, "").when(i % 10 == 5, "  ").otherwise(F.col("source"))
     words = T.words(F.col("text"))
-    return d.select("doc_id", topic.alias("topic"), pick(KINDS).alias("kind"), F.slice(words, 1, (i % 5).cast("int")).alias("keywords"), pick(["skill", "agent", "workflow"]).alias("shape"), "source", F.size(words).alias("words"))
+    return d.select("doc_id", topic.alias("topic"), pick(KINDS).alias("kind"), F.slice(words, 1, (i % 5).cast("int")).alias("keywords"), pick(["skill", "agent", "workflow"]).alias("shape"), "source", F.size(words).alias("words"), "lang", "text")
 
 
 def sql_by_kind(values: dict, made) -> str:
@@ -396,7 +385,7 @@ def sql_text(template: str, **names: str) -> str:
 
 
 TOPIC_SQL = f"""WITH own AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '' WHEN 5 THEN '  ' ELSE source END AS topic, {sql_list(KINDS)}[CAST(doc_id % 5 + 1 AS INT)] AS kind, list_slice({sql_words('text')}, 1, CAST(doc_id % 5 AS INT)) AS kw,
-  ['skill', 'agent', 'workflow'][CAST(doc_id % 3 + 1 AS INT)] AS shape, source, len({sql_words('text')}) AS words FROM documents),
+  ['skill', 'agent', 'workflow'][CAST(doc_id % 3 + 1 AS INT)] AS shape, source, len({sql_words('text')}) AS words, lang FROM documents),
 asked AS (SELECT *, coalesce(nullif(trim(topic), ''), 'this topic') AS t FROM own),
 told AS (SELECT *, {sql_by_kind(rules.TRIGGER_PHRASES, lambda v: '[' + ', '.join(sql_text(x, t='t') for x in v) + ']')} AS phrases, {sql_by_kind(rules.PROCEDURE_LEADS, lambda v: sql_text(v, t="coalesce(nullif(topic, ''), 'this topic')"))} AS lead,
   {sql_by_kind(rules.INPUT_PHRASES, sql_text)} AS input, [{', '.join(sql_text(x, t='topic') for x in rules.AGENT_TRIGGERS)}] AS roles FROM asked)
@@ -430,6 +419,134 @@ def fn_trigger_description(spark, sf_dir):
     return topics(spark, sf_dir).select("doc_id", R.description(*map(F.col, ("shape", "topic", "kind", "keywords"))).alias("about"))
 
 
+#: Forty words, without the space around them.
+CHUNK = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,39}[^\x20\x09-\x0D]+"
+
+
+def playbooks(spark, sf_dir) -> DataFrame:
+    """A playbook per document. Its sections are runs of forty words, some below a heading or a page, with a title or with actions."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    own = topics(spark, sf_dir)
+    url = F.concat(F.lit("https://x.org/"), "source")
+    actions = lambda c: F.array(
+        F.struct(F.lit("visual_cut").alias("actionType"), c.alias("visibleTextSample"), F.array().cast("array<string>").alias("observations")),
+        F.struct(F.lit("").alias("actionType"), F.lit("").alias("visibleTextSample"), F.array(F.lit("one"), F.lit("two")).alias("observations")),
+        F.struct(none.alias("actionType"), none.alias("visibleTextSample"), F.array().cast("array<string>").alias("observations")),
+    )
+
+    def section(c: Column, k: Column) -> Column:
+        head = F.when(k % 3 == 1, F.concat(F.lit("Page "), (k + 7).cast("string"), F.lit(" "))).when(k % 3 == 2, F.concat(F.lit("Guide — Part "), k.cast("string"), F.lit(" / https://x.org/p "))).otherwise("")
+        return F.struct(
+            (k + 1).alias("ordinal"), F.when(k % 4 == 3, F.col("lang")).alias("title"), none.alias("heading"), F.when(k % 5 == 4, k).alias("page"), (k * F.lit(61.5)).cast("double").alias("start_s"),
+            ((k + 1) * F.lit(61.5)).cast("double").alias("end_s"), F.concat(head, c).alias("text"), F.when((k % 2 == 0) & (k % 6 != 0), actions(c)).alias("actions"),
+        )
+
+    name = F.concat_ws("-", "source", i.cast("string"))
+    return own.select(
+        "doc_id", "shape", "kind", name.alias("name"), T.slugify(name).alias("slug"), R.resolve_target(pick(TARGETS)).alias("target"), R.description(*map(F.col, ("shape", "topic", "kind", "keywords"))).alias("about"),
+        F.when(i % 4 != 0, F.col("source")).alias("title"), url.alias("url"), F.when(i % 4 != 0, F.col("words")).alias("seconds"), (i % 7).alias("pages"), F.when(i % 2 != 0, F.concat(F.lit("/data/in/"), "source", F.lit(".pdf"))).alias("path"),
+        F.when(i % 2 == 0, F.concat(url, F.lit("/docs"))).alias("seed"), F.col("lang").alias("channel"), F.when(i % 3 == 1, F.concat(F.lit("About "), "source")).alias("summary"), F.when(i % 5 == 2, " only this \n").alias("scope_notes"),
+        F.when(i % 8 == 1, "null").when(i % 8 < 5, F.concat(F.lit("lead-"), "source")).alias("owner_agent"),
+        F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CHUNK), F.lit(0)), section).alias("sections"),
+    )
+
+
+def sql_worded(text: str, fields: dict[str, str]) -> str:
+    parts = re.split(r"\{(\w+)\}", text)
+    return "(" + " || ".join(fields[p] if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if i % 2 or p) + ")"
+
+
+def sql_laid_out(layout: tuple, fields: dict[str, str]) -> str:
+    blocks = []
+    for b in layout:
+        if isinstance(b, (asset_texts.Part, asset_texts.Given)):
+            text, rest = (fields[b.name], "['']") if isinstance(b, asset_texts.Part) else (sql_worded(b.text, fields), "[]")
+            blocks.append(f"CASE WHEN {fields[b.name]} <> '' THEN [{text}, ''] ELSE {rest} END")
+        else:
+            blocks.append(f"[{sql_worded(b, fields)}, '']")
+    return f"array_to_string({' || '.join(blocks)}, chr(10))"
+
+
+def _asset_sql() -> str:
+    w = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '')"
+    cut = lambda x, n: f"array_to_string({w.format(x)}[1:{n}], ' ') || CASE WHEN len({w.format(x)}) > {n} THEN '...' ELSE '' END"
+    time = "CASE WHEN {0} >= 3600 THEN printf('%d:%02d:%02d', {0} // 3600, {0} % 3600 // 60, {0} % 60) ELSE printf('%d:%02d', {0} // 60, {0} % 60) END"
+    acts = "k % 2 = 0 AND k % 6 <> 0"
+    scaffold = {"name": "name", "about": "about", "owner": "coalesce(owner, 'null')", "summary": "summary", "n": "CAST(n AS VARCHAR)", "source": "block", "knows": "knows", "shown_sections": "shown", "listed_sections": "listed", "product": "'sourcelens'", "codifier": "'codify command'", "scope": "scope"}
+    ready = {"name": "name", "owner": "lead", "product": "'sourcelens'", "steps": "steps", "summary_lines": "lines", "knowledge": "knowledge", "curriculum": "curriculum", "procedure": "procedure"}
+    row = sql_worded(asset_texts.STEP_ROW, {"i": "(k + 1)", "label": "ref"})
+    quoted = r"""'"' || array_to_string(list_transform(string_split(replace(replace(about, '\', '\\'), '"', '\"'), ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\u%04x', unicode(c)) END), '') || '"'"""
+    by_shape = lambda make: "CASE shape " + " ".join(f"WHEN '{k}' THEN {make(k)}" for k in asset_texts.FINISHED) + " END"
+    return TOPIC_SQL.rstrip() + f""",
+chunks AS (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '{CHUNK}') AS c FROM documents),
+cut AS (SELECT doc_id, lang, unnest(c) AS c, CAST(unnest(range(len(c))) AS INT) AS k FROM chunks),
+timed AS (SELECT *, CASE k % 3 WHEN 1 THEN 'Page ' || (k + 7) || ' ' WHEN 2 THEN 'Guide — Part ' || k || ' / https://x.org/p ' ELSE '' END || c AS text, CAST(floor(k * 61.5) AS BIGINT) AS a, CAST(floor((k + 1) * 61.5) AS BIGINT) AS b FROM cut),
+named AS (SELECT t.*, kind, CASE WHEN k % 4 = 3 AND t.lang <> '' THEN t.lang WHEN k % 5 = 4 THEN 'Page ' || k ELSE {time.format('a')} || '-' || {time.format('b')} END AS ref,
+  '§' || (k + 1) || CASE kind WHEN 'youtube_video' THEN ' (' || {time.format('a')} || '–' || {time.format('b')} || ')' WHEN 'pdf' THEN ' (page ' || CASE WHEN k % 3 = 1 THEN k + 7 ELSE coalesce(TRY_CAST(nullif(regexp_extract(text, '^Page\\s+(\\d+)\\b', 1), '') AS INT), k + 1) END || ')'
+    ELSE ' — ' || CASE WHEN k % 3 = 2 THEN 'Part ' || k ELSE trim(split_part(text, ' / ', 1)) END END AS label FROM timed t JOIN told USING (doc_id)),
+lined AS (SELECT doc_id, k, text, ref, '- **' || label || '** — ' || {cut('text', 30)} AS line, CASE WHEN {acts} THEN chr(10) || '  - Visual: visual cut: ' || {cut('c', 10)} || '; unknown: one; two; +1 more' ELSE '' END AS visual,
+  CASE WHEN {acts} THEN 'visual cut: ' || {cut('c', 12)} || '; unknown: one; two; unknown' END AS seen FROM named),
+parts AS (SELECT doc_id, count(*) AS n, sum(len({w.format('text')})) AS words, string_agg(line || visual, chr(10) ORDER BY k) AS shown, string_agg(line, chr(10) ORDER BY k) AS listed,
+  string_agg('- **' || ref || ':** ' || {cut('text', 36)} || coalesce(' Visual: ' || seen, ''), chr(10) ORDER BY k) FILTER (k < 12) AS known, string_agg('- **' || ref || ':** ' || {cut('text', 36)} || coalesce(' Visual: ' || seen, ''), chr(10) ORDER BY k) FILTER (k < 16) AS known16,
+  string_agg((k + 1) || '. Use **' || ref || '** to handle this part: ' || {cut('text', 24)} || coalesce(' Use the visual-action evidence (' || seen || ') to preserve what happened on screen.', ''), chr(10) ORDER BY k) FILTER (k < 6) AS use, string_agg({row}, chr(10) ORDER BY k) FILTER (k < 8) AS rows FROM lined GROUP BY doc_id),
+book AS (SELECT doc_id, shape, kind, source || '-' || doc_id AS name, coalesce(n, 0) AS n, coalesce(shown, '') AS shown, coalesce(listed, '') AS listed, CASE WHEN doc_id % 3 = 1 THEN 'About ' || source ELSE '' END AS summary,
+  CASE WHEN doc_id % 5 = 2 THEN chr(10) || '- **Author scope notes:** only this' ELSE '' END AS scope, CASE WHEN doc_id % 8 = 1 THEN 'null' WHEN doc_id % 8 < 5 THEN 'lead-' || source END AS owner, coalesce(rows, '') AS steps,
+  'Distilled from ' || coalesce(n, 0) || ' sections of the source playbook. ' || {sql_by_kind(rules.KNOWS, sql_text)} AS knows, CASE shape {' '.join(f"WHEN '{k}' THEN {_about_sql(k)}" for k in rules.DESCRIPTIONS)} END AS about,
+  '- **Playbook:** `' || source || '-' || doc_id || '`' || chr(10) || CASE kind
+    WHEN 'youtube_video' THEN '- **Video:** ' || CASE WHEN doc_id % 4 = 0 THEN source || '-' || doc_id || ' (?' ELSE source || ' (' || (t.words // 60) || ' min' END || ')' || chr(10) || '- **Source URL:** https://x.org/' || source
+    WHEN 'web_page' THEN '- **Source page:** https://x.org/' || source || ' (' || CASE WHEN coalesce(p.words, 0) = 0 THEN '?' ELSE CAST(p.words AS VARCHAR) END || ' words)'
+    WHEN 'pdf' THEN '- **Source PDF:** ' || CASE WHEN doc_id % 2 <> 0 THEN source || '.pdf' WHEN doc_id % 4 = 0 THEN source || '-' || doc_id ELSE source END || ' (' || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE CAST(doc_id % 7 AS VARCHAR) END || ' pages)' || chr(10) || '- **Source URL:** https://x.org/' || source
+    WHEN 'documentation_site' THEN '- **Source docs root:** https://x.org/' || source || CASE WHEN doc_id % 2 = 0 THEN '/docs' ELSE '' END || ' (' || CASE WHEN doc_id % 7 = 0 THEN '?' ELSE CAST(doc_id % 7 AS VARCHAR) END || ' pages)'
+    ELSE '- **Source:** ' || CASE WHEN doc_id % 4 = 0 THEN source || '-' || doc_id ELSE source END || chr(10) || '- **Source URL:** https://x.org/' || source END AS block,
+  '- **Playbook:** `' || source || '-' || doc_id || '`' || chr(10) || '- **Source:** https://x.org/' || source || CASE WHEN doc_id % 4 <> 0 THEN chr(10) || '- **Title:** ' || source ELSE '' END || coalesce(chr(10) || '- **Channel:** ' || nullif(t.lang, ''), '') || CASE WHEN doc_id % 3 = 1 THEN chr(10) || '- **Summary:** About ' || source ELSE '' END AS lines,
+  known || CASE WHEN n > 12 THEN chr(10) || '- Plus ' || (n - 12) || ' additional source-backed sections in `lessons.md`.' ELSE '' END AS knowledge, known16 || CASE WHEN n > 16 THEN chr(10) || '- Plus ' || (n - 16) || ' additional source-backed sections in `lessons.md`.' ELSE '' END AS curriculum,
+  use || CASE WHEN n > 6 THEN chr(10) || '7. Check the remaining ' || (n - 6) || ' source sections in `lessons.md` before claiming full coverage.' ELSE '' END AS procedure FROM told t LEFT JOIN parts p USING (doc_id)),
+led AS (SELECT *, coalesce(nullif(owner, 'null'), 'unassigned') AS lead FROM book),
+made AS (SELECT doc_id, shape, name, replace(name, '_', '-') AS slug, about, {by_shape(lambda k: sql_laid_out(asset_texts.SCAFFOLDS[k], scaffold))} AS scaffold, CASE WHEN n > 0 THEN {by_shape(lambda k: sql_laid_out(asset_texts.FINISHED[k][1:], ready))} END AS body,
+  '---' || chr(10) || 'name: ' || name || chr(10) || 'description: ' || {quoted} || chr(10) || CASE WHEN shape = 'workflow' THEN 'owner_agent: ' || lead || chr(10) ELSE '' END || '---' || chr(10) || chr(10) AS front FROM led)
+"""
+
+
+ASSET_SQL = _asset_sql()
+_MD = "CASE WHEN shape = 'skill' THEN slug || '.md' ELSE slug || '.' || shape || '.md' END"
+
+
+@query(ASSET_SQL + "SELECT doc_id, shape, md5(scaffold) AS scaffold, CAST(length(scaffold) AS INT) AS n, md5(front || body) AS h, CAST(length(front || body) AS INT) AS m FROM made")
+def fn_asset_render(spark, sf_dir):
+    """A scaffold and a finished text of each playbook."""
+    a = assets.finished(assets.scaffolds(playbooks(spark, sf_dir), "scaffold"), "text")
+    return a.select("doc_id", "shape", F.md5("scaffold").alias("scaffold"), F.length("scaffold").alias("n"), F.md5("text").alias("h"), F.length("text").alias("m"))
+
+
+@query(ASSET_SQL + "SELECT doc_id, shape, slug, '.claude/skills/' || slug || '/SKILL.md' AS path, md5(scaffold) AS h FROM made")
+def op_compose(spark, sf_dir):
+    a = assets.scaffolds(playbooks(spark, sf_dir), "text")
+    return a.select("doc_id", "shape", "slug", R.export_path(F.lit("claude_code"), F.col("slug"), F.col("shape")).alias("path"), F.md5("text").alias("h"))
+
+
+@query(ASSET_SQL + "SELECT doc_id, md5(front || body) AS h FROM made WHERE body IS NOT NULL")
+def op_codify(spark, sf_dir):
+    """Finished texts of playbooks with words, none of them with a stub."""
+    a = assets.finished(playbooks(spark, sf_dir), "text")
+    # Exploded, not filtered: a filter on a text would move below it and make the text again for each of its terms.
+    return a.select("doc_id", F.explode(F.filter(F.array("text"), lambda t: ~T.unfilled_stub(t))).alias("text")).select("doc_id", F.md5("text").alias("h"))
+
+
+@query(ASSET_SQL + f""", aimed AS (SELECT *, ['claude_code', 'codex', 'cursor', 'windsurf', 'markdown', 'error'][CAST(doc_id % 6 + 1 AS INT)] AS target, regexp_replace(body, '\\s+\\z', '') AS own FROM made WHERE body IS NOT NULL)
+SELECT doc_id, target, CASE target WHEN 'claude_code' THEN '.claude/skills/' || slug || '/SKILL.md' WHEN 'codex' THEN '.agents/skills/' || slug || '/SKILL.md' WHEN 'cursor' THEN '.cursor/rules/' || slug || '.mdc' WHEN 'windsurf' THEN '.windsurf/rules/' || slug || '.md'
+  WHEN 'markdown' THEN 'exports/markdown/' || {_MD} ELSE 'error' END AS path,
+  md5(CASE target WHEN 'cursor' THEN '---' || chr(10) || 'description: "' || replace(replace(about, '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || 'globs:' || chr(10) || '  - "**/*"' || chr(10) || 'alwaysApply: false' || chr(10) || '---' || chr(10) || chr(10) || own || chr(10)
+    WHEN 'windsurf' THEN '# ' || name || chr(10) || chr(10) || 'Target: Windsurf rule' || chr(10) || chr(10) || about || chr(10) || chr(10) || '## Instructions' || chr(10) || chr(10) || own || chr(10)
+    WHEN 'markdown' THEN '# ' || name || chr(10) || chr(10) || 'Export target: portable Markdown' || chr(10) || chr(10) || 'Source asset shape: ' || shape || chr(10) || 'Skill slug: `' || slug || '`' || chr(10) || chr(10) || own || chr(10)
+    ELSE front || own || chr(10) END) AS h FROM aimed""")
+def sink_export_target(spark, sf_dir):
+    """Finished texts in the form of their target."""
+    a = assets.finished(playbooks(spark, sf_dir), "text").where("text IS NOT NULL")
+    path = R.export_path(F.col("target"), F.col("slug"), F.col("shape"))
+    body = R.export_text(*map(F.col, ("target", "name", "slug", "about", "text", "shape")))
+    return a.select("doc_id", "target", path.alias("path"), F.md5(body).alias("h"))
+
+
 @query(TOPIC_SQL + f"""SELECT doc_id, 'Distilled from ' || CAST(doc_id % 7 AS VARCHAR) || ' sections of the source playbook. ' || {sql_by_kind(rules.KNOWS, sql_text)} AS knows,
   '- **Playbook:** `' || source || '-' || CAST(doc_id AS VARCHAR) || '`' || chr(10) || CASE kind
   WHEN 'youtube_video' THEN '- **Video:** ' || source || ' (' || CASE WHEN doc_id % 4 = 0 THEN '?' ELSE CAST(words // 60 AS VARCHAR) || ' min' END || ')' || chr(10) || '- **Source URL:** https://x.org/' || source
@@ -455,8 +572,6 @@ SELECT source, string_agg('- **' || ref || ':** ' || coalesce(none, array_to_str
 FROM l GROUP BY source""")
 def fn_section_renderers(spark, sf_dir):
     """What is known and the procedure of each source, its documents being the sections; frames are in the tests."""
-    from sourcelens.operators import brief
-
     none = F.lit(None)
     d = table(spark, sf_dir, "documents").select("source", F.struct(
         F.col("doc_id").cast("int").alias("ordinal"), F.col("lang").alias("title"), none.cast("string").alias("heading"), none.cast("int").alias("page"), none.cast("double").alias("start_s"), none.cast("double").alias("end_s"), "text", F.array().cast("array<struct<actionType: string, visibleTextSample: string, observations: array<string>>>").alias("actions"),
@@ -478,25 +593,6 @@ def source_numbers(d: DataFrame) -> DataFrame:
     return numbered(d, "source", "doc_id", "k")
 
 
-@query()
-def op_compose(spark, sf_dir):
-    return assets(spark, sf_dir).select("doc_id", "shape", "slug", R.export_path(F.lit("claude_code"), F.col("slug"), F.col("shape")).alias("path"), F.md5("text").alias("h"))
-
-
-@query()
-def op_codify(spark, sf_dir):
-    """Assets with text and without leftover stubs."""
-    return assets(spark, sf_dir).where(~T.unfilled_stub(F.col("text"))).select("doc_id", F.md5("text").alias("h"))
-
-
-@query()
-def sink_export_target(spark, sf_dir):
-    a = assets(spark, sf_dir)
-    path = R.export_path(F.col("target"), F.col("slug"), F.col("shape"))
-    body = R.export_text(*map(F.col, ("target", "name", "slug", "about", "text", "shape")))
-    return a.select("doc_id", "target", path.alias("path"), F.md5(body).alias("h"))
-
-
 @query(f"SELECT doc_id, coalesce(CASE lower(trim(t)) {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in rules.TARGET_ALIASES.items())} END, 'error') AS target FROM (SELECT doc_id, {sql_list(TARGETS)}[CAST(doc_id % 6 + 1 AS INT)] AS t FROM documents)")
 def fn_export_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", R.resolve_target(pick(TARGETS)).alias("target"))
@@ -585,15 +681,28 @@ def op_validate_asset(spark, sf_dir):
     return r.select("doc_id", (F.col("a").cast("int") + F.col("b").cast("int")).alias("passed"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1) THEN '§' || CAST(doc_id AS VARCHAR) || ' (0:' || printf('%02d', doc_id % 60) || '–1:00)' ELSE '§' || CAST(doc_id AS VARCHAR) || ' ' || source END AS label, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, ''), 'Section ' || CAST(doc_id AS VARCHAR)) AS ref FROM documents")
+@query(r"""WITH d AS (SELECT doc_id, lang, doc_id % 60 AS a, CASE doc_id % 3 WHEN 1 THEN 'Page ' || (doc_id + 7) || ' ' WHEN 2 THEN 'Guide — Part ' || doc_id || ' / https://x.org/p ' ELSE '' END || text AS text FROM documents)
+SELECT doc_id, '§' || doc_id || CASE doc_id % 5 WHEN 0 THEN ' (0:' || printf('%02d', a) || '–1:00)' WHEN 3 THEN ' (page ' || CASE WHEN doc_id % 3 = 1 THEN doc_id + 7 ELSE coalesce(TRY_CAST(nullif(regexp_extract(text, '^Page\s+(\d+)\b', 1), '') AS BIGINT), doc_id) END || ')'
+  ELSE ' — ' || CASE WHEN doc_id % 3 = 2 THEN 'Part ' || doc_id ELSE trim(split_part(text, ' / ', 1)) END END AS label,
+  CASE WHEN doc_id % 2 = 1 AND lang <> '' THEN lang WHEN doc_id % 5 > 0 THEN 'Page ' || (doc_id % 5) WHEN doc_id % 4 = 0 THEN 'Section ' || CASE doc_id WHEN 0 THEN '?' ELSE CAST(doc_id AS VARCHAR) END ELSE '0:' || printf('%02d', a) || '-1:00' END AS ref FROM d""")
 def fn_section_label(spark, sf_dir):
+    """Where a section stands in its source, by the kind of source, and what names it."""
     i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", R.section_label(pick(KINDS), i, i % 60, F.lit(60), F.col("source")).alias("label"), R.section_reference(i, F.when(i % 2 == 0, "").otherwise(F.col("lang"))).alias("ref"))
+    head = F.when(i % 3 == 1, F.concat(F.lit("Page "), (i + 7).cast("string"), F.lit(" "))).when(i % 3 == 2, F.concat(F.lit("Guide — Part "), i.cast("string"), F.lit(" / https://x.org/p "))).otherwise("")
+    s = {"ordinal": i, "title": F.when(i % 2 == 1, F.col("lang")), "heading": F.lit(""), "page": i % 5, "start_s": F.when((i % 2 == 1) | (i % 4 != 0), i % 60), "end_s": F.lit(60), "text": F.concat(head, "text")}
+    timed = {**s, "start_s": i % 60}
+    return table(spark, sf_dir, "documents").select("doc_id", assets.label(pick(KINDS), timed).alias("label"), brief.reference(s).alias("ref"))
 
 
-@query(f"SELECT doc_id, array_to_string(w[1:2], '; ') || CASE WHEN len(w) > 2 THEN '; +' || CAST(len(w) - 2 AS VARCHAR) || ' more' ELSE '' END AS summary FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)")
+@query(f"""WITH a AS (SELECT doc_id, unnest(range(doc_id % 5)) AS k, doc_id % 5 AS n, lang, source, {sql_words('text')} AS w FROM documents),
+l AS (SELECT doc_id, k, n, CASE k WHEN 0 THEN 'page change: ' || array_to_string(w[1:10], ' ') || CASE WHEN len(w) > 10 THEN '...' ELSE '' END ELSE 'unknown: ' || source || '; ' || lang END AS told FROM a WHERE k < 2)
+SELECT d.doc_id, coalesce(string_agg(told, '; ' ORDER BY k) || CASE WHEN max(n) > 2 THEN '; +' || (max(n) - 2) || ' more' ELSE '' END, '') AS summary FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""")
 def fn_visual_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", R.visual_summary(T.words(F.col("text")), 2).alias("summary"))
+    """The first two of up to four actions, with what they show or else what was observed, and how many more there are."""
+    first = F.struct(F.lit("page_change").alias("actionType"), F.col("text").alias("visibleTextSample"), F.array("lang").alias("observations"))
+    other = F.struct(F.lit("").alias("actionType"), F.lit("").alias("visibleTextSample"), F.array("source", "lang").alias("observations"))
+    actions = F.slice(F.array(first, other, other, other), 1, (F.col("doc_id") % 5).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", brief.seen(actions, assets.LINE_ACTIONS, assets.LINE_SEEN).alias("summary"))
 
 
 @query("SELECT doc_id, trim(regexp_extract(x, '(?is)```(?:markdown|md)[ \\t]*\\n(.*?)\\n```', 1)) AS block FROM (SELECT doc_id, 'x' || chr(10) || '```markdown' || chr(10) || source || chr(10) || '```' AS x FROM documents)")

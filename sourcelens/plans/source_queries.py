@@ -243,7 +243,7 @@ def fn_youtube_id(spark, sf_dir):
 @query()
 def op_pipeline(spark, sf_dir):
     """Pages from capture to asset: steps, sections, injection gate, rights gate, asset. A gate that stops a page names itself."""
-    from sourcelens.operators import policy, render
+    from sourcelens.operators import assets, policy, render
     from sourcelens.operators import steps as S
     from sourcelens.plans.policy_queries import KINDS
     from sourcelens.plans.text_queries import BASES, INTENTS, pick
@@ -251,15 +251,16 @@ def op_pipeline(spark, sf_dir):
     p = pages(spark, sf_dir)
     steps = P.page_steps(p.select("url", "html")).withColumnRenamed("url", "playbook_id")
     sections = S.sections(steps)
-    texts = sections.groupBy("playbook_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("s"), F.sum("word_count").alias("words")).withColumn("texts", F.transform("s", lambda x: x["text"]))
+    texts = sections.groupBy("playbook_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("s"), F.sum("word_count").alias("words"))
     scan = policy.injection_scan(sections.select("playbook_id", F.col("ordinal").alias("seg_idx"), F.concat(F.lit("sections["), F.col("ordinal").cast("string"), F.lit("].text")).alias("location"), "text")).select("playbook_id", "blocked")
     no = F.lit(None).cast("boolean")
     rights = policy.assess_rights(p.select(F.col("url").alias("playbook_id"), pick(KINDS, "page_id").alias("source_kind"), pick(BASES, "page_id").alias("rights_basis"), pick(INTENTS, "page_id").alias("export_intent"), F.lit("").alias("license"), no.alias("commercial"), no.alias("redistribution"), F.lit(0).alias("verbatim_words"), no.alias("verbatim"), no.alias("transcript"))).select("playbook_id", "gate")
     both = texts.join(scan, "playbook_id").join(rights, "playbook_id")
-    name = T.slugify(F.col("playbook_id"))
-    asset = render.asset(F.lit("skill"), name, render.description(F.lit("skill"), T.topic_from_seed_url(F.col("playbook_id")), F.lit("web_page"), F.array().cast("array<string>")), F.col("texts"))
+    url = F.col("playbook_id")
+    about = render.description(F.lit("skill"), T.topic_from_seed_url(url), F.lit("web_page"), F.array().cast("array<string>"))
+    both = assets.finished(assets.playbook(both, F.col("s"), name=T.slugify(url), shape=F.lit("skill"), kind=F.lit("web_page"), about=about, url=url), "asset")
     status = F.when(F.col("words") == 0, "no_text").when(F.col("blocked"), "injection").when(~F.col("gate"), "rights").otherwise("ok")
-    return both.select("playbook_id", status.alias("status"), F.when(status == "ok", F.md5(asset)).alias("asset"))
+    return both.select("playbook_id", status.alias("status"), F.when(status == "ok", F.md5("asset")).alias("asset"))
 
 
 @query()
