@@ -131,3 +131,37 @@ def finished(playbooks: DataFrame, to: str = "asset", product: str = "sourcelens
     }
     has_words = F.exists(sections, lambda s: F.regexp_like(F.coalesce(s["text"], F.lit("")), F.lit(r"\S")))
     return playbooks.withColumn(to, F.when(has_words, _by_shape(A.FINISHED, fields)))
+
+
+def _body(text: Column, heading: str) -> Column:
+    """What stands below a heading of the second level, up to the next."""
+    return F.regexp_extract(text, rf"(?dms)^##\s+{heading}\s*$(.*?)(?=^##\s+\S|\z)", 1)
+
+
+def success_criteria(text: Column) -> Column:
+    """The points below an asset's success criteria, in order; empty without them."""
+    return F.regexp_extract_all(_body(text, "Success criteria"), F.lit(r"(?dm)^\s*-\s+(.*\S)\s*$"), F.lit(1))
+
+
+def declared_inputs(text: Column) -> Column:
+    """ARRAY<STRUCT<name, spec>> of the inputs that an asset declares."""
+    line = r"(?dm)^\s*-\s+`([A-Za-z_]\w*)`\s*\(([^)]*)\)\s*:"
+    found = (F.regexp_extract_all(_body(text, "Inputs"), F.lit(line), F.lit(k)) for k in (1, 2))
+    return F.zip_with(*found, lambda name, spec: F.struct(name.alias("name"), F.trim(spec).alias("spec")))
+
+
+def validated(rows: DataFrame, text: Column, report: Column, exit_code: Column) -> DataFrame:
+    """Rows with their asset's inputs and criteria as an executor's report tells of them.
+
+    Adds inputs, criteria (ARRAY<STRUCT<check, passed, evidence>>), passed, failed, ok and error. An asset without criteria is
+    not ok and says so; a criterion that the report leaves out has failed; a null report tells of nothing, and without an
+    exit code nothing is ok. `text`, `report` and `exit_code` are columns of the rows.
+    """
+    criteria = success_criteria(F.coalesce(text, F.lit("")))
+    told = rows.withColumns({"inputs": declared_inputs(F.coalesce(text, F.lit(""))), "criteria": R.criteria_report(criteria, F.coalesce(report, F.lit("")))})
+    passed = F.size(F.filter("criteria", lambda c: c["passed"]))
+    n = F.size("criteria")
+    return told.withColumns({
+        "passed": passed, "failed": n - passed, "ok": (n > 0) & (n == passed) & F.coalesce(exit_code == 0, F.lit(False)),
+        "error": F.when(n == 0, F.lit("skill has no ## Success criteria block; nothing to validate")),
+    })

@@ -665,20 +665,40 @@ def fn_inputs_section(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.bullets(T.markdown_section(x, "Inputs")), ",").alias("inputs"), F.array_join(T.bullets(T.markdown_section(x, "Success criteria")), ",").alias("criteria"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS a, doc_id % 2 = 0 AS b, 'not reported by executor' AS c FROM documents")
+CHECKS = [c.removeprefix("- ") for c in asset_texts.SKILL[asset_texts.SKILL.index("## Success criteria") + 1].split("\n")]
+CHECKED_SQL = r"""WITH d AS (SELECT doc_id, doc_id % 3 = 0 AS skill, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN least(doc_id % 4, 3) WHEN 4 THEN 2 ELSE 3 END AS told, CASE doc_id % 5 WHEN 1 THEN 3 WHEN 3 THEN 1 ELSE 0 END AS as_json
+  FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]'))
+"""
+
+
+def checked(spark, sf_dir) -> DataFrame:
+    """Finished assets against reports: none, as JSON for some criteria, as lines, as JSON and lines, and as broken JSON with two lines."""
+    i = F.col("doc_id")
+    yes = lambda j: (i + j) % 3 != 0
+    lines = lambda *js: F.concat(*[F.concat(F.lit(f"{j}. "), F.when(yes(j), f"Pass: seen {j}").otherwise("FAIL"), F.lit("\n")) for j in js])
+    item = lambda j: F.concat(F.lit(f'{{"name": "c{j}", "passed": '), yes(j).cast("string"), F.lit(f', "evidence": "e{j}"}}'))
+    told = lambda n: F.concat(F.lit('Done.\n```json\n{"criteria": ['), F.array_join(F.slice(F.array(*map(item, (1, 2, 3))), F.lit(1), n), ", "), F.lit("]}\n```\n"))
+    report = F.when(i % 5 == 1, told((i % 4).cast("int"))).when(i % 5 == 2, lines(1, 2, 3)).when(i % 5 == 3, F.concat(told(F.lit(1)), lines(2, 3))).when(i % 5 == 4, F.concat(F.lit('```json\n{"criteria": [}\n```\n'), lines(1, 2)))
+    a = assets.finished(playbooks(spark, sf_dir), "text").where("text IS NOT NULL").select("doc_id", "shape", "text", report.alias("report"), F.when(i % 11 == 0, 1).otherwise(0).alias("code"))
+    return assets.validated(a, F.col("text"), F.col("report"), F.col("code"))
+
+
+@query(CHECKED_SQL + f""", c AS (SELECT *, unnest([1, 2, 3]) AS j FROM d WHERE skill)
+SELECT doc_id, j AS criterion, {sql_list(CHECKS)}[j] AS "check", j <= told AND (doc_id + j) % 3 <> 0 AS passed, CASE WHEN j > told THEN 'not reported by executor' WHEN j <= as_json THEN 'e' || j WHEN (doc_id + j) % 3 <> 0 THEN 'seen ' || j END AS evidence FROM c""")
 def join_report_criteria(spark, sf_dir):
-    """Reports as JSON or as lines; the third criterion is never reported."""
-    a, b = (F.when(F.col("doc_id") % k == 0, "true").otherwise("false") for k in (3, 2))
-    as_json = F.concat(F.lit('```json\n{"criteria": [{"name": "a", "passed": '), a, F.lit('}, {"name": "b", "passed": '), b, F.lit("}]}\n```"))
-    as_lines = F.concat(F.lit("1. "), F.when(a == "true", "PASS").otherwise("fail"), F.lit(" - x\n2. "), F.when(b == "true", "Pass").otherwise("FAIL"), F.lit(": y"))
-    r = R.criteria_report(F.array(F.lit("first"), F.lit("second"), F.lit("third")), F.when(F.col("doc_id") % 5 < 3, as_json).otherwise(as_lines))
-    return table(spark, sf_dir, "documents").select("doc_id", F.get(r, F.lit(0))["passed"].alias("a"), F.get(r, F.lit(1))["passed"].alias("b"), F.get(r, F.lit(2))["evidence"].alias("c"))
+    """Each criterion of a finished asset with what the report says of it."""
+    # The outer form: of the inner one Spark infers a filter on the array, which would make the texts twice.
+    c = checked(spark, sf_dir).select("doc_id", F.posexplode_outer("criteria").alias("at", "c")).where("at IS NOT NULL")
+    return c.select("doc_id", (F.col("at") + 1).alias("criterion"), "c.check", "c.passed", "c.evidence")
 
 
-@query("SELECT doc_id, CAST((doc_id % 3 = 0) AS INT) + CAST((doc_id % 2 = 0) AS INT) AS passed FROM documents")
+@query(CHECKED_SQL + """, n AS (SELECT *, CAST(CASE WHEN skill THEN len(list_filter(range(1, told + 1), lambda j: (doc_id + j) % 3 <> 0)) ELSE 0 END AS INT) AS passed FROM d)
+SELECT doc_id, passed, CAST(CASE WHEN skill THEN 3 - passed ELSE 0 END AS INT) AS failed, skill AND passed = 3 AND doc_id % 11 <> 0 AS ok, 'request: string, required; source_context: string, optional' AS inputs,
+  CASE WHEN NOT skill THEN 'skill has no ## Success criteria block; nothing to validate' END AS error FROM n""")
 def op_validate_asset(spark, sf_dir):
-    r = join_report_criteria(spark, sf_dir)
-    return r.select("doc_id", (F.col("a").cast("int") + F.col("b").cast("int")).alias("passed"))
+    """The verdict on each finished asset, and the inputs that it declares."""
+    inputs = F.array_join(F.transform("inputs", lambda x: F.concat(x["name"], F.lit(": "), x["spec"])), "; ")
+    return checked(spark, sf_dir).select("doc_id", "passed", "failed", "ok", inputs.alias("inputs"), "error")
 
 
 @query(r"""WITH d AS (SELECT doc_id, lang, doc_id % 60 AS a, CASE doc_id % 3 WHEN 1 THEN 'Page ' || (doc_id + 7) || ' ' WHEN 2 THEN 'Guide — Part ' || doc_id || ' / https://x.org/p ' ELSE '' END || text AS text FROM documents)

@@ -131,3 +131,19 @@ def test_every_layout_has_its_contract():
     assert heads(A.WORKFLOW_SCAFFOLD) == ["Role", "Source playbook", "Inputs", "Outputs", "Steps", "Decision gates", "Data flow", "Rollback", "Curriculum reference", "Source notes"] == heads(A.WORKFLOW)
     stubs = [sum("_(Stub." in b for b in layout if isinstance(b, str)) for layout in (A.SKILL_SCAFFOLD, A.AGENT_SCAFFOLD, A.WORKFLOW_SCAFFOLD, A.SKILL, A.AGENT, A.WORKFLOW)]
     assert stubs == [6, 6, 6, 0, 0, 0]
+
+
+def test_validation(spark):
+    text = "# A\n\n## Inputs\n\n- `a` (string, required): local paths\n- `b` (int): x\n- c (no): y\n\n## Success criteria\n\n- one\n-  two  \n\n## Next\n\n- three\n"
+    rows = [
+        (1, text, "1. PASS: x\n2. fail - y\n2. PASS", 0), (2, text, '```json\n{"criteria": [{"name": "n", "passed": true}]}\n```\n1. FAIL\n2. pass', 0), (3, text, None, 0), (4, text, "1. PASS\n2. PASS", 1), (5, text, "1. PASS\n2. PASS", None),
+        (6, "## Success criteria of old\n- no\n", "1. PASS", 0), (7, None, None, None), (8, "", "", 0),
+    ]
+    df = spark.createDataFrame(rows, "id int, t string, r string, code int")
+    got = {r["id"]: r for r in assets.validated(df, F.col("t"), F.col("r"), F.col("code")).collect()}
+    assert [(c["check"], c["passed"], c["evidence"]) for c in got[1]["criteria"]] == [("one", True, "x"), ("two", False, "y")]
+    assert [(c["check"], c["passed"], c["evidence"]) for c in got[2]["criteria"]] == [("one", True, None), ("two", True, None)]
+    assert [c["evidence"] for c in got[3]["criteria"]] == ["not reported by executor"] * 2
+    assert [(got[i]["ok"], got[i]["passed"], got[i]["failed"], got[i]["error"] is None) for i in range(1, 9)] == [
+        (False, 1, 1, True), (True, 2, 0, True), (False, 0, 2, True), (False, 2, 0, True), (False, 2, 0, True), (False, 0, 0, False), (False, 0, 0, False), (False, 0, 0, False)]
+    assert [tuple(x) for x in got[1]["inputs"]] == [("a", "string, required"), ("b", "int")] and got[7]["inputs"] == []
