@@ -16,6 +16,22 @@ def test_page(spark):
     assert r[1]["sections"] == [] and r[2]["markdown"] == "only"
 
 
+def test_titles_as_sql_has_them(spark, tmp_path):
+    """References without a semicolon, nested ones, blank and repeated titles, odd spaces."""
+    import duckdb
+
+    from sourcelens.catalog import ORACLE_SQL
+    from sourcelens.plans.source_queries import fn_page_title
+
+    titles = ["a &amp;&amp; b&amp", "&amp;lt;b&amp;gt; &lt;i&gt;", "&quot;x&#x27; &nbsp; &copy &#39;", " \n\tmany   blanks\r\n", "", "\u00a0 wide\u2003", "\x0bv\x1c", "<b>bold</b>", "$1 \\1", "&ampamp; &AMP;"]
+    html = [f"<html><title>{t}</title><h1>head</h1>" for t in titles] + ["<TITLE>upper</TITLE><title>lower</title>", "<title lang=en>\none</Title>", "<title>open", "<p>none", None]
+    spark.createDataFrame([(k, "http://a/", h) for k, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["fn_page_title"]).fetchall()
+    assert sorted(map(tuple, fn_page_title(spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 13
+
+
 def test_cues():
     vtt = "WEBVTT\nKind: captions\nLanguage: en\n\n1\n00:00:10.500 --> 00:00:12.750 position:50%\nfirst\nline\n\nNOTE x\n\n00:01:00,000 --> 00:01:02,000\nsecond\n"
     assert P.cues_of(vtt) == [{"start": 10.5, "end": 12.75, "text": "first line"}, {"start": 60.0, "end": 62.0, "text": "second"}]
