@@ -7,12 +7,11 @@ nothing is visited again for each division.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from sourcelens.functions.pieces import by_row
 from sourcelens.sources.parsers import DROP, Element, Tree
 
 NODES = ArrayType(StructType([StructField(n, IntegerType()) for n in ("node", "last", "parent", "depth")] + [StructField(n, StringType()) for n in ("tag", "role", "id")] + [StructField("text", IntegerType())]))
@@ -46,9 +45,12 @@ def paragraph(p: Element) -> int:
     return len(" ".join(pieces).strip())
 
 
-@pandas_udf(NODES)
-def parse_nodes(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: numbered(Tree(h or "").root))
+@by_row(NODES)
+def parse_nodes(html: str | None) -> list[dict]:
+    tree = Tree(html or "")
+    found = [dict(zip(NODES.elementType.names, r)) for r in numbered(tree.root)]
+    tree.forget()
+    return found
 
 
 def elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
