@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from sourcelens.functions import text as T
+from sourcelens.functions.pieces import by_row
 from sourcelens.operators.runs import Fold, fold_runs
 
 #: A hard cut's difference, a keyframe's, the longest overlap and the shortest, in words.
@@ -45,10 +44,10 @@ def merged(pieces) -> str:
     return " ".join(out)
 
 
-@pandas_udf(StringType())
-def overlap_merge(pieces: pd.Series) -> pd.Series:
+@by_row(StringType())
+def overlap_merge(pieces: list[str] | None) -> str | None:
     """Fragments that roll over each other as one text."""
-    return pieces.map(lambda p: None if p is None else merged(p))
+    return None if pieces is None else merged(pieces)
 
 
 def clean_caption(x: Column) -> Column:
