@@ -34,6 +34,10 @@ def crawl(pages: DataFrame, seed: str, most: int | None = None, same_origin: boo
     spark = pages.sparkSession
     folder = shared_folder(spark)
     known = pages.withColumn("name", U.normalize_url(F.col("url"))).groupBy("name").agg(F.min_by(F.struct("n_sections", "links"), "url").alias("page"))
+    # Written, so that pages are parsed once and not for each level anew.
+    table = shared_folder(spark)
+    known.write.parquet(table)
+    known = spark.read.schema(known.schema).parquet(table)
     queue = spark.createDataFrame([(seed, [])], "url string, way array<int>").withColumn("name", U.normalize_url(F.col("url")))
     origin, step, captured = U.origin(F.lit(seed)), 0, 0
     while True:
