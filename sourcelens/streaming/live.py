@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -18,6 +17,8 @@ from sourcelens.operators.runs import Fold, fold_runs
 
 INPUT = StructType([StructField("session_id", LongType()), StructField("kind", StringType()), StructField("seq", LongType()), StructField("t", DoubleType()), StructField("value", DoubleType()), StructField("text", StringType()), StructField("lang", StringType())])
 STEPS = StructType([StructField("session_id", LongType()), StructField("ordinal", LongType()), StructField("trigger", StringType()), StructField("start_s", DoubleType()), StructField("end_s", DoubleType()), StructField("diff", DoubleType()), StructField("text", StringType())])
+#: A fold's state as it is kept.
+FOLD = StructType([StructField("last", DoubleType()), StructField("end", DoubleType()), StructField("n", LongType()), StructField("begin", DoubleType()), StructField("waiting", StringType())])
 #: A keyframe's difference, the least gap between steps, and the quiet period, in seconds.
 THRESHOLD, MIN_STEP, QUIET, RING = 12.0, 0.5, 8.0, 60
 
@@ -74,9 +75,21 @@ class StepFold:
         return out
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A micro-batch's rows of one session by time."""
-    return pd.concat(list(rows)).sort_values(["t", "seq", "kind"], kind="stable")
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    """A micro-batch's rows of one session by time, null last."""
+    return sorted(rows, key=lambda r: tuple((x is None, x) if x is not None else (True, 0) for x in (r.t, r.seq, r.kind)))
+
+
+def nan_of(x: float | None) -> float:
+    """A frame without a value is unlike no other."""
+    return float("nan") if x is None else x
+
+
+def as_rows(kind: StructType, out: list[tuple]) -> Iterator[Row]:
+    """Rows of a result; a number that is none is null."""
+    named = Row(*kind.names)
+    for r in out:
+        yield named(*(None if isinstance(x, float) and x != x else x for x in r))
 
 
 class StepProcessor(StatefulProcessor):
@@ -90,22 +103,25 @@ class StepProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fold = handle.getValueState("fold", StructType([StructField("last", DoubleType()), StructField("end", DoubleType()), StructField("n", LongType()), StructField("begin", DoubleType()), StructField("waiting", StringType())]))
+        self.fold = handle.getValueState("fold", FOLD)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fold, every = self.begun(), in_order(rows)
-        out = [(key[0], *step) for r in every.itertuples() for step in fold.feed(r.kind, r.t, r.value, r.text)]
-        self.ended(fold, float(every["t"].max()), timerValues)
-        yield pd.DataFrame(out, columns=STEPS.names)
+        out = [(key[0], *step) for r in every for step in fold.feed(r.kind, r.t, nan_of(r.value), r.text)]
+        self.ended(fold, every[-1].t, timerValues)
+        yield from as_rows(STEPS, out)
 
     def begun(self) -> StepFold:
         """The session's fold as its last rows left it."""
-        fold = StepFold(**self.limits)
-        return fold.restore(self.fold.get()) if self.fold.exists() else fold
+        fold, stored = StepFold(**self.limits), self.fold.get()
+        return fold.restore(tuple(stored)) if stored else fold
+
+    def keep(self, fold: StepFold) -> None:
+        self.fold.update(fold.state())
 
     def ended(self, fold: StepFold, latest: float, timerValues) -> None:
         """Keeps the fold, and sets the timer of the quiet step that is due after the latest row."""
-        self.fold.update(fold.state())
+        self.keep(fold)
         if self.limits["quiet"] <= 0:
             return
         for old in list(self.handle.listTimers()):
@@ -113,11 +129,11 @@ class StepProcessor(StatefulProcessor):
         if (due := fold.due()) is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * max(0.0, due - latest)) + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         fold = self.begun()
         out = [(key[0], *step) for step in fold.tick(float("inf"))]
         self.fold.update(fold.state())
-        yield pd.DataFrame(out, columns=STEPS.names)
+        yield from as_rows(STEPS, out)
 
     def close(self) -> None:
         pass
@@ -125,7 +141,7 @@ class StepProcessor(StatefulProcessor):
 
 def live_steps(rows: DataFrame, quiet: float = QUIET) -> DataFrame:
     """A streaming frame of INPUT rows -> steps, by keyed state and timers."""
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=StepProcessor(quiet), outputStructType=STEPS, outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("session_id").transformWithState(statefulProcessor=StepProcessor(quiet), outputStructType=STEPS, outputMode="Append", timeMode="ProcessingTime")
 
 
 class Replay(Fold):
