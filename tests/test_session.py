@@ -143,3 +143,46 @@ def test_held_cues_come_without_another_poll(spark, tmp_path):
         assert [r[4] for r in given(spark, tmp_path)] == ["now", "soon", "next"]
     finally:
         q.stop()
+
+
+class Value:
+    """Keyed state that counts its round trips."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """Whatever a micro-batch holds, a session's state takes two round trips; rings begin where their size says."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value(calls)
+
+        def __getattr__(self, name):
+            raise AssertionError(f"state of another kind: {name}")
+
+    p = V.SessionProcessor(ring=3, quiet=0.0, threshold=12.0, min_step=0.0)
+    p.init(Handle())
+    row = Row("kind", "seq", "t", "value", "text", "lang")
+    batch = lambda k: [row("frame", i, float(i), 20.0 * i, None, None) for i in range(k, k + 5)] + [row("caption", 90 + k, k + 0.5, None, "x", "en")]
+    first, second = (list(p.handleInputRows((7,), iter(batch(k)), None)) for k in (1, 6))
+    assert calls == ["get", "update"] * 2
+    frames = [r for r in second if r["stream"] == "frame"]
+    assert [(r["oldest"], r["sequence"], r["seq"]) for r in frames] == [(8, k, k) for k in range(6, 11)]
+    assert [(r["oldest"], r["sequence"], r["value"]) for r in first + second if r["stream"] == "caption"] == [(1, 1, None), (1, 2, None)]
