@@ -121,3 +121,20 @@ def test_quiet_steps_are_due_without_another_row(spark, tmp_path):
         assert [tuple(r)[1:] for r in spark.sql("select * from quiet order by ordinal").collect()] == [(1, "keyframe", 0.0, 0.0, None, ""), (2, "quiet_period", 0.0, 2.0, 0.0, "a")]
     finally:
         q.stop()
+
+
+def test_a_crawl_makes_its_pages_once(spark):
+    """A chain of pages takes a level each; pages are not made anew for each of them."""
+    from sourcelens.sources import crawl as C
+
+    made = spark.sparkContext.accumulator(0)
+
+    def sections(n):
+        made.add(1)
+        return n
+
+    n = 5
+    rows = [(f"http://a/{k}", 1, [f"http://a/{k + 1}"]) for k in range(n)]
+    pages = spark.createDataFrame(rows, "url string, n int, links array<string>").select("url", F.udf(sections, "int")("n").alias("n_sections"), "links")
+    found = C.crawl(pages, "http://a/0").collect()
+    assert len(found) == n + 1 and made.value == n
