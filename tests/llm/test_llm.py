@@ -487,6 +487,33 @@ def test_near_passages_in_large_groups_against_brute_force(spark, monkeypatch, l
     assert np.mean([(a, b) in want or (b, a) in want for a, b in found]) >= 0.98
 
 
+@pytest.mark.parametrize("line,edit", [(30, False), (36, True)])
+def test_near_passages_of_documents_that_one_component_has_already(spark, line, edit):
+    """80 documents begin alike, so all are one component; each two share besides 30 words of their own before a line that
+    all have, word for word or with an edit. The line is too short for other two to share a passage there."""
+    head, common_line, rows = text(90, 60, 10**6), text(91, line, 10**6).split(), []
+    for k in range(80):
+        middle = [*text(5000 + k // 2, 30, 10**6).split(), *common_line]
+        if edit and k % 2:
+            middle[(7 * (k // 2)) % len(middle)] = f"edit{k}"
+        rows.append((k, " ".join([head, text(6000 + k, 40, 10**6), *middle, text(7000 + k, 40, 10**6)]), "en", "s"))
+    got = substring_dedup.near_passages(docs(spark, rows)).toPandas()
+    far = got[got.start_word >= 95]
+    lists = {r[0]: words(r[1])[100:] for r in rows}
+    want = {k for k in range(0, 80, 2) if shares_passage(lists[k], lists[k + 1])}
+    assert set(got.component_id) == {0} and (far.doc_id // 2 == far.other_id // 2).all()
+    assert len(want) >= 30 and len(want & set(far.doc_id)) >= (0.95 if edit else 1) * len(want)
+
+
+def test_hashes_do_not_depend_on_slices(monkeypatch):
+    data = np.frombuffer(b" aB\tc  dd eee  ffff g\nhh " * 30 + b"x" * 300 + b" y ", np.uint8)
+    offs = np.array([0, 0, 5, 90, 300, len(data)])
+    whole = common.word_hashes(data, offs)
+    monkeypatch.setattr(common, "SLICE_WORDS", 3)
+    for x, y in zip(whole, common.word_hashes(data, offs)):
+        assert np.array_equal(x, y)
+
+
 def test_near_passages_of_rows_that_repeat_an_identifier(spark):
     rows = []
     for k in range(20):
