@@ -96,17 +96,18 @@ def _cut(batches):
     """The texts' words from start on, with what stands between them."""
     names = [*COLUMNS, "whole"]
     for batch in batches:
-        start, words, whole = (batch.column(k).to_pylist() for k in (6, 7, 8))
-        out = []
-        for lo, hi, data, offs in blocks(batch.column(1)):
+        for lo, hi, data, offs in blocks(batch.column(1)):  # a piece of about 1 MB goes before the next is cut
+            start, words, whole = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (6, 7, 8))
             at, first = word_spans(data, offs)
+            out = []
             for k in range(hi - lo):
                 a, b = offs[k], offs[k + 1]
-                if not whole[lo + k]:
-                    i, j = first[k] + start[lo + k], first[k] + start[lo + k] + words[lo + k]
+                if not whole[k]:
+                    i, j = first[k] + start[k], first[k] + start[k] + words[k]
                     a, b = at[i], at[j] if j < first[k + 1] else b
                 out.append(data[a:b].tobytes().decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), *(batch.column(k) for k in (2, 3, 4, 8))], names=names)
+            rest = (batch.column(k).slice(lo, hi - lo) for k in (2, 3, 4, 8))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.string()), *rest], names=names)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -514,6 +514,20 @@ def test_hashes_do_not_depend_on_slices(monkeypatch):
         assert np.array_equal(x, y)
 
 
+def test_the_mix_is_cut_in_pieces():
+    import corpus_pipeline
+
+    texts = [" ".join([f"a{k}", *["word"] * 120_000, "end"]) for k in range(3)] + ["x y z", None, ""]
+    n = len(texts)
+    starts, sizes, whole = [0, 1, 120_000, 1, 0, 0], [120_002, 120_000, 2, 2, 0, 0], [True, False, False, False, True, True]
+    kinds = [[*range(n)], texts, ["en"] * n, ["s"] * n, [7] * n, [0] * n, starts, sizes, whole]
+    names = [*corpus_pipeline.COLUMNS, "slot", "start", "words", "whole"]
+    got = list(corpus_pipeline._cut([pa.RecordBatch.from_arrays([pa.array(x) for x in kinds], names=names)]))
+    want = [texts[0], " ".join(["word"] * 120_000) + " ", "word end", "y z", "", ""]
+    assert len(got) >= 2 and [x for b in got for x in b.column(1).to_pylist()] == want
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(n)]
+
+
 def test_near_passages_of_rows_that_repeat_an_identifier(spark):
     rows = []
     for k in range(20):
