@@ -505,6 +505,59 @@ def test_near_passages_of_documents_that_one_component_has_already(spark, line,
     assert len(want) >= 30 and len(want & set(far.doc_id)) >= (0.95 if edit else 1) * len(want)
 
 
+@pytest.mark.parametrize("deal", [16, 1024])
+def test_pairs_across_components_grow_with_the_members(spark, monkeypatch, deal):
+    """60 members of one key, each a component: 45 in three groups of 15, word for word but for one edit of each, and 15 unlike all others."""
+    monkeypatch.setattr(substring_dedup, "DEAL", deal)
+    rng, size, n = np.random.default_rng(11), 46, 60
+    lists = rng.integers(1, 1 << 63, (n, 91), dtype=np.uint64)
+    for d in range(45):
+        lists[d] = lists[d % 3] if d >= 3 else lists[d]
+        lists[d, 20:23] = rng.integers(1, 1 << 63, 3, dtype=np.uint64)
+    sequences = spark.createDataFrame([(d, bytearray(lists[d].tobytes())) for d in range(n)], "node long, tokens binary")
+    groups = spark.createDataFrame([(7, 0, d, 0, 45, 90, d) for d in range(n)], "key long, k int, node long, l int, c int, r int, part long")
+    made = substring_dedup.across(groups, sequences, size, 80).collect()
+    chunks = -(-n // deal)
+    assert len(made) < n * chunks and all(r.a % 3 == r.b % 3 and r.b < 45 for r in made)
+    label = substring_dedup.components(spark.createDataFrame([(r.a, r.b) for r in made], "a long, b long"))
+    assert {r.node: r.component for r in label.collect()} == {d: d % 3 for d in range(45)}
+    every = substring_dedup.across(groups, sequences, size, 80, every=True).collect()
+    assert {(r.a, r.b) for r in made} <= {(r.a, r.b) for r in every} == {(a, b) for b in range(45) for a in range(b % 3, b, 3)}
+
+
+def test_sure_pairs_are_passages():
+    """Of rows that are alike those are sure whose stretch has a match as long and 80 % alike, by sets of marks."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(1, 1 << 16, (600, 91)).astype(np.uint16)
+    y = x.copy()
+    for k in range(len(y)):
+        kind, at = k % 4, 30 + k % 31
+        if kind == 0:  # places changed
+            y[k, rng.choice(91, k % 30, replace=False)] = 1
+        elif kind == 1:  # one left out
+            y[k] = np.append(np.delete(y[k], at), 1)
+        elif kind == 2:  # one more
+            y[k] = np.insert(y[k], at, 1)[:91]
+        else:  # a short period on both sides: sets are small
+            x[k] = y[k] = np.resize(x[k, :9], 91)
+            y[k, rng.choice(91, k % 13, replace=False)] = rng.integers(1, 1 << 16, k % 13)
+    got = substring_dedup.sure(x, y, 46, 80)
+
+    def holds(u, v):
+        for i in range(46):
+            s = u[i : i + 46]
+            for p in range(max(0, i - 2), min(i + 3, 46)):
+                for q in range(p + 46, min(i + 49, 92)):
+                    a, b = set(s.tolist()), set(v[p:q].tolist())
+                    if 100 * len(a & b) >= 80 * len(a | b):
+                        return True
+        return False
+
+    want = np.array([holds(u, v) for u, v in zip(x, y)])
+    assert got.sum() >= 200 and not (got & ~want).any()
+    assert (got & want).sum() >= 0.9 * (want & substring_dedup.alike(x, y, 46, 80)).sum()
+
+
 def test_hashes_do_not_depend_on_slices(monkeypatch):
     data = np.frombuffer(b" aB\tc  dd eee  ffff g\nhh " * 30 + b"x" * 300 + b" y ", np.uint8)
     offs = np.array([0, 0, 5, 90, 300, len(data)])
