@@ -41,13 +41,18 @@ def lesson(s: Column, words: int) -> Column:
     return F.when(said, T.truncate_words(s["text"], words)).otherwise(NO_TEXT)
 
 
-def seen(actions: Column, limit: int = ACTIONS, words: int = SEEN_WORDS) -> Column:
-    """The first actions with what they show, and how many more there are; empty without any."""
+def seen(actions: Column, limit: int = ACTIONS, words: int = SEEN_WORDS, whole: bool = False) -> Column:
+    """The first actions with what they show, and how many more there are; empty without any. With `whole` observations stay as they are.
+
+    A null action counts, but has nothing said of it.
+    """
 
     def one(a: Column) -> Column:
         label = F.replace(F.coalesce(_filled(a["actionType"]), F.lit("unknown")), F.lit("_"), F.lit(" "))
-        detail = F.coalesce(_filled(a["visibleTextSample"]), F.array_join(F.coalesce(a["observations"], F.array().cast("array<string>")), "; "))
-        return F.when(detail != "", _join(label, ": ", T.truncate_words(detail, words))).otherwise(label)
+        sample, observed = _filled(a["visibleTextSample"]), F.array_join(F.coalesce(a["observations"], F.array().cast("array<string>")), "; ")
+        detail = F.coalesce(sample, observed)
+        said = F.when(sample.isNull(), observed).otherwise(T.truncate_words(sample, words)) if whole else T.truncate_words(detail, words)
+        return F.when(a.isNotNull(), F.when(detail != "", _join(label, ": ", said)).otherwise(label))
 
     n = F.coalesce(F.size(actions), F.lit(0))
     more = F.when(n > limit, F.array(_join("+", (n - limit).cast("string"), " more"))).otherwise(F.array().cast("array<string>"))

@@ -75,3 +75,21 @@ def test_summary_and_frontmatter(spark):
         assert r.a == "\n".join(lines) and r.b == text
         owned = [f"owner_agent: {owner if owner and owner != 'null' else 'unassigned'}"] if shape == "workflow" else []
         assert r.c == "\n".join(["---", f"name: {n}", "description: " + json.dumps(text + ' "é"\n'), *owned, "---"])
+
+
+def test_visual_summaries_as_sql_has_them(spark, tmp_path):
+    """Documents without text, source or language, odd spaces, names of many words, numbers below zero."""
+    import duckdb
+
+    from sourcelens.catalog import ORACLE_SQL
+    from sourcelens.plans.evidence_queries import fn_visual_summary
+
+    texts = [None, "", " \n\t", "a\x0bb " * 11, "\x0b", " x\x0b y\u00a0z\x85", "w " * 10, "w " * 11, "a_b $1 \\1"]
+    names = [(None, "en"), ("web", None), ("", "en"), ("web", ""), ("", ""), ("web", " "), (" a  b\n", "en"), ("w " * 12, "en"), (None, None)]
+    odd = [(t, "web", "en") for t in texts] + [("text", *n) for n in names]
+    rows = [(5 * k + j, *r) for k, r in enumerate(odd) for j in range(5)] + [(-3, "text", "web", "en"), (2**62 + 3, "text", "web", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["fn_visual_summary"]).fetchall()
+    assert sorted(map(tuple, fn_visual_summary(spark, str(tmp_path)).collect())) == sorted(want) and len(want) == len(rows)
